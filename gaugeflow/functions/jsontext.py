@@ -2,27 +2,72 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # JSON has neither NaN nor single-quoted strings.
 _STRICT = {"allowNonNumericNumbers": "false", "allowSingleQuotes": "false"}
 
 
+def parse_marked(text: Column, ddl: str) -> Column:
+    """Parse a text as one JSON document of the given type, with a closing mark behind it.
+
+    The parser stops at the end of the first document. Here the text is a member of an
+    object that goes on with ``mark``: when anything trails the document, the mark is not
+    reached. The result has the fields ``body`` and ``mark``; see ``is_whole``.
+    """
+    closing = F.concat(F.lit(',"mark":'), F.xxhash64(text).cast("string"), F.lit("}"))
+    return F.from_json(
+        F.concat(F.lit('{"body":'), text, closing), f"body {ddl}, mark bigint", _STRICT
+    )
+
+
+def is_whole(parsed: Column, text: Column) -> Column:
+    """Whether a marked parse took the whole text for one document."""
+    return F.coalesce(parsed["mark"] == F.xxhash64(text), F.lit(False))
+
+
 def parse_document(text: Column, ddl: str) -> Column:
-    """Parse a text that must be exactly one JSON document of the given type.
+    """The document a text consists of; NULL unless it is exactly one of the given type."""
+    parsed = parse_marked(text, ddl)
+    return F.when(is_whole(parsed, text), parsed["body"])
+
 
-    The parser stops at the end of the first document, so the text is read as a member of
-    an object with a closing mark after it: if anything trails the document, the mark is
-    not reached and the result is NULL.
+def parse_object(
+    df: DataFrame, text: str, names: list[str], when: Column | None = None
+) -> DataFrame:
+    """Add the named members of a JSON object as variants, and ``_whole``.
+
+    Each member becomes a column ``_<name>``: SQL NULL if absent, a variant of type VOID if
+    it is a JSON null. Names match in any letter case, and a repeated name means its last
+    value. ``_whole`` is false for texts that are not one JSON object. Rows that spell all
+    names as given are read in a single pass; only the others are searched by case.
     """
-    mark = F.xxhash64(text)
-    parsed = F.from_json(
-        F.concat(F.lit('{"body":'), text, F.lit(',"mark":'), mark.cast("string"), F.lit("}")),
-        f"body {ddl}, mark bigint",
-        _STRICT,
+    body = F.col(text)
+    fields = ", ".join(f"`{n}`: variant" for n in names)
+    parsed = parse_marked(body, f"struct<{fields}>")
+    df = df.withColumn("_parsed", parsed if when is None else F.when(when, parsed))
+    found = [F.col("_parsed")["body"][n] for n in names]
+    df = df.withColumns(
+        {
+            "_whole": is_whole(F.col("_parsed"), body) & F.col("_parsed.body").isNotNull(),
+            **{f"_{n}": value for n, value in zip(names, found)},
+        }
+    )
+    partial = F.greatest(*[F.col(f"_{n}").isNull() for n in names])
+    df = df.withColumn(
+        "_others",
+        F.when(F.col("_whole") & partial, parse_document(body, "map<string,variant>")),
     )
-    return F.when(parsed["mark"] == mark, parsed["body"])
+    return df.withColumns(
+        {
+            f"_{n}": F.coalesce(
+                F.col(f"_{n}"),
+                F.when(F.col("_others").isNotNull(), member(F.col("_others"), n)),
+            )
+            for n in names
+        }
+    ).drop("_parsed", "_others")
 
 
 def member(obj: Column, name: str) -> Column:

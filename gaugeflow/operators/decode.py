@@ -11,6 +11,20 @@ from gaugeflow.functions import instants, jsontext, labels
 # The instant of a message that names none: the serialiser's default.
 _NO_INSTANT = "0001-01-01T00:00:00+00:00"
 
+# A message as producers write it.
+_PLAIN = (
+    "struct<type: string, name: variant, payload: struct<co2: int, pm25: int, humidity: int, "
+    "energy: double, motionDetected: boolean>, collectedAt: string>"
+)
+# Value column of a reading and the payload field it comes from.
+_PAYLOAD_FIELDS = {
+    "co2": "co2",
+    "pm25": "pm25",
+    "humidity": "humidity",
+    "energy_kwh": "energy",
+    "motion_detected": "motionDetected",
+}
+
 DECODED_COLUMNS = [
     "name",
     "sensor_type",
@@ -29,60 +43,23 @@ def decode_messages(messages: DataFrame, value: str = "value") -> DataFrame:
 
     The checks run in a fixed order and the first that fails names the reason: empty body,
     not JSON, JSON null, blank name, unknown type, payload not an object, the fields of the
-    type. A failure is permanent: it depends on nothing but the bytes. The whole decode is a
-    narrow, per-row expression; ``inline`` keeps Spark from repeating it in later filters.
-    """
-    body = F.col(value)
-    text = body.cast("string")
-    staged = messages.withColumns(
-        {
-            "_text": text,
-            "_doc": F.when(
-                F.is_valid_utf8(text), jsontext.parse_document(text, "map<string,variant>")
-            ),
-        }
-    )
-    doc = F.col("_doc")
-    staged = staged.withColumns(
-        {
-            "_name": jsontext.member(doc, "name"),
-            "_type": jsontext.member(doc, "type"),
-            "_payload": jsontext.member(doc, "payload"),
-            "_at": jsontext.member(doc, "collectedAt"),
-        }
-    )
-    payload = F.col("_payload")
-    staged = staged.withColumns(
-        {
-            "_name_text": jsontext.string_of(F.col("_name")),
-            "_type_text": jsontext.string_of(F.col("_type")),
-            "_kind": jsontext.json_kind(payload),
-            "_instant": F.when(
-                F.col("_at").isNull(), instants.instant(_NO_INSTANT)
-            ).otherwise(instants.parse_wire_instant(jsontext.string_of(F.col("_at")))),
-            "_co2": jsontext.int_of(jsontext.exact_member(payload, "co2")),
-            "_pm25": jsontext.int_of(jsontext.exact_member(payload, "pm25")),
-            "_humidity": jsontext.int_of(jsontext.exact_member(payload, "humidity")),
-            "_motion": jsontext.bool_of(jsontext.exact_member(payload, "motionDetected")),
-            "_energy": jsontext.double_of(jsontext.exact_member(payload, "energy")),
-        }
-    )
-    staged = staged.withColumn("_error", _first_failure())
-    ok = F.col("_error").isNull()
-    kind = F.col("_type_text")
-
-    def value_of(column: str, sensor_type: str) -> Column:
-        return F.when(ok & (kind == sensor_type), F.col(column))
+    type. A failure is permanent: it depends on nothing but the bytes.
 
+    Decoding is narrow, a few expressions per row. A message spelt as producers spell it is
+    read in one typed parse; only one that does not pass there is looked at member by
+    member, for its reason or its unusual but valid spelling. ``inline`` keeps Spark from
+    repeating the work in later filters.
+    """
+    staged = _read_plain(messages.withColumn("_text", F.col(value).cast("string")))
+    staged = _read_closely(staged)
+    plain = F.col("_plain")
     result = F.struct(
-        F.when(ok, F.col("_name_text")).alias("name"),
-        F.when(ok, kind).alias("sensor_type"),
-        F.when(ok, F.col("_instant")).alias("collected_at"),
-        value_of("_co2", vocab.AIR_QUALITY).alias("co2"),
-        value_of("_pm25", vocab.AIR_QUALITY).alias("pm25"),
-        value_of("_humidity", vocab.AIR_QUALITY).alias("humidity"),
-        value_of("_energy", vocab.ENERGY).alias("energy_kwh"),
-        value_of("_motion", vocab.MOTION).alias("motion_detected"),
+        *[
+            F.when(plain, F.col(f"_p.{field}"))
+            .when(F.col("_error").isNull(), F.col(f"_c.{field}"))
+            .alias(field)
+            for field in DECODED_COLUMNS[:-1]
+        ],
         F.col("_error").alias("error_detail"),
     )
     return staged.select(*messages.columns, F.inline(F.array(result)))
@@ -97,33 +74,114 @@ def split_decoded(decoded: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
 
 
+def _read_plain(df: DataFrame) -> DataFrame:
+    """Typed parse of the whole message: ``_p`` and whether it settles the row, ``_plain``.
+
+    A typed field is NULL unless the JSON value has exactly its type, so non-null fields are
+    valid ones. The name is probed as a variant, because text would also take a number.
+    """
+    text = F.col("_text")
+    parsed = jsontext.parse_marked(text, _PLAIN)
+    df = df.withColumn("_parsed", F.when(F.is_valid_utf8(text), parsed))
+    df = df.withColumns(
+        {
+            "_whole": jsontext.is_whole(F.col("_parsed"), text),
+            "_name": jsontext.string_of(F.col("_parsed.body.name")),
+            "_type": F.col("_parsed.body.type"),
+            "_at": instants.parse_wire_instant(F.col("_parsed.body.collectedAt")),
+            "_values": F.col("_parsed.body.payload"),
+        }
+    )
+    fields = {c: F.col(f"_values.{f}") for c, f in _PAYLOAD_FIELDS.items()}
+    settled = (
+        F.col("_whole")
+        & ~_is_blank(F.col("_name"))
+        & labels.is_sensor_type(F.col("_type"))
+        & F.col("_at").isNotNull()
+        & _missing_fields(F.col("_type"), fields).isNull()
+    )
+    return df.withColumns(
+        {
+            "_plain": F.coalesce(settled, F.lit(False)),
+            "_p": _reading(F.col("_name"), F.col("_type"), F.col("_at"), fields),
+        }
+    ).drop("_parsed", "_whole", "_name", "_type", "_at", "_values")
+
+
+def _read_closely(df: DataFrame) -> DataFrame:
+    """Member-by-member reading of the rows still open: ``_c`` and ``_error``."""
+    text, open_row = F.col("_text"), ~F.col("_plain")
+    whole = jsontext.parse_document(text, "map<string,variant>")
+    df = df.withColumn("_doc", F.when(open_row & F.is_valid_utf8(text), whole))
+    doc = F.col("_doc")
+    df = df.withColumns(
+        {
+            f"_{name}": F.when(doc.isNotNull(), jsontext.member(doc, name))
+            for name in ("name", "type", "payload", "collectedAt")
+        }
+    )
+    payload, kind = F.col("_payload"), jsontext.string_of(F.col("_type"))
+    typed = {
+        "co2": jsontext.int_of,
+        "pm25": jsontext.int_of,
+        "humidity": jsontext.int_of,
+        "energy_kwh": jsontext.double_of,
+        "motion_detected": jsontext.bool_of,
+    }
+    fields = {
+        c: read(jsontext.exact_member(payload, _PAYLOAD_FIELDS[c])) for c, read in typed.items()
+    }
+    at = F.when(F.col("_collectedAt").isNull(), instants.instant(_NO_INSTANT)).otherwise(
+        instants.parse_wire_instant(jsontext.string_of(F.col("_collectedAt")))
+    )
+    close = _reading(jsontext.string_of(F.col("_name")), kind, at, fields)
+    df = df.withColumns({"_c": F.when(doc.isNotNull(), close), "_kind": kind})
+    return df.withColumn("_error", F.when(open_row, _first_failure()))
+
+
+def _reading(name: Column, kind: Column, at: Column, fields: dict[str, Column]) -> Column:
+    """A reading with the value columns its type has; the others are NULL."""
+    owner = {m.column: m.sensor_type for m in vocab.METRICS.values()}
+    return F.struct(
+        name.alias("name"),
+        kind.alias("sensor_type"),
+        at.alias("collected_at"),
+        *[F.when(kind == owner[c], fields[c]).alias(c) for c in _PAYLOAD_FIELDS],
+    )
+
+
 def _first_failure() -> Column:
-    doc, kind = F.col("_doc"), F.col("_type_text")
+    text, kind = F.col("_text"), F.col("_kind")
+    payload_kind = jsontext.json_kind(F.col("_payload"))
     # A member of the wrong JSON type is a parse failure, whatever the other members say.
     mistyped = (
         ~jsontext.is_string_or_null(F.col("_name"))
         | ~jsontext.is_string_or_null(F.col("_type"))
-        | F.col("_instant").isNull()
-    )
-    blank_name = F.coalesce(F.col("_name_text").rlike(r"^[\s\p{Z}]*$"), F.lit(True))
-    missing_fields = (
-        F.when(
-            (kind == vocab.AIR_QUALITY)
-            & (F.col("_co2").isNull() | F.col("_pm25").isNull() | F.col("_humidity").isNull()),
-            vocab.AIR_FIELDS,
-        )
-        .when((kind == vocab.MOTION) & F.col("_motion").isNull(), vocab.MOTION_FIELD)
-        .when((kind == vocab.ENERGY) & F.col("_energy").isNull(), vocab.ENERGY_FIELD)
+        | F.col("_c.collected_at").isNull()
     )
     return (
-        F.when(F.col("_text").isNull() | (F.col("_text") == ""), vocab.BODY_EMPTY)
-        .when(F.trim(F.col("_text")) == "null", vocab.BODY_NULL)
-        .when(doc.isNull() | mistyped, vocab.BODY_NOT_JSON)
-        .when(blank_name, vocab.NO_NAME)
+        F.when(text.isNull() | (text == ""), vocab.BODY_EMPTY)
+        .when(F.trim(text) == "null", vocab.BODY_NULL)
+        .when(F.col("_doc").isNull() | mistyped, vocab.BODY_NOT_JSON)
+        .when(_is_blank(F.col("_c.name")), vocab.NO_NAME)
         .when(
             ~labels.is_sensor_type(kind),
             F.format_string(vocab.UNKNOWN_TYPE, F.coalesce(kind, F.lit(""))),
         )
-        .when(F.col("_kind") != "Object", F.format_string(vocab.PAYLOAD_KIND, F.col("_kind")))
-        .otherwise(missing_fields)
+        .when(payload_kind != "Object", F.format_string(vocab.PAYLOAD_KIND, payload_kind))
+        .otherwise(_missing_fields(kind, {c: F.col(f"_c.{c}") for c in _PAYLOAD_FIELDS}))
+    )
+
+
+def _missing_fields(kind: Column, fields: dict[str, Column]) -> Column:
+    """The complaint about absent or mistyped fields of a type; NULL if there is none."""
+    air = fields["co2"].isNull() | fields["pm25"].isNull() | fields["humidity"].isNull()
+    return (
+        F.when((kind == vocab.AIR_QUALITY) & air, vocab.AIR_FIELDS)
+        .when((kind == vocab.MOTION) & fields["motion_detected"].isNull(), vocab.MOTION_FIELD)
+        .when((kind == vocab.ENERGY) & fields["energy_kwh"].isNull(), vocab.ENERGY_FIELD)
     )
+
+
+def _is_blank(name: Column) -> Column:
+    return F.coalesce(name.rlike(r"^[\s\p{Z}]*$"), F.lit(True))

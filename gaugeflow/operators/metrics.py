@@ -40,7 +40,7 @@ def rate(metrics: DataFrame, names: list[str], by: list[str] | None = None) -> D
     )
     return (
         _into_ranges(steps)
-        .groupBy(*keys, "at")
+        .groupBy(*keys, "range_end")
         .agg((F.sum("total") / RANGE_S).alias("rate"))
     )
 
@@ -71,10 +71,10 @@ def histogram_quantile(
     )
     per_range = (
         _into_ranges(steps)
-        .groupBy("name", "at")
+        .groupBy("name", "range_end")
         .agg(*[F.sum(f"_b{i}").alias(f"_b{i}") for i in range(len(bounds) + 1)])
     )
-    return per_range.select("name", "at", _interpolated(quantile, bounds).alias("quantile"))
+    return per_range.select("name", "range_end", _interpolated(quantile, bounds).alias("quantile"))
 
 
 def sketch_quantile(
@@ -91,11 +91,11 @@ def sketch_quantile(
     )
     merged = (
         _into_ranges(steps)
-        .groupBy("name", "at")
+        .groupBy("name", "range_end")
         .agg(F.call_function("kll_merge_agg_double", F.col("sketch"), F.lit(k)).alias("sketch"))
     )
     value = F.call_function("kll_sketch_get_quantile_double", F.col("sketch"), F.lit(quantile))
-    return merged.select("name", "at", value.alias("quantile"))
+    return merged.select("name", "range_end", value.alias("quantile"))
 
 
 def metric_rows(
@@ -123,13 +123,13 @@ def _selected(metrics: DataFrame, names: list[str], by: list[str]) -> DataFrame:
 
 
 def _into_ranges(steps: DataFrame) -> DataFrame:
-    """Hand each step to every range that covers it; ``at`` is the end of the range."""
+    """Hand each step to every range that covers it; ``range_end`` says which."""
     micros = F.unix_micros("step")
     ends = F.transform(
         F.sequence(F.lit(1), F.lit(RANGE_S // STEP_S)),
         lambda i: F.timestamp_micros(micros + i.cast("bigint") * STEP_S * 1_000_000),
     )
-    return steps.withColumn("at", F.explode(ends))
+    return steps.withColumn("range_end", F.explode(ends))
 
 
 def _interpolated(quantile: float, bounds: tuple[float, ...]) -> Column:

@@ -150,10 +150,11 @@ def decode_failures(spark, folder):
 def dead_letter_headers(spark, folder):
     _, rejected = split_decoded(_decoded(spark, folder))
     letters = announce.dead_letters(rejected, vocab.DECODE_FAILED, bridge.NOW)
+    source = F.map_from_entries("headers")[vocab.DLQ_OFFSET].cast("string").cast("bigint")
     return letters.select(
-        F.sha2("value", 256).alias("value_hash"), F.posexplode("headers").alias("position", "header")
+        source.alias("source_offset"), F.posexplode("headers").alias("position", "header")
     ).select(
-        "value_hash",
+        "source_offset",
         "position",
         F.col("header.key").alias("header"),
         F.col("header.value").cast("string").alias("value"),
@@ -287,7 +288,12 @@ def _cursor() -> str:
 
 def _edges(df: DataFrame) -> DataFrame:
     return df.select(
-        "id", F.col("sensor.name").alias("sensor_name"), "collected_at", *VALUE_COLUMNS, "cursor"
+        "id",
+        F.col("sensor.name").alias("sensor_name"),
+        F.col("sensor.type").alias("sensor_type"),
+        "collected_at",
+        *VALUE_COLUMNS,
+        "cursor",
     )
 
 
@@ -532,7 +538,6 @@ def ingest_dead_letters(spark, folder):
     )
     return letters.select(
         F.col("key").cast("string").alias("key"),
-        F.sha2("value", 256).alias("value_hash"),
         *[
             named[header].cast("string").alias(alias)
             for header, alias in (
@@ -641,8 +646,8 @@ def chart_limits(spark, folder):
     limit = F.lit(None).cast("double")
     for name in vocab.METRICS:
         limit = F.when(F.col("metric") == name, thresholds.alert_limit(name)).otherwise(limit)
-    return samples.groupBy("metric").agg(
-        F.max(labels.unit_of(F.col("metric"))).alias("unit"), F.max(limit).alias("threshold")
+    return samples.groupBy("metric", "unit", limit.alias("threshold")).agg(
+        F.count("*").alias("samples"), F.count_if(F.col("value") > limit).alias("above")
     )
 
 

@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeflow import vocab
 from gaugeflow.functions import instants, jsontext
-from gaugeflow.schemas import MESSAGES
+from gaugeflow.schemas import CHANGED_SENSORS, MESSAGES
 
 
 def kafka_stream(
@@ -71,42 +71,39 @@ def decode_changes(messages: DataFrame, value: str = "value") -> DataFrame:
     Empty, malformed and null bodies are not events. Absent members take defaults: the
     earliest instant, zero, no sensors.
     """
-    text = F.col(value).cast("string")
-    doc = F.when(F.is_valid_utf8(text), jsontext.parse_document(text, "map<string,variant>"))
-    fields = {
-        "_published": jsontext.member(doc, "publishedAt"),
-        "_count": jsontext.member(doc, "readingCount"),
-        "_newest": jsontext.member(doc, "newestCollectedAt"),
-        "_sensors": jsontext.member(doc, "sensors"),
-    }
+    names = ["publishedAt", "readingCount", "newestCollectedAt", "sensors"]
+    staged = messages.withColumn("_text", F.col(value).cast("string"))
+    staged = jsontext.parse_object(staged, "_text", names, F.is_valid_utf8("_text"))
     earliest = instants.instant("0001-01-01T00:00:00+00:00")
 
-    def at(column: str):
+    def at(column: str) -> Column:
         raw = F.col(column)
         return F.when(raw.isNull(), earliest).otherwise(
             instants.parse_wire_instant(jsontext.string_of(raw))
         )
 
-    def members(sensor):
-        fields_of = F.try_variant_get(sensor, "$", "map<string,variant>")
+    def text_of(sensor: Column, name: str) -> Column:
+        any_case = jsontext.member(F.try_variant_get(sensor, "$", "map<string,variant>"), name)
+        return jsontext.string_of(F.coalesce(jsontext.exact_member(sensor, name), any_case))
+
+    def sensor_of(sensor: Column) -> Column:
         return F.struct(
-            jsontext.string_of(jsontext.member(fields_of, "location")).alias("location"),
-            jsontext.string_of(jsontext.member(fields_of, "sensorType")).alias("sensorType"),
+            *[text_of(sensor, name).alias(name) for name in ("location", "sensorType")]
         )
 
-    shape = jsontext.json_kind(F.col("_sensors"))
-    listed = F.transform(F.try_variant_get("_sensors", "$", "array<variant>"), members)
-    sensors = F.when(shape.isin("Undefined", "Null"), F.transform(F.array(), members)).otherwise(
-        listed
+    listed = F.try_variant_get("_sensors", "$", "array<variant>")
+    unlisted = F.col("_sensors").isNull() | (F.schema_of_variant("_sensors") == "VOID")
+    count = F.when(F.col("_readingCount").isNull(), F.lit(0)).otherwise(
+        jsontext.int_of(F.col("_readingCount"))
     )
-    count = F.when(F.col("_count").isNull(), F.lit(0)).otherwise(jsontext.int_of(F.col("_count")))
-    staged = messages.withColumn("_doc", doc).withColumns(fields)
     event = F.struct(
-        at("_published").alias("published_at"),
+        at("_publishedAt").alias("published_at"),
         count.alias("reading_count"),
-        at("_newest").alias("newest_collected_at"),
-        sensors.alias("sensors"),
-        F.col("_doc").isNotNull().alias("_is_event"),
+        at("_newestCollectedAt").alias("newest_collected_at"),
+        F.when(unlisted, F.array().cast(CHANGED_SENSORS))
+        .otherwise(F.transform(listed, sensor_of))
+        .alias("sensors"),
+        F.col("_whole").alias("_is_event"),
     )
     kept = [c for c in messages.columns if c != value]
     decoded = staged.select(*kept, F.inline(F.array(event)))

@@ -9,6 +9,8 @@ from gaugeflow import vocab
 from gaugeflow.functions import instants, jsontext
 
 
+_MEMBERS = ("type", "name", "payload", "collectedAt")
+
 
 def classify_polls(
     polls: DataFrame,
@@ -35,9 +37,14 @@ def explode_readings(
     any other type keeps its payload as JSON text in ``payload.rawJson``. ``collected_at``
     is the instant in the body, else the moment the poll was fetched.
     """
-    good = _resolved(polls, fallback_s, interval_s).filter(F.col("outcome") == "success")
     kept = [c for c in polls.columns if c not in ("body", "status", "retry_after_s")]
-    exploded = good.select(*kept, F.posexplode("_readings").alias("position", "_reading"))
+    usable = F.when(F.col("outcome") == "success", F.col("_readings"))
+    # The outer form and the filter behind it: a filter in front would resolve bodies twice.
+    exploded = (
+        _resolved(polls, fallback_s, interval_s)
+        .select(*kept, F.posexplode_outer(usable).alias("position", "_reading"))
+        .filter(F.col("position").isNotNull())
+    )
     return exploded.select(
         *kept,
         "position",
@@ -70,30 +77,39 @@ def to_messages(readings: DataFrame) -> DataFrame:
 
 
 def _resolved(polls: DataFrame, fallback_s: float, interval_s: float) -> DataFrame:
+    """Polls with their ``outcome``, ``next_delay_s`` and resolved ``_readings``.
+
+    The readings are resolved inside the row, in three passes over the list, so that each
+    pass refers to what the one before it found and nothing is shuffled.
+    """
     body = F.col("body")
     ok = F.col("status") == 200
-    staged = polls.withColumns(
-        {
-            "_list": F.when(ok, jsontext.parse_document(body, "array<map<string,variant>>")),
-            "_error": F.when(
-                ok & F.trim(body).startswith("{"),
-                jsontext.string_of(
-                    jsontext.member(
-                        jsontext.parse_document(body, "map<string,variant>"), "error"
-                    )
-                ),
-            ),
-        }
+    members = ", ".join(f"`{name}`: variant" for name in _MEMBERS)
+    staged = polls.withColumn(
+        "_list", F.when(ok, jsontext.parse_document(body, f"array<struct<{members}>>"))
+    )
+    staged = staged.withColumn(
+        "_probed",
+        F.when(_spelt_as_expected(staged), F.transform("_list", _probe)).when(
+            F.col("_list").isNotNull(), _respelt(body)
+        ),
+    )
+    staged = staged.withColumn("_read", F.transform("_probed", _read))
+    staged = staged.withColumn("_readings", F.transform("_read", _finish))
+    error = F.when(
+        ok & F.col("_list").isNull() & F.trim(body).startswith("{"),
+        jsontext.string_of(
+            jsontext.member(jsontext.parse_document(body, "map<string,variant>"), "error")
+        ),
     )
-    staged = staged.withColumn("_readings", F.transform("_list", _resolve))
     sound = F.forall("_readings", lambda r: F.coalesce(r["sound"], F.lit(False)))
     outcome = (
         F.when(F.col("status") == 429, "rate_limited")
         .when(F.col("status") >= 500, "server_error")
         .when(F.col("status") != 200, "unexpected")
-        .when(F.col("_error") == vocab.CORRUPTED_BODY, "corrupted")
         .when((F.trim(body) == "null") | (F.size("_list") == 0), "empty")
         .when(F.coalesce(sound, F.lit(False)), "success")
+        .when(error == vocab.CORRUPTED_BODY, "corrupted")
         .otherwise("malformed")
     )
     delay = F.when(
@@ -102,79 +118,148 @@ def _resolved(polls: DataFrame, fallback_s: float, interval_s: float) -> DataFra
     return (
         staged.withColumn("outcome", outcome)
         .withColumn("next_delay_s", delay.cast("double"))
-        .drop("_list", "_error")
+        .drop("_list", "_probed", "_read")
+    )
+
+
+def _spelt_as_expected(polls: DataFrame) -> Column:
+    """Whether no member can hide behind another letter case."""
+    timed = F.contains(F.lower("body"), F.lit('"collectedat"'))
+    return ~F.exists(
+        "_list",
+        lambda e: e["type"].isNull()
+        | e["name"].isNull()
+        | e["payload"].isNull()
+        | (timed & e["collectedAt"].isNull()),
+    )
+
+
+def _respelt(body: Column) -> Column:
+    """The probed list with members found in any letter case."""
+    elements = jsontext.parse_document(body, "array<map<string,variant>>")
+    found = F.transform(
+        elements,
+        lambda e: F.when(
+            e.isNotNull(),
+            F.struct(*[jsontext.member(e, name).alias(name) for name in _MEMBERS]),
+        ),
+    )
+    return F.transform(found, _probe)
+
+
+def _probe(e: Column) -> Column:
+    """An element's members and the JSON shape of each; NULL for a null element."""
+    return F.when(
+        e.isNotNull(),
+        F.struct(
+            *[e[name].alias(name) for name in _MEMBERS],
+            *[F.schema_of_variant(e[name]).alias(f"{name}_shape") for name in _MEMBERS],
+        ),
     )
 
 
-def _resolve(element: Column) -> Column:
-    """One body element as a reading; ``sound`` is false where the serialiser would throw."""
-    type_, name = jsontext.member(element, "type"), jsontext.member(element, "name")
-    payload, at = jsontext.member(element, "payload"), jsontext.member(element, "collectedAt")
-    kind = F.coalesce(jsontext.string_of(type_), F.when(type_.isNull(), F.lit("")))
-    shape = jsontext.json_kind(payload)
-    fields = F.try_variant_get(payload, "$", "map<string,variant>")
-    instant = instants.parse_wire_instant(jsontext.string_of(at))
+def _read(e: Column) -> Column:
+    """The texts of an element, and the payload members its type selects."""
+    type_, name, payload, at = (e[m] for m in _MEMBERS)
+
+    def text(value: Column, shape: Column) -> Column:
+        return F.when(shape == "STRING", F.try_variant_get(value, "$", "string"))
 
-    ints = {f: _lenient_int(jsontext.member(fields, f)) for f in ("co2", "pm25", "humidity")}
-    motion_raw = jsontext.member(fields, "motionDetected")
-    motion = F.when(motion_raw.isNull(), F.lit(False)).otherwise(jsontext.bool_of(motion_raw))
-    energy = _lenient_double(jsontext.member(fields, "energy"))
+    def fits_text(shape: Column) -> Column:
+        return shape.isNull() | shape.isin("STRING", "VOID")
 
-    typed = shape == "Object"
-    is_air, is_motion, is_energy = (
-        typed & (kind == known) for known in vocab.SENSOR_TYPES
+    # An absent text member keeps its initial value, the empty text.
+    kind = F.when(type_.isNull(), F.lit("")).otherwise(text(type_, e["type_shape"]))
+    is_object = F.coalesce(e["payload_shape"].startswith("OBJECT"), F.lit(False))
+    return F.struct(
+        kind.alias("type"),
+        F.when(name.isNull(), F.lit("")).otherwise(text(name, e["name_shape"])).alias("name"),
+        payload.alias("payload"),
+        F.when(payload.isNull(), "absent")
+        .when(e["payload_shape"] == "VOID", "null")
+        .when(is_object, "object")
+        .otherwise("other")
+        .alias("shape"),
+        instants.parse_wire_instant(text(at, e["collectedAt_shape"])).alias("at"),
+        (
+            e.isNotNull()
+            & fits_text(e["type_shape"])
+            & fits_text(e["name_shape"])
+            & (at.isNull() | (e["collectedAt_shape"] == "STRING"))
+        ).alias("fits"),
+        at.isNotNull().alias("timed"),
     )
-    raw = F.when(
-        ~kind.isin(*vocab.SENSOR_TYPES) | kind.isNull() | (shape == "Undefined"),
-        F.when(shape == "Undefined", F.lit("")).when(shape != "Null", F.to_json(payload)),
+
+
+def _finish(r: Column) -> Column:
+    """A resolved reading; ``sound`` is false where the serialiser would give up."""
+    payload, kind = r["payload"], r["type"]
+    known = F.coalesce(kind.isin(*vocab.SENSOR_TYPES), F.lit(False))
+    typed = r["shape"] == "object"
+
+    def of(sensor_type: str, value: Column) -> Column:
+        return F.when(typed & (kind == sensor_type), value)
+
+    ints = {f: _lenient_int(payload, f) for f in ("co2", "pm25", "humidity")}
+    # Anything a typed payload cannot be read into spoils the poll; unknown types never do.
+    spoilt = known & (
+        (r["shape"] == "other")
+        | F.coalesce(of(vocab.AIR_QUALITY, F.greatest(*[v.isNull() for v in ints.values()])), F.lit(False))
+        | F.coalesce(of(vocab.MOTION, _lenient_bool(payload).isNull()), F.lit(False))
+        | F.coalesce(of(vocab.ENERGY, _lenient_double(payload).isNull()), F.lit(False))
     )
+    raw = F.when(r["shape"] == "absent", F.lit("")).when(~known, F.to_json(payload))
     values = F.struct(
-        *[F.when(is_air, ints[f]).alias(f) for f in ("co2", "pm25", "humidity")],
-        F.when(is_motion, motion).alias("motionDetected"),
-        F.when(is_energy, energy).alias("energy"),
+        *[of(vocab.AIR_QUALITY, value).alias(f) for f, value in ints.items()],
+        of(vocab.MOTION, _lenient_bool(payload)).alias("motionDetected"),
+        of(vocab.ENERGY, _lenient_double(payload)).alias("energy"),
         raw.alias("rawJson"),
     )
-    fits = (
-        F.when(shape.isin("Undefined", "Null"), F.lit(True))
-        .when(~F.coalesce(kind.isin(*vocab.SENSOR_TYPES), F.lit(False)), F.lit(True))
-        .when(is_air, ints["co2"].isNotNull() & ints["pm25"].isNotNull() & ints["humidity"].isNotNull())
-        .when(is_motion, motion.isNotNull())
-        .when(is_energy, energy.isNotNull())
-        .otherwise(F.lit(False))
-    )
-    sound = (
-        element.isNotNull()
-        & jsontext.is_string_or_null(type_)
-        & jsontext.is_string_or_null(name)
-        & (at.isNull() | instant.isNotNull())
-        & fits
-    )
     return F.struct(
-        sound.alias("sound"),
+        (r["fits"] & ~spoilt & (~r["timed"] | r["at"].isNotNull())).alias("sound"),
         kind.alias("type"),
-        F.coalesce(jsontext.string_of(name), F.when(name.isNull(), F.lit(""))).alias("name"),
-        F.when(shape != "Null", values).alias("payload"),
-        instant.alias("collected_at"),
+        r["name"].alias("name"),
+        F.when(r["shape"] != "null", values).alias("payload"),
+        r["at"].alias("collected_at"),
     )
 
 
-def _lenient_int(value: Column) -> Column:
+def _any_case(payload: Column, name: str) -> Column:
+    """A payload member, by exact name first."""
+    by_case = jsontext.member(F.try_variant_get(payload, "$", "map<string,variant>"), name)
+    return F.coalesce(jsontext.exact_member(payload, name), by_case)
+
+
+def _lenient_int(payload: Column, name: str) -> Column:
     """Zero if absent; a 32-bit integer, also one in quotes; NULL for anything else."""
+    value = _any_case(payload, name)
     quoted = jsontext.string_of(value)
-    return (
+    return F.coalesce(
+        jsontext.int_of(jsontext.exact_member(payload, name)),
         F.when(value.isNull(), F.lit(0))
         .when(quoted.rlike(r"^-?(0|[1-9]\d*)$"), quoted.try_cast("int"))
-        .otherwise(jsontext.int_of(value))
+        .otherwise(jsontext.int_of(value)),
     )
 
 
-def _lenient_double(value: Column) -> Column:
+def _lenient_bool(payload: Column) -> Column:
+    """False if absent; a JSON boolean; NULL for anything else."""
+    value = _any_case(payload, "motionDetected")
+    return F.coalesce(
+        jsontext.bool_of(jsontext.exact_member(payload, "motionDetected")),
+        F.when(value.isNull(), F.lit(False)).otherwise(jsontext.bool_of(value)),
+    )
+
+
+def _lenient_double(payload: Column) -> Column:
     """Zero if absent; a number, also one in quotes; NULL for anything else."""
+    value = _any_case(payload, "energy")
     quoted = jsontext.string_of(value)
-    return (
+    return F.coalesce(
+        jsontext.double_of(jsontext.exact_member(payload, "energy")),
         F.when(value.isNull(), F.lit(0.0))
         .when(
             quoted.rlike(r"^-?(0|[1-9]\d*)(\.\d+)?([eE][+-]?\d+)?$"), quoted.try_cast("double")
         )
-        .otherwise(jsontext.double_of(value))
+        .otherwise(jsontext.double_of(value)),
     )

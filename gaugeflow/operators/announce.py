@@ -112,7 +112,7 @@ def newest_lag(rows: DataFrame, now: datetime, at: str = "collected_at") -> Data
 
 
 def dead_letters(
-    rejected: DataFrame, reason: str, at: datetime, detail: str = "error_detail"
+    rejected: DataFrame, reason: str | Column, at: datetime, detail: str = "error_detail"
 ) -> DataFrame:
     """Rejected messages for the dead-letter feed.
 
@@ -128,7 +128,7 @@ def dead_letters(
         header(vocab.DLQ_TOPIC, F.col("topic")),
         header(vocab.DLQ_PARTITION, F.col("partition")),
         header(vocab.DLQ_OFFSET, F.col("offset")),
-        header(vocab.DLQ_REASON, F.lit(reason)),
+        header(vocab.DLQ_REASON, reason if isinstance(reason, Column) else F.lit(reason)),
         header(vocab.DLQ_DETAIL, F.substring(F.col(detail), 1, vocab.DLQ_DETAIL_LENGTH)),
         header(vocab.DLQ_TIMESTAMP, F.concat(stamp, F.lit("0+00:00"))),
     )

@@ -167,10 +167,18 @@ class Ingest:
     def _quarantine(
         self, tables: Tables, rejected: DataFrame, batch: str, at: datetime
     ) -> None:
-        """Dead letters of messages that carry no reading, or one no column can hold."""
+        """Dead letters of messages that carry no reading, or one the table cannot hold.
+
+        A name beyond the column's length is set aside alone, not with its whole batch.
+        """
         too_long = F.lit(f"value too long for type character varying({vocab.NAME_LENGTH})")
-        rejected = rejected.withColumn("error_detail", F.coalesce("error_detail", too_long))
-        letters = announce.dead_letters(rejected, vocab.DECODE_FAILED, at)
+        reason = F.when(F.col("error_detail").isNull(), vocab.PERSIST_FAILED).otherwise(
+            vocab.DECODE_FAILED
+        )
+        rejected = rejected.withColumns(
+            {"_reason": reason, "_detail": F.coalesce("error_detail", too_long)}
+        )
+        letters = announce.dead_letters(rejected, F.col("_reason"), at, "_detail")
         tables.put_batch("dead_letters", f"{batch}-{vocab.DECODE_FAILED}", letters)
 
     def _abandon(self, tables: Tables, decoded: DataFrame, batch: str, at: datetime) -> None:

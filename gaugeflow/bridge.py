@@ -2,6 +2,7 @@
 value, props).
 
 Every event is one reading: the user is the location, the kind of event the sensor type.
+Event times are UTC; the session must be, too (``session.tune``).
 The same events also appear as wire messages and landed polls, where the number in ``props``
 decides which of them are damaged, and as recorded metrics.
 """
@@ -58,7 +59,8 @@ def event_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def with_reading(rows: DataFrame) -> DataFrame:
-    """Add the reading behind each event, all columns of the readings table and its name."""
+    """Add the reading behind each event: all columns of the readings table, the sensor's
+    name, and ``k``, the number in ``props``."""
     kind = _sensor_type()
     rank = F.when(kind == vocab.AIR_QUALITY, 1).when(kind == vocab.MOTION, 2).otherwise(3)
     air, motion, energy = (kind == known for known in vocab.SENSOR_TYPES)
@@ -68,13 +70,14 @@ def with_reading(rows: DataFrame) -> DataFrame:
             "id": F.col("event_id"),
             "sensor_id": (F.col("user_id") * 10 + rank).cast("int"),
             "name": F.concat(F.lit("loc-"), F.col("user_id").cast("string")),
-            "collected_at": instants.from_utc_wall(F.col("ts")),
+            "collected_at": F.col("ts").cast("timestamp"),
             "sensor_type": kind,
             "co2": F.when(air, F.floor(value * 5).cast("int")),
             "pm25": F.when(air, F.floor(value / 10).cast("int")),
             "humidity": F.when(air, F.floor(value).cast("int") % 100),
             "energy_kwh": F.when(energy, value),
             "motion_detected": F.when(motion, F.col("event_type") == "signup"),
+            "k": F.get_json_object("props", "$.k").cast("int"),
         }
     )
 
@@ -104,7 +107,7 @@ def with_message(rows: DataFrame) -> DataFrame:
     One reading in a hundred each, by the number in ``props``, is sent twice, misspelt,
     truncated or otherwise damaged, as listed below.
     """
-    k = F.get_json_object("props", "$.k").cast("int")
+    k = F.col("k")
     full = with_reading(rows)
     payload = F.struct(
         "co2",
@@ -169,7 +172,7 @@ def polls(spark: SparkSession, folder: str) -> DataFrame:
     The first event of a poll decides by its number how the upstream answered; the numbers
     of the others damage single readings.
     """
-    k = F.get_json_object("props", "$.k").cast("int")
+    k = F.col("k")
     payload = F.struct(
         "co2",
         "pm25",
@@ -182,17 +185,19 @@ def polls(spark: SparkSession, folder: str) -> DataFrame:
         "name",
         payload.alias("payload"),
     )
-    text = F.when(
-        k == 29, F.regexp_replace(F.to_json(element), r'("co2"|"energy"):([^,}]+)', '$1:"$2"')
-    ).when(
-        k == 31, F.regexp_replace(F.to_json(element), r'"payload":\{[^}]*\}', '"payload":"oops"')
-    ).otherwise(F.to_json(element))
+    sound = F.col("sound")
+    text = (
+        F.when(k == 29, F.regexp_replace(sound, r'("co2"|"energy"):([^,}]+)', '$1:"$2"'))
+        .when(k == 31, F.regexp_replace(sound, r'"payload":\{[^}]*\}', '"payload":"oops"'))
+        .otherwise(sound)
+    )
     grouped = (
         with_reading(events(spark, folder))
+        .withColumn("sound", F.to_json(element))
         .select(
-            F.floor(F.col("event_id") / POLL_SIZE).alias("poll_id"),
+            instants.floor_div(F.col("event_id"), POLL_SIZE).alias("poll_id"),
             "event_id",
-            k.alias("k"),
+            "k",
             text.alias("text"),
             "collected_at",
         )
@@ -236,7 +241,7 @@ def metrics(spark: SparkSession, folder: str) -> DataFrame:
     name: Column = F.lit(None).cast("string")
     for kind, counter in names.items():
         name = F.when(F.col("event_type") == kind, counter).otherwise(name)
-    k = F.get_json_object("props", "$.k").cast("int")
+    k = F.col("k")
     reason = F.when(k < 10, vocab.PERSIST_FAILED).otherwise(vocab.DECODE_FAILED)
     outcome = F.when(k < 20, "failure").otherwise("success")
     labels = (
@@ -245,8 +250,8 @@ def metrics(spark: SparkSession, folder: str) -> DataFrame:
         .otherwise(F.create_map().cast("map<string,string>"))
     )
     amount = F.when(F.col("event_type") == "purchase", F.col("value")).otherwise(k.cast("double"))
-    return events(spark, folder).select(
-        instants.from_utc_wall(F.col("ts")).alias("ts"),
+    return with_reading(events(spark, folder)).select(
+        F.col("collected_at").alias("ts"),
         name.alias("name"),
         labels.alias("labels"),
         amount.alias("value"),
@@ -273,10 +278,10 @@ def changes(spark: SparkSession, folder: str) -> DataFrame:
 
     The number in ``props`` is the reading count; some numbers damage the message.
     """
-    k = F.get_json_object("props", "$.k").cast("int")
+    k = F.col("k")
     base = instants.micros_of(NOW)
     published = F.timestamp_micros(
-        F.lit(base) + F.floor((F.unix_micros("collected_at") - F.lit(base)) / 1000)
+        F.lit(base) + instants.floor_div(F.unix_micros("collected_at") - F.lit(base), 1000)
     )
     sensor = F.struct(F.col("name").alias("location"), F.col("sensor_type").alias("sensorType"))
     body = F.to_json(

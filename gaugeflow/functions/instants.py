@@ -73,7 +73,7 @@ def instant(value: datetime | str) -> Column:
 
 def utc_day(at: Column) -> Column:
     """The UTC calendar day of an instant, the partition key of stored readings."""
-    return F.date_from_unix_date(_floor_div(F.unix_micros(at), _DAY_US).cast("int"))
+    return F.date_from_unix_date(floor_div(F.unix_micros(at), _DAY_US).cast("int"))
 
 
 def utc_wall(at: Column) -> Column:
@@ -81,13 +81,6 @@ def utc_wall(at: Column) -> Column:
     return F.timestamp_add("MICROSECOND", F.unix_micros(at), F.expr("TIMESTAMP_NTZ'1970-01-01'"))
 
 
-def from_utc_wall(at: Column) -> Column:
-    """The instant that a zone-less UTC wall-clock value names."""
-    return F.timestamp_micros(
-        F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ'1970-01-01'"), at)
-    )
-
-
 def period_start(at: Column, interval: str) -> Column:
     """Calendar bucket of an instant: hour, day, ISO week or month, always in UTC."""
     micros = F.unix_micros(at)
@@ -103,7 +96,7 @@ def period_start(at: Column, interval: str) -> Column:
 
 def age_ms(at: Column, now: datetime) -> Column:
     """Whole milliseconds from an instant to a given now; negative for future instants."""
-    return F.lit(micros_of(now) // 1000).cast("bigint") - _floor_div(F.unix_micros(at), 1000)
+    return F.lit(micros_of(now) // 1000).cast("bigint") - floor_div(F.unix_micros(at), 1000)
 
 
 def feed_state(at: Column, now: datetime) -> Column:
@@ -119,15 +112,15 @@ def feed_state(at: Column, now: datetime) -> Column:
 
 def age_label(at: Column, now: datetime) -> Column:
     """Age as ``42s``, ``7m`` or ``1h05``; never negative."""
-    seconds = F.greatest(F.lit(0).cast("bigint"), _floor_div(age_ms(at, now) + 500, 1000))
-    minutes = _floor_div(seconds, 60)
+    seconds = F.greatest(F.lit(0).cast("bigint"), floor_div(age_ms(at, now) + 500, 1000))
+    minutes = floor_div(seconds, 60)
     return F.when(
         at.isNotNull(),
         F.when(seconds < 60, F.concat(seconds.cast("string"), F.lit("s")))
         .when(minutes < 60, F.concat(minutes.cast("string"), F.lit("m")))
         .otherwise(
             F.concat(
-                _floor_div(minutes, 60).cast("string"),
+                floor_div(minutes, 60).cast("string"),
                 F.lit("h"),
                 F.lpad(F.pmod(minutes, F.lit(60)).cast("string"), 2, "0"),
             )
@@ -165,7 +158,7 @@ def parse_wire_instant(text: Column) -> Column:
     )
 
 
-def _floor_div(value: Column, by: int) -> Column:
+def floor_div(value: Column, by: int) -> Column:
     """Integer division that rounds down, also below zero."""
     return F.call_function("div", value - F.pmod(value, F.lit(by)), F.lit(by)).cast("bigint")
 

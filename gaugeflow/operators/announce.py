@@ -20,7 +20,7 @@ def announcement_of(total: int) -> Column:
     """
     if total <= vocab.BATCH_MESSAGES:
         return F.lit("all")
-    block = F.floor(F.col("offset") / vocab.BATCH_MESSAGES).cast("bigint")
+    block = instants.floor_div(F.col("offset"), vocab.BATCH_MESSAGES)
     return F.concat_ws("/", "topic", F.col("partition").cast("string"), block.cast("string"))
 
 

@@ -98,7 +98,7 @@ def by_location(periods: DataFrame) -> DataFrame:
 
 
 def aggregate_series(periods: DataFrame, metric: str) -> DataFrame:
-    """One row per location: unit, and its points oldest first; ordered by location.
+    """One row per location: unit, and its points oldest first.
 
     Runs over reduced rows; the range rule bounds the points of a location, so the lists
     stay small.
@@ -107,7 +107,6 @@ def aggregate_series(periods: DataFrame, metric: str) -> DataFrame:
         periods.groupBy("location")
         .agg(F.array_sort(F.collect_list(F.struct(*POINT_FIELDS))).alias("points"))
         .select("location", F.lit(vocab.metric(metric).unit).alias("unit"), "points")
-        .orderBy("location")
     )
 
 
@@ -158,8 +157,9 @@ def align_series(series: DataFrame) -> DataFrame:
 
 def explode_aligned(aligned: DataFrame, metric: str) -> DataFrame:
     """Aligned series as rows, with the metric's alert limit beside each value."""
+    # The outer form: a filter for empty lists would lay every series out twice.
     return aligned.select(
-        "location", "unit", F.inline("values"), thresholds.alert_limit(metric).alias("threshold")
+        "location", "unit", F.inline_outer("values"), thresholds.alert_limit(metric).alias("threshold")
     )
 
 

@@ -96,11 +96,11 @@ METRICS = (
     READINGS
     + """, d AS (
   SELECT collected_at AS ts, event_type,
-    CASE event_type WHEN 'view' THEN 'data_processor.kafka.messages_consumed'
-      WHEN 'click' THEN 'data_processor.database.readings_inserted'
-      WHEN 'signup' THEN 'data_injector.weakapp.requests'
-      WHEN 'error' THEN 'data_processor.kafka.dead_lettered_messages'
-      ELSE 'data_processor.kafka.batch_duration' END AS name,
+    CASE event_type WHEN 'view' THEN 'ingest.messages_consumed'
+      WHEN 'click' THEN 'ingest.readings_inserted'
+      WHEN 'signup' THEN 'produce.poll_requests'
+      WHEN 'error' THEN 'ingest.dead_lettered_messages'
+      ELSE 'ingest.batch_duration' END AS name,
     CASE WHEN event_type = 'error' THEN
       CASE WHEN k < 10 THEN 'persist-failed' ELSE 'decode-failed' END END AS reason,
     CASE WHEN event_type = 'signup' THEN

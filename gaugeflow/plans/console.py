@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gaugeflow.functions.instants import normalize
 from gaugeflow.functions.labels import matches_search
-from gaugeflow.operators import buckets, status
+from gaugeflow.operators import status
 from gaugeflow.plans.store import ReadingStore
 
 DEFAULT_RANGE = timedelta(hours=24)
@@ -64,5 +64,6 @@ class Console:
     def chart(self) -> DataFrame:
         """The metric's series on one axis; the sensor type does not apply here."""
         w = self.where.resolved()
-        series = self.store.series(w.metric, w.interval, w.start, w.end, w.location, now=w.now)
-        return buckets.align_series(series)
+        return self.store.aligned_series(
+            w.metric, w.interval, w.start, w.end, w.location, now=w.now
+        )

@@ -8,12 +8,13 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gaugeflow import vocab
 from gaugeflow.functions import labels
-from gaugeflow.operators import buckets, paging, readings as ops
+from gaugeflow.operators import buckets, paging
+from gaugeflow.operators import readings as ops
 from gaugeflow.operators.paging import Connection
 from gaugeflow.operators.readings import ReadingFilter
 from gaugeflow.plans.arguments import aggregation_range, whole_periods
-from gaugeflow import vocab
 
 Instant = datetime | str | None
 
@@ -122,11 +123,21 @@ class ReadingStore:
         now: datetime | None = None,
     ) -> DataFrame:
         """One series per location over the range widened to whole periods."""
-        bounds = aggregation_range(interval, start, end, now)
-        periods = self._periods(
-            metric, interval, *whole_periods(vocab.interval(interval), *bounds), location
-        )
-        return buckets.aggregate_series(periods, metric)
+        found = self._series(metric, interval, start, end, location, now)
+        return found.orderBy("location")
+
+    def aligned_series(
+        self,
+        metric: str,
+        interval: str = "hour",
+        start: Instant = None,
+        end: Instant = None,
+        location: str | None = None,
+        now: datetime | None = None,
+    ) -> DataFrame:
+        """The series of ``series`` laid on one axis: every location has every period."""
+        found = self._series(metric, interval, start, end, location, now)
+        return buckets.align_series(found).orderBy("location")
 
     def catalogue(self) -> DataFrame:
         """Every sensor, by name and stored type."""
@@ -136,6 +147,20 @@ class ReadingStore:
         """Every location once, ordered."""
         return ops.distinct_locations(self.sensors)
 
+    def _series(
+        self,
+        metric: str,
+        interval: str,
+        start: Instant,
+        end: Instant,
+        location: str | None,
+        now: datetime | None,
+    ) -> DataFrame:
+        bounds = aggregation_range(interval, start, end, now)
+        bounds = whole_periods(vocab.interval(interval), *bounds)
+        periods = self._periods(metric, interval, *bounds, location)
+        return buckets.aggregate_series(periods, metric)
+
     def _periods(
         self, metric: str, interval: str, start: datetime, end: datetime, location: str | None
     ) -> DataFrame:

@@ -201,7 +201,7 @@ def batch_lag(spark, folder):
 def rows_from_parallel_arrays(spark, folder):
     rows = bridge.with_reading(bridge.events(spark, folder))
     packed = (
-        rows.groupBy(F.floor(F.col("event_id") / bridge.POLL_SIZE).alias("pack"))
+        rows.groupBy(instants.floor_div(F.col("event_id"), bridge.POLL_SIZE).alias("pack"))
         .agg(F.array_sort(F.collect_list(F.struct("id", "sensor_id", "collected_at", "co2"))).alias("r"))
         .select(*[F.col(f"r.{c}").alias(c) for c in ("id", "sensor_id", "collected_at", "co2")])
     )
@@ -442,13 +442,16 @@ def weekly_series(spark, folder):
 
 @query
 def aligned_series(spark, folder):
-    aligned = buckets.align_series(_series(spark, folder, "humidity", "day"))
+    aligned = _store(spark, folder).aligned_series(
+        "humidity", "day", START, END, now=bridge.NOW
+    )
     return _rounded(buckets.explode_aligned(aligned, "humidity"), "average")
 
 
 @query
 def series_gaps(spark, folder):
-    return buckets.first_gaps(buckets.align_series(_series(spark, folder, "pm25", "day")))
+    aligned = _store(spark, folder).aligned_series("pm25", "day", START, END, now=bridge.NOW)
+    return buckets.first_gaps(aligned)
 
 
 @query

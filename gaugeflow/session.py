@@ -15,6 +15,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     # INT96, the default, carries no row-group statistics, so instants could not be pruned.
     "spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS",
+    # Bursts of one feed meet in one task; let every task merge its own sessions first.
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
     # A repeated JSON key means its last value, as the producers' serialiser reads it.
     "spark.sql.variant.allowDuplicateKeys": "true",
 }

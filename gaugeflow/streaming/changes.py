@@ -4,28 +4,102 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeflow import vocab
 from gaugeflow.functions import instants, labels
 
-QUIET = "400 milliseconds"
+QUIET_MS = 400
+# Slots of one quiet time each that are chained together in one task: about an hour.
+_CHAINED = 9000
 
 
-def refresh_signals(events: DataFrame, quiet: str = QUIET, late: str = "10 seconds") -> DataFrame:
-    """One refresh per burst: events closer together than ``quiet`` belong to one burst.
+def refresh_signals(events: DataFrame, quiet_ms: int = QUIET_MS) -> DataFrame:
+    """One refresh per burst of a bounded set of events, ``quiet_ms`` after its last event.
 
-    Works on a bounded table and on a stream. On a stream a burst is reported, in append
-    mode, once the watermark has passed it, and events later than ``late`` are dropped;
-    the refresh they would have caused has then happened already. Bursts merge map-side
-    before the shuffle, since all events share one feed.
+    Events closer together than the quiet time belong to one burst. All events share one
+    feed, so a session window would order them all in one task. Instead, events are first
+    reduced to slots as wide as the quiet time - events in one slot are in one burst - then
+    slots are chained inside hours, and last the bursts that cross an hour's end, found from
+    one row per hour, are joined.
     """
-    if events.isStreaming:
-        events = events.withWatermark("published_at", late)
-    burst = F.session_window("published_at", quiet)
+    quiet_us = quiet_ms * 1000
+    slot = instants.floor_div(F.unix_micros("published_at"), quiet_us)
+    slots = events.groupBy(slot.alias("slot")).agg(
+        F.min(F.unix_micros("published_at")).alias("opened"),
+        F.max(F.unix_micros("published_at")).alias("last"),
+        F.count("*").alias("events"),
+        F.sum("reading_count").alias("readings"),
+    )
+
+    hour = instants.floor_div(F.col("slot"), _CHAINED).alias("hour")
+    in_hour = Window.partitionBy("hour").orderBy("slot")
+    gap = F.col("opened") - F.lag("last").over(in_hour)
+    opens = F.when(gap < quiet_us, 0).otherwise(1)
+    bursts = (
+        slots.select("*", hour)
+        .withColumn("opens", opens)
+        .withColumn("burst", F.sum("opens").over(in_hour))
+        .groupBy("hour", "burst")
+        .agg(*_merged())
+    )
+
+    # One row per hour that has events, so ordering them all is cheap.
+    hours = bursts.groupBy("hour").agg(
+        F.min("opened").alias("first_opened"),
+        F.max("last").alias("last_event"),
+        F.max("burst").alias("bursts"),
+    )
+    in_order = Window.orderBy("hour")
+    since = F.col("first_opened") - F.lag("last_event").over(in_order)
+    goes_on = F.coalesce(since < quiet_us, F.lit(False))
+    own_last = F.struct("hour", F.col("bursts").alias("burst"))
+    # The burst an hour ends in began in that hour, or in an earlier one if it never paused.
+    ending = F.last(
+        F.when(~(F.col("goes_on") & (F.col("bursts") == 1)), own_last), ignorenulls=True
+    ).over(in_order.rowsBetween(Window.unboundedPreceding, 0))
+    joined = (
+        hours.withColumn("goes_on", goes_on)
+        .withColumn("ending", ending)
+        .withColumn("begun", F.lag("ending").over(in_order))
+        .filter("goes_on")
+        .select("hour", F.lit(1).cast("bigint").alias("burst"), "begun")
+    )
+    return (
+        bursts.join(joined, ["hour", "burst"], "left")
+        .groupBy(F.coalesce("begun", F.struct("hour", "burst")).alias("root"))
+        .agg(*_merged())
+        .select(
+            F.timestamp_micros("opened").alias("first_event_at"),
+            F.timestamp_micros(F.col("last") + quiet_us).alias("refresh_at"),
+            "events",
+            "readings",
+        )
+    )
+
+
+def _merged() -> list[Column]:
+    return [
+        F.min("opened").alias("opened"),
+        F.max("last").alias("last"),
+        F.sum("events").alias("events"),
+        F.sum("readings").alias("readings"),
+    ]
+
+
+def refresh_stream(
+    events: DataFrame, quiet_ms: int = QUIET_MS, late: str = "10 seconds"
+) -> DataFrame:
+    """One refresh per burst of an event stream; events carry their ``topic``.
+
+    A burst is reported, in append mode, once the watermark has passed it. Events later than
+    ``late`` are dropped: the refresh they would have caused has happened by then. Sessions
+    merge on each task before the shuffle (see ``session.SETTINGS``).
+    """
+    burst = F.session_window("published_at", f"{quiet_ms} milliseconds")
     return (
-        events.groupBy(burst.alias("burst"), F.lit(vocab.PERSISTED_TOPIC).alias("topic"))
+        events.withWatermark("published_at", late)
+        .groupBy(burst.alias("burst"), "topic")
         .agg(F.count("*").alias("events"), F.sum("reading_count").alias("readings"))
         .select(
             F.col("burst.start").alias("first_event_at"),

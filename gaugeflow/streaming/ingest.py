@@ -16,7 +16,7 @@ import time
 from collections import deque
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from datetime import datetime, timezone
+from datetime import datetime
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
@@ -30,6 +30,7 @@ from gaugeflow.operators.decode import decode_messages
 from gaugeflow.operators.metrics import metric_rows
 from gaugeflow.session import tune
 from gaugeflow.sources.tables import Tables, day_column
+from gaugeflow.streaming.jobs import batch_name, start_batches, utc_now
 
 # The spans of a batch, one row per topic partition, are broadcast; this bounds them.
 _MAX_PARTITIONS = 100_000
@@ -74,7 +75,7 @@ class Ingest:
 
     tables: Tables
     retry: RetryPolicy = field(default_factory=RetryPolicy)
-    clock: Callable[[], datetime] = lambda: datetime.now(timezone.utc)
+    clock: Callable[[], datetime] = utc_now
     publish: Callable[[DataFrame], None] | None = None
     reports: deque[BatchReport] = field(default_factory=lambda: deque(maxlen=1000))
 
@@ -86,17 +87,11 @@ class Ingest:
         linger: str = vocab.BATCH_LINGER,
     ) -> StreamingQuery:
         """Run on a message stream; ``drain`` stops after what is there now."""
-        writer = messages.writeStream.foreachBatch(self.process).option(
-            "checkpointLocation", checkpoint
-        )
-        trigger = {"availableNow": True} if drain else {"processingTime": linger}
-        return writer.trigger(**trigger).start()
+        return start_batches(messages, self.process, checkpoint, drain, linger)
 
     def process(self, messages: DataFrame, batch_id: int) -> None:
-        """Handle one micro-batch; its name stays the same when the query replays it."""
-        context = messages.sparkSession.sparkContext
-        query = context.getLocalProperty("sql.streaming.queryId") or "batch"
-        self.reports.append(self.run_batch(messages, f"{query}-{batch_id:09d}"))
+        """Handle one micro-batch."""
+        self.reports.append(self.run_batch(messages, batch_name(messages, batch_id)))
 
     def run_batch(self, messages: DataFrame, batch: str) -> BatchReport:
         """Handle a bounded set of messages under a batch name of the caller's choice.

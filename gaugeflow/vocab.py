@@ -107,24 +107,25 @@ ENERGY_FIELD = "An energy payload requires a numeric energy field."
 BATCH_NOT_STORED = "The batch could not be persisted within the configured attempt limit."
 RANGE_ORDER = "from must be earlier than to."
 
-# Counters and histograms written by the jobs.
-MESSAGES_CONSUMED = "data_processor.kafka.messages_consumed"
-BATCHES_PROCESSED = "data_processor.kafka.batches_processed"
-BATCH_RETRIES = "data_processor.kafka.batch_retries"
-DEAD_LETTERED = "data_processor.kafka.dead_lettered_messages"
-EVENTS_PUBLISHED = "data_processor.kafka.readings_persisted_events_published"
-READINGS_INSERTED = "data_processor.database.readings_inserted"
-DUPLICATES_SKIPPED = "data_processor.database.readings_duplicates_skipped"
-BATCH_DURATION = "data_processor.kafka.batch_duration"
-WRITE_DURATION = "data_processor.database.write_duration"
-CONSUMER_LAG = "data_processor.kafka.consumer_lag"
-MESSAGES_PRODUCED = "data_injector.kafka.messages_produced"
-MESSAGES_FAILED = "data_injector.kafka.messages_failed"
-READINGS_POLLED = "data_injector.weakapp.readings_polled"
-POLL_REQUESTS = "data_injector.weakapp.requests"
-POLL_DURATION = "data_injector.polling.cycle_duration"
-EVENTS_CONSUMED = "notification.kafka.events_consumed"
-EVENT_LAG = "notification.kafka.consumer_lag"
+# Counters and durations that the jobs record.
+MESSAGES_CONSUMED = "ingest.messages_consumed"
+BATCHES_PROCESSED = "ingest.batches_processed"
+BATCH_RETRIES = "ingest.batch_retries"
+DEAD_LETTERED = "ingest.dead_lettered_messages"
+EVENTS_PUBLISHED = "ingest.events_published"
+READINGS_INSERTED = "ingest.readings_inserted"
+DUPLICATES_SKIPPED = "ingest.duplicates_skipped"
+BATCH_DURATION = "ingest.batch_duration"
+WRITE_DURATION = "ingest.write_duration"
+CONSUMER_LAG = "ingest.newest_reading_lag"
+MESSAGES_PRODUCED = "produce.messages_produced"
+MESSAGES_FAILED = "produce.messages_failed"
+READINGS_POLLED = "produce.readings_polled"
+POLL_REQUESTS = "produce.poll_requests"
+POLL_DURATION = "produce.poll_duration"
+EVENTS_CONSUMED = "relay.events_consumed"
+EVENT_LAG = "relay.event_lag"
+EVENTS_PUSHED = "relay.events_pushed"
 
 
 def metric(name: str) -> Metric:

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import base64
-from dataclasses import dataclass
-from datetime import datetime
+from dataclasses import dataclass, replace
+from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 from gaugeflow import vocab
 from gaugeflow.functions import instants
 
-# Offsets up to here are read with one top-k pass; deeper ones are first narrowed by counting.
-DIRECT_ROWS = 50_000
+# Pages that end by this row are read with one top-k pass, unless day partitions tell more.
+DIRECT_ROWS = 5_000
+# Deeper pages are first narrowed to a key range with about this many rows around them.
+RANGE_ROWS = 100_000
 _RANGES = 4096
+_DAY_US = 86_400_000_000
 
 
 def newest_first(readings: DataFrame) -> DataFrame:
@@ -33,18 +36,34 @@ def check_page(page: int, size: int, start: datetime | None, end: datetime | Non
 
 
 def offset_page(
-    readings: DataFrame, page: int, size: int, direct_rows: int = DIRECT_ROWS
+    readings: DataFrame,
+    page: int,
+    size: int,
+    direct_rows: int = DIRECT_ROWS,
+    range_rows: int = RANGE_ROWS,
 ) -> DataFrame:
     """The rows of one numbered page.
 
-    A top-k pass keeps ``page * size`` rows per task and merges them in one, which is fine
-    near the front. For a deep page the rows ahead of it are counted away instead, so that at
-    most ``direct_rows`` rows remain to be sorted and dropped. Each count aggregates map-side
-    and returns at most a few thousand numbers; the page holds the same rows either way.
+    A top-k pass hands ``page * size`` rows per task to a single one, which is fine near the
+    front of a small table. Otherwise the page's first and last row are located by counting:
+    stored readings by day partition, which reads no column, then by ever finer ranges of
+    instants and ids. What is left to sort is the page and at most about ``range_rows`` rows
+    on either side of it, wherever it lies and however many rows share an instant. The
+    counts come back as a few thousand numbers per round; the page holds the same rows.
     """
     skip = (page - 1) * size
-    if skip + size > direct_rows:
-        readings, skip = _skip_ahead(readings, skip, size, direct_rows)
+    if "collected_date" in readings.columns or skip + size > direct_rows:
+        first = _locate(readings, skip, range_rows)
+        if first is None:
+            return readings.limit(0)
+        last = first
+        if first.ahead + first.rows < skip + size:
+            last = _locate(readings, skip + size - 1, range_rows)
+        readings = readings.filter(first.not_newer())
+        if last is not None:
+            readings = readings.filter(last.not_older())
+        readings = _cut_days(readings, first.at_high, last.at_low if last else None)
+        skip -= first.ahead
     return newest_first(readings).offset(skip).limit(size)
 
 
@@ -101,8 +120,10 @@ def keyset_page(
 ) -> Connection:
     """One page by cursor, forward with first/after or backward with last/before.
 
-    The bound is a predicate on the ordering key, so it reaches the scan, and any page takes
-    one top-k pass of at most 101 rows per task. Rows appended meanwhile never shift a page.
+    The bound is a predicate on the ordering key, so it reaches the scan, and a page takes
+    one top-k pass of at most 101 rows per task; stored readings are first cut to the day
+    partitions nearest to the cursor that hold a page. Rows appended meanwhile never shift
+    a page.
     """
     if first is not None and last is not None:
         raise ValueError("first and last cannot be used together.")
@@ -122,6 +143,9 @@ def keyset_page(
         micros, id_ = read_cursor(before)
         rows = _cut_days(rows, None, micros).filter(_beyond(micros, id_, older=False))
 
+    if "collected_date" in rows.columns:
+        rows = _nearest_days(rows, size + 1, newest=not backward)
+
     key = [F.col("collected_at"), F.col("id")]
     towards = [k.asc() if backward else k.desc() for k in key]
     # At most 101 rows from here on, so one task may rank them.
@@ -170,48 +194,99 @@ def _cut_days(rows: DataFrame, newest: int | None, oldest: int | None) -> DataFr
     return rows
 
 
-def _skip_ahead(
-    readings: DataFrame, skip: int, size: int, direct_rows: int
-) -> tuple[DataFrame, int]:
-    """Leave out rows ahead of a deep page; return the rest and the offset that remains.
+def _nearest_days(rows: DataFrame, needed: int, newest: bool) -> DataFrame:
+    """Stored readings: the days, from the newest or the oldest on, that hold enough rows."""
+    found = 0
+    for day, count in _day_counts(rows, newest):
+        found += count
+        if found >= needed:
+            edge = F.col("collected_date")
+            return rows.filter(edge >= F.lit(day) if newest else edge <= F.lit(day))
+    return rows
+
+
+def _day_counts(rows: DataFrame, newest: bool) -> list[tuple[date, int]]:
+    """Rows per day partition in listing order; one number per day."""
+    day = F.col("collected_date")
+    counted = rows.groupBy(day).agg(F.count("*")).orderBy(day.desc() if newest else day.asc())
+    return [tuple(r) for r in counted.collect()]
 
-    Looks for the key the page starts at: instants first, then ids inside one instant, each
-    round counting the rows of up to 4096 equal key ranges and entering the one that holds
-    the start.
+
+@dataclass(frozen=True)
+class _Span:
+    """A range of ordering keys: how many rows it holds and how many lie ahead of it."""
+
+    at_low: int
+    at_high: int
+    ahead: int
+    rows: int
+    id_low: int | None = None
+    id_high: int | None = None
+
+    def not_newer(self) -> Column:
+        time, high = F.col("collected_at"), _at(self.at_high)
+        if self.id_high is None:
+            return time <= high
+        return (time <= high) & ((time < high) | (F.col("id") <= self.id_high))
+
+    def not_older(self) -> Column:
+        time, low = F.col("collected_at"), _at(self.at_low)
+        if self.id_low is None:
+            return time >= low
+        return (time >= low) & ((time > low) | (F.col("id") >= self.id_low))
+
+
+def _locate(readings: DataFrame, rank: int, range_rows: int) -> _Span | None:
+    """The key range that holds the row at ``rank``; None if there are fewer rows.
+
+    Narrows until the range holds at most ``range_rows`` rows: by day where the table is
+    partitioned by day, then by instant, and inside a single instant by id.
     """
-    within = readings
-    low, high = within.agg(
-        F.min(F.unix_micros("collected_at")), F.max(F.unix_micros("collected_at"))
-    ).first()
-    if low is None:
-        return readings, skip
-    while skip + size > direct_rows and low < high:
-        found = _enter(within, F.unix_micros("collected_at"), low, high, skip)
-        if found is None:
-            return readings.filter(F.lit(False)), 0
-        low, high, skip = found
-        within = _cut_days(readings, high, low).filter(
-            F.col("collected_at").between(_at(low), _at(high))
+    ahead, within = 0, readings
+    if "collected_date" in readings.columns:
+        for day, rows in _day_counts(readings, newest=True):
+            if rank < ahead + rows:
+                break
+            ahead += rows
+        else:
+            return None
+        low = instants.micros_of(datetime.combine(day, datetime.min.time()))
+        high = low + _DAY_US - 1
+        within = readings.filter(F.col("collected_date") == F.lit(day))
+    else:
+        low, high, rows = within.agg(
+            F.min(F.unix_micros("collected_at")),
+            F.max(F.unix_micros("collected_at")),
+            F.count("*"),
+        ).first()
+        if rank >= rows:
+            return None
+
+    while rows > range_rows and low < high:
+        low, high, passed, rows = _enter(
+            within, F.unix_micros("collected_at"), low, high, rank - ahead
         )
-    older = _cut_days(readings, high, None).filter(F.col("collected_at") <= _at(high))
-    if skip + size <= direct_rows or low < high:
-        return older, skip
+        ahead += passed
+        within = within.filter(F.col("collected_at").between(_at(low), _at(high)))
+    span = _Span(low, high, ahead, rows)
+    if rows <= range_rows:
+        return span
 
-    instant, within = high, within.filter(F.col("collected_at") == _at(high))
     low, high = within.agg(F.min("id"), F.max("id")).first()
-    while skip + size > direct_rows and low < high:
-        found = _enter(within, F.col("id"), low, high, skip)
-        if found is None:
-            return older.filter(F.col("collected_at") < _at(instant)), skip - within.count()
-        low, high, skip = found
+    while rows > range_rows and low < high:
+        low, high, passed, rows = _enter(within, F.col("id"), low, high, rank - ahead)
+        ahead += passed
         within = within.filter(F.col("id").between(low, high))
-    return older.filter((F.col("collected_at") < _at(instant)) | (F.col("id") <= high)), skip
+    return replace(span, ahead=ahead, rows=rows, id_low=low, id_high=high)
 
 
 def _enter(
-    rows: DataFrame, key: Column, low: int, high: int, skip: int
-) -> tuple[int, int, int] | None:
-    """The key range, out of up to 4096 equal ones, that holds the row at offset ``skip``."""
+    rows: DataFrame, key: Column, low: int, high: int, rank: int
+) -> tuple[int, int, int, int]:
+    """Out of up to 4096 equal key ranges the one that holds the row at ``rank``.
+
+    Returns its bounds, the number of rows in the ranges ahead of it, and in itself.
+    """
     width = -(-(high - low + 1) // _RANGES)
     counts = (
         rows.groupBy(F.call_function("div", F.lit(high) - key, F.lit(width)).alias("range"))
@@ -219,9 +294,10 @@ def _enter(
         .orderBy("range")
         .collect()
     )
-    for position, rows_in_range in counts:
-        if skip < rows_in_range:
+    ahead = 0
+    for position, held in counts:
+        if rank < ahead + held:
             top = high - position * width
-            return max(low, top - width + 1), top, skip
-        skip -= rows_in_range
-    return None
+            return max(low, top - width + 1), top, ahead, held
+        ahead += held
+    raise RuntimeError("The rows changed while a page was located; read the page again.")

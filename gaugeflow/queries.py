@@ -264,7 +264,7 @@ def readings_page_filtered(spark, folder):
 @query
 def readings_page_deep(spark, folder):
     kept = bridge.readings(spark, folder)
-    return paging.offset_page(kept, page=15, size=500, direct_rows=1000)
+    return paging.offset_page(kept, page=15, size=500, range_rows=1000)
 
 
 @query

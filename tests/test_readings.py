@@ -103,22 +103,42 @@ def test_of_type_and_count_by_type(listing):
     }
 
 
-def test_deep_pages_equal_shallow_ones(readings):
+@pytest.fixture
+def crowded(readings):
+    """900 rows, a third of them at one instant; and their ids, newest first."""
     rng = random.Random(5)
-    # A third of the rows share one instant, so the search has to go on by id.
     rows = [
-        energy(i, i % 7, at(0) if i % 3 == 0 else at(rng.randrange(100_000)), 1.0)
+        energy(i, i % 7, at(0) if i % 3 == 0 else at(rng.randrange(-50_000, 50_000)), 1.0)
         for i in rng.sample(range(10_000), 900)
     ]
-    df = readings(*rows)
-    expected = [r["id"] for r in sorted(rows, key=lambda r: (r["collected_at"], r["id"]), reverse=True)]
-    for page in (1, 2, 7, 20, 30, 44, 45, 46, 60):
-        for direct in (20, 21, 64, 10_000):
-            got = ids(paging.offset_page(df, page, 20, direct_rows=direct))
-            assert got == expected[(page - 1) * 20 : page * 20], (page, direct)
+    ordered = sorted(rows, key=lambda r: (r["collected_at"], r["id"]), reverse=True)
+    return readings(*rows), [r["id"] for r in ordered]
+
+
+@pytest.mark.parametrize("by_day", [False, True])
+def test_deep_pages_equal_shallow_ones(crowded, by_day):
+    df, expected = crowded
+    if by_day:
+        df = df.withColumn("collected_date", F.to_date("collected_at"))
+    df = df.cache()
+    for page in (1, 2, 17, 25, 32, 45, 46, 60):
+        for range_rows in (1, 64):
+            got = paging.offset_page(df, page, 20, direct_rows=20, range_rows=range_rows)
+            assert ids(got) == expected[(page - 1) * 20 : page * 20], (page, range_rows)
     assert ids(paging.offset_page(df.limit(0), 9, 20, direct_rows=20)) == []
 
 
+def test_located_ranges_are_small(crowded):
+    df, expected = crowded
+    df = df.cache()
+    for rank in (0, 10, 300, 450, 599, 899):
+        span = paging._locate(df, rank, 16)
+        assert span.rows <= 16 and span.ahead <= rank < span.ahead + span.rows
+        kept = df.filter(span.not_newer()).filter(span.not_older())
+        assert ids(paging.newest_first(kept)) == expected[span.ahead : span.ahead + span.rows]
+    assert paging._locate(df, 900, 16) is None
+
+
 # --- cursors ----------------------------------------------------------------------------
 
 
@@ -241,6 +261,7 @@ def test_stored_readings_prune_days(spark, two_rooms, folder):
     stored = two_rooms.readings.withColumn("collected_date", F.to_date("collected_at"))
     stored.write.partitionBy("collected_date").parquet(f"{folder}/t")
     store = ReadingStore(spark.read.parquet(f"{folder}/t"), two_rooms.sensors)
+    assert ids(store.list_page(page=1, size=2).items) == [2, 3]
     listed = store.list_page(start=at(60), end=at(60) + timedelta(minutes=1)).items
     assert ids(listed) == [3]
     plan = listed._jdf.queryExecution().toString()

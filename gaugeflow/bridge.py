@@ -273,8 +273,8 @@ def _wall(at: datetime) -> Column:
 
 
 
-def changes(spark: SparkSession, folder: str) -> DataFrame:
-    """Change-event messages: one per event, a thousand times closer together in time.
+def with_change(rows: DataFrame) -> DataFrame:
+    """The change-event messages of events, a thousand times closer together in time.
 
     The number in ``props`` is the reading count; some numbers damage the message.
     """
@@ -293,6 +293,12 @@ def changes(spark: SparkSession, folder: str) -> DataFrame:
         )
     )
     value = F.when(k == 7, "{ not json").when(k == 11, "null").when(k == 17, "").otherwise(body)
-    return with_reading(events(spark, folder)).select(
-        "event_id", value.cast("binary").alias("value")
+    topic = F.when(F.col("event_id") >= 0, F.lit(vocab.PERSISTED_TOPIC))
+    return with_reading(rows).select(
+        "event_id", value.cast("binary").alias("value"), topic.alias("topic")
     )
+
+
+def changes(spark: SparkSession, folder: str) -> DataFrame:
+    """The events as change-event messages."""
+    return with_change(events(spark, folder))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +12,11 @@ from gaugeflow import vocab
 from gaugeflow.functions import instants, labels
 from gaugeflow.schemas import READING_COLUMNS, VALUE_COLUMNS
 
+# Days looked at for sensors that reported lately, then for those that fell silent since.
+_LOOK_BACK_DAYS = (2, 16, 128)
+# Up to this many silent sensors are sent to every task that scans older days.
+_BROADCAST_SENSORS = 200_000
+
 
 @dataclass(frozen=True)
 class ReadingFilter:
@@ -121,16 +126,58 @@ def latest_per_sensor(
 
     Location and type choose sensors, the range chooses readings before the newest is taken,
     so a sensor whose newest reading lies outside the range answers with an older one.
+
+    In a stored table most sensors are settled by the newest days. Those are read for all
+    sensors, and older days only for the sensors that did not report since - or not at all,
+    if there are none. A sensor's newest reading is in the newest days it has readings in,
+    so the answer is the same as over the whole table.
+    """
+    where = where or ReadingFilter()
+    kept = filter_readings(readings, sensors, where)
+    if "collected_date" not in readings.columns or where.location is not None:
+        return newest_rows(kept)
+    newest = kept.agg(F.max("collected_date")).first()[0]
+    if newest is None:
+        return newest_rows(kept)
+
+    def since(days: int) -> DataFrame:
+        return kept.filter(F.col("collected_date") > F.lit(newest - timedelta(days=days)))
+
+    known = admitted_sensors(sensors, where).select(F.col("id").alias("sensor_id"))
+
+    def silent(days: int) -> tuple[DataFrame, int]:
+        reporting = since(days).select("sensor_id").distinct()
+        missing = known.join(reporting, "sensor_id", "left_anti")
+        return missing, missing.count()
+
+    recent, *wider = _LOOK_BACK_DAYS
+    missing, count = silent(recent)
+    found = newest_rows(since(recent))
+    if count == 0:
+        return found
+    older = kept
+    for days in wider:
+        if silent(days)[1] == 0:
+            older = since(days)
+            break
+    older = older.filter(F.col("collected_date") <= F.lit(newest - timedelta(days=recent)))
+    if count <= _BROADCAST_SENSORS:
+        missing = F.broadcast(missing)
+    return found.unionByName(newest_rows(older.join(missing, "sensor_id", "left_semi")))
+
+
+def newest_rows(readings: DataFrame) -> DataFrame:
+    """The newest row of every sensor among the given ones.
+
     Row-number-one windows are cut per map task before the shuffle, so at most one row per
     sensor and task travels, however large a sensor's share is.
     """
-    where = where or ReadingFilter()
-    kept = filter_readings(readings, sensors, where).select(*READING_COLUMNS)
     newest_first = Window.partitionBy("sensor_id").orderBy(
         F.col("collected_at").desc(), F.col("id").desc()
     )
     return (
-        kept.withColumn("_rank", F.row_number().over(newest_first))
+        readings.select(*READING_COLUMNS)
+        .withColumn("_rank", F.row_number().over(newest_first))
         .filter(F.col("_rank") == 1)
         .drop("_rank")
     )

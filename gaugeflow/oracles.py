@@ -92,6 +92,14 @@ CHANGES = (
 )"""
 )
 
+BURSTS = """, j AS (SELECT *, CASE WHEN published_at - lag(published_at) OVER (
+      ORDER BY published_at) < INTERVAL 400 MILLISECOND THEN 0 ELSE 1 END AS opens FROM c),
+  k AS (SELECT *, sum(opens) OVER (ORDER BY published_at
+      RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS burst FROM j)
+  SELECT min(published_at) AS first_event_at,
+    max(published_at) + INTERVAL 400 MILLISECOND AS refresh_at, count(*) AS events,
+    CAST(sum(reading_count) AS BIGINT) AS readings FROM k GROUP BY burst"""
+
 METRICS = (
     READINGS
     + """, d AS (
@@ -495,16 +503,10 @@ ORACLES: dict[str, str] = {
         CHANGES,
         "SELECT event_id, published_at FROM c WHERE published_at >= '2024-01-30 23:40:00'",
     ),
-    "refresh_signals": _with(
-        CHANGES,
-        """, j AS (SELECT *, CASE WHEN published_at - lag(published_at) OVER (ORDER BY published_at)
-            < INTERVAL 400 MILLISECOND THEN 0 ELSE 1 END AS opens FROM c),
-        k AS (SELECT *, sum(opens) OVER (ORDER BY published_at
-            RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS burst FROM j)
-        SELECT min(published_at) AS first_event_at,
-          max(published_at) + INTERVAL 400 MILLISECOND AS refresh_at, count(*) AS events,
-          CAST(sum(reading_count) AS BIGINT) AS readings FROM k GROUP BY burst""",
-    ),
+    "refresh_signals": _with(CHANGES, BURSTS),
+    # A stream reports the bursts that ended ten seconds before its newest event.
+    "refresh_stream": f"""SELECT * FROM ({_with(CHANGES, BURSTS)}) WHERE refresh_at <=
+        ({_with(CHANGES, "SELECT max(published_at) - INTERVAL 10 SECOND FROM c")})""",
     "running_view": _with(
         CHANGES,
         """SELECT count(*) AS events_seen, max(published_at) AS published_at,

@@ -28,7 +28,7 @@ from gaugeflow.operators.decode import decode_messages, split_decoded
 from gaugeflow.operators.readings import ReadingFilter
 from gaugeflow.plans.console import Console, ConsoleFilter
 from gaugeflow.plans.store import ReadingStore
-from gaugeflow.schemas import VALUE_COLUMNS
+from gaugeflow.schemas import REFRESH_SIGNALS, VALUE_COLUMNS
 from gaugeflow.session import scratch_dir, tune
 from gaugeflow.sources import messages, polls
 from gaugeflow.sources.tables import Tables, rows_from_arrays
@@ -589,6 +589,23 @@ def refresh_signals(spark, folder):
     return changes.refresh_signals(_changes(spark, folder))
 
 
+@query
+def refresh_stream(spark, folder):
+    base = scratch_dir(spark, "refresh")
+    events = messages.decode_changes(bridge.with_change(bridge.event_stream(spark, folder)))
+    (
+        changes.refresh_stream(events)
+        .writeStream.outputMode("append")
+        .format("parquet")
+        .option("path", f"{base}/signals")
+        .option("checkpointLocation", f"{base}/checkpoint")
+        .trigger(availableNow=True)
+        .start()
+        .awaitTermination()
+    )
+    return spark.read.schema(REFRESH_SIGNALS).parquet(f"{base}/signals")
+
+
 @query
 def running_view(spark, folder):
     view = changes.running_view(_changes(spark, folder))

@@ -88,3 +88,12 @@ PIPELINE_METRICS = T.StructType(
         T.StructField("value", T.DoubleType()),
     ]
 )
+
+REFRESH_SIGNALS = T.StructType(
+    [
+        T.StructField("first_event_at", T.TimestampType()),
+        T.StructField("refresh_at", T.TimestampType()),
+        T.StructField("events", T.LongType()),
+        T.StructField("readings", T.LongType()),
+    ]
+)

@@ -240,6 +240,34 @@ def test_latest_breaks_ties_by_id(sensors, readings):
     assert latest_per_sensor(rows, sensors((1, "K", "energy"))).first()["id"] == 2
 
 
+@pytest.mark.parametrize("silent_days", [None, 1, 10, 100, 300])
+def test_latest_of_stored_days_equals_a_full_pass(readings, sensors, silent_days):
+    rng = random.Random(2)
+    rows = [energy(i, i % 9, at(-i * 7, days=-(i % 3)), float(i)) for i in range(1, 400)]
+    if silent_days:
+        rows += [energy(900 + i, 50 + i % 2, at(rng.randrange(60), days=-silent_days), 1.0) for i in range(5)]
+    known = sensors(*[(i, f"R{i}", "energy") for i in [*range(9), 50, 51][: 11 if silent_days else 9]])
+    plain = readings(*rows)
+    stored = plain.withColumn("collected_date", F.to_date("collected_at"))
+    expected = sorted(r["id"] for r in latest_per_sensor(plain, known).collect())
+    assert sorted(r["id"] for r in latest_per_sensor(stored, known).collect()) == expected
+    where = ReadingFilter.of(end=at(0, days=-2))
+    expected = sorted(r["id"] for r in latest_per_sensor(plain, known, where).collect())
+    assert sorted(r["id"] for r in latest_per_sensor(stored, known, where).collect()) == expected
+
+
+def test_latest_reads_only_recent_days_when_all_report(spark, readings, sensors, folder):
+    rows = [energy(i, i % 3, at(0, days=-i), 1.0) for i in range(60)]
+    rows += [energy(100 + i, i, at(1), 1.0) for i in range(3)]
+    stored = readings(*rows).withColumn("collected_date", F.to_date("collected_at"))
+    stored.write.partitionBy("collected_date").parquet(f"{folder}/t")
+    known = sensors(*[(i, f"R{i}", "energy") for i in range(3)])
+    latest = latest_per_sensor(spark.read.parquet(f"{folder}/t"), known)
+    assert sorted(ids(latest)) == [100, 101, 102]
+    plan = latest._jdf.queryExecution().toString()
+    assert "Union" not in plan and "(collected_date" in plan and "> 2026-05-02" in plan
+
+
 def test_latest_is_cut_before_the_shuffle(two_rooms):
     plan = latest_per_sensor(two_rooms.readings, two_rooms.sensors)._jdf.queryExecution().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import base64
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,6 +19,8 @@ DIRECT_ROWS = 5_000
 RANGE_ROWS = 100_000
 _RANGES = 4096
 _DAY_US = 86_400_000_000
+# Days counted first, then on to the next, then to the end.
+_STRETCHES = (4, 64)
 
 
 def newest_first(readings: DataFrame) -> DataFrame:
@@ -41,6 +44,7 @@ def offset_page(
     size: int,
     direct_rows: int = DIRECT_ROWS,
     range_rows: int = RANGE_ROWS,
+    newest_day: date | None = None,
 ) -> DataFrame:
     """The rows of one numbered page.
 
@@ -50,15 +54,17 @@ def offset_page(
     instants and ids. What is left to sort is the page and at most about ``range_rows`` rows
     on either side of it, wherever it lies and however many rows share an instant. The
     counts come back as a few thousand numbers per round; the page holds the same rows.
+
+    ``newest_day``, where known, saves looking for the first stored day to count.
     """
     skip = (page - 1) * size
     if "collected_date" in readings.columns or skip + size > direct_rows:
-        first = _locate(readings, skip, range_rows)
+        first = _locate(readings, skip, range_rows, newest_day)
         if first is None:
             return readings.limit(0)
         last = first
         if first.ahead + first.rows < skip + size:
-            last = _locate(readings, skip + size - 1, range_rows)
+            last = _locate(readings, skip + size - 1, range_rows, newest_day)
         readings = readings.filter(first.not_newer())
         if last is not None:
             readings = readings.filter(last.not_older())
@@ -117,13 +123,15 @@ def keyset_page(
     after: str | None = None,
     last: int | None = None,
     before: str | None = None,
+    edge_day: date | None = None,
 ) -> Connection:
     """One page by cursor, forward with first/after or backward with last/before.
 
     The bound is a predicate on the ordering key, so it reaches the scan, and a page takes
     one top-k pass of at most 101 rows per task; stored readings are first cut to the day
-    partitions nearest to the cursor that hold a page. Rows appended meanwhile never shift
-    a page.
+    partitions nearest to the cursor that hold a page, or to ``edge_day`` - the first stored
+    day in paging direction, where known - without a cursor. Rows appended meanwhile never
+    shift a page.
     """
     if first is not None and last is not None:
         raise ValueError("first and last cannot be used together.")
@@ -144,7 +152,9 @@ def keyset_page(
         rows = _cut_days(rows, None, micros).filter(_beyond(micros, id_, older=False))
 
     if "collected_date" in rows.columns:
-        rows = _nearest_days(rows, size + 1, newest=not backward)
+        cursor = before if backward else after
+        nearest = edge_day if cursor is None else _day_of(read_cursor(cursor)[0])
+        rows = _nearest_days(rows, size + 1, not backward, nearest)
 
     key = [F.col("collected_at"), F.col("id")]
     towards = [k.asc() if backward else k.desc() for k in key]
@@ -194,10 +204,16 @@ def _cut_days(rows: DataFrame, newest: int | None, oldest: int | None) -> DataFr
     return rows
 
 
-def _nearest_days(rows: DataFrame, needed: int, newest: bool) -> DataFrame:
+def _day_of(micros: int) -> date:
+    return date(1970, 1, 1) + timedelta(days=micros // _DAY_US)
+
+
+def _nearest_days(
+    rows: DataFrame, needed: int, newest: bool, first_day: date | None
+) -> DataFrame:
     """Stored readings: the days, from the newest or the oldest on, that hold enough rows."""
     found = 0
-    for day, count in _day_counts(rows, newest):
+    for day, count in _day_counts(rows, newest, first_day):
         found += count
         if found >= needed:
             edge = F.col("collected_date")
@@ -205,11 +221,33 @@ def _nearest_days(rows: DataFrame, needed: int, newest: bool) -> DataFrame:
     return rows
 
 
-def _day_counts(rows: DataFrame, newest: bool) -> list[tuple[date, int]]:
-    """Rows per day partition in listing order; one number per day."""
+def _day_counts(
+    rows: DataFrame, newest: bool, first_day: date | None
+) -> Iterator[tuple[date, int]]:
+    """Rows per day partition in paging direction, counted as far as the caller asks.
+
+    Days are counted in growing stretches from the first one on, so a page near the front
+    of a long table leaves the rest of it alone.
+    """
     day = F.col("collected_date")
-    counted = rows.groupBy(day).agg(F.count("*")).orderBy(day.desc() if newest else day.asc())
-    return [tuple(r) for r in counted.collect()]
+    order = day.desc() if newest else day.asc()
+    if first_day is None:
+        first_day = rows.agg(F.max(day) if newest else F.min(day)).first()[0]
+    if first_day is None:
+        return
+    edges = [0, *_STRETCHES, None]
+    for begin, end in zip(edges, edges[1:]):
+        stretch = rows
+        for reach, inside in ((begin, True), (end, False)):
+            if reach == 0 or reach is None:
+                continue
+            sign = -1 if newest else 1
+            limit = F.lit(first_day + timedelta(days=sign * reach))
+            # ``begin`` days away is still in, ``end`` days away is not.
+            near = day > limit if newest else day < limit
+            stretch = stretch.filter(~near if inside else near)
+        counted = stretch.groupBy(day).agg(F.count("*")).orderBy(order)
+        yield from (tuple(r) for r in counted.collect())
 
 
 @dataclass(frozen=True)
@@ -236,7 +274,9 @@ class _Span:
         return (time >= low) & ((time > low) | (F.col("id") >= self.id_low))
 
 
-def _locate(readings: DataFrame, rank: int, range_rows: int) -> _Span | None:
+def _locate(
+    readings: DataFrame, rank: int, range_rows: int, newest_day: date | None
+) -> _Span | None:
     """The key range that holds the row at ``rank``; None if there are fewer rows.
 
     Narrows until the range holds at most ``range_rows`` rows: by day where the table is
@@ -244,7 +284,7 @@ def _locate(readings: DataFrame, rank: int, range_rows: int) -> _Span | None:
     """
     ahead, within = 0, readings
     if "collected_date" in readings.columns:
-        for day, rows in _day_counts(readings, newest=True):
+        for day, rows in _day_counts(readings, True, newest_day):
             if rank < ahead + rows:
                 break
             ahead += rows

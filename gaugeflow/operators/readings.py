@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -53,15 +53,33 @@ def between(
 
     Stored readings are also cut by their partition day, so other days are never listed.
     """
-    by_day = "collected_date" in readings.columns
     if start is not None:
         readings = readings.filter(F.col("collected_at") >= instants.instant(start))
-        if by_day:
-            readings = readings.filter(F.col("collected_date") >= F.lit(start.date()))
     if end is not None:
         readings = readings.filter(F.col("collected_at") < instants.instant(end))
-        if by_day:
-            readings = readings.filter(F.col("collected_date") <= F.lit(end.date()))
+    return _on_days(readings, start, end) if "collected_date" in readings.columns else readings
+
+
+def edge_day(
+    readings: DataFrame, where: ReadingFilter, newest: bool = True
+) -> date | None:
+    """Newest or oldest stored day that the range of a filter touches.
+
+    Looks at partition values alone, whatever else the filter asks for. None if there is no
+    such day, or the readings are not partitioned by day.
+    """
+    if "collected_date" not in readings.columns:
+        return None
+    days = _on_days(readings.select("collected_date"), where.start, where.end)
+    edge = F.max("collected_date") if newest else F.min("collected_date")
+    return days.agg(edge).first()[0]
+
+
+def _on_days(readings: DataFrame, start: datetime | None, end: datetime | None) -> DataFrame:
+    if start is not None:
+        readings = readings.filter(F.col("collected_date") >= F.lit(start.date()))
+    if end is not None:
+        readings = readings.filter(F.col("collected_date") <= F.lit(end.date()))
     return readings
 
 
@@ -134,9 +152,7 @@ def latest_per_sensor(
     """
     where = where or ReadingFilter()
     kept = filter_readings(readings, sensors, where)
-    if "collected_date" not in readings.columns or where.location is not None:
-        return newest_rows(kept)
-    newest = kept.agg(F.max("collected_date")).first()[0]
+    newest = edge_day(readings, where) if where.location is None else None
     if newest is None:
         return newest_rows(kept)
 

@@ -132,11 +132,11 @@ def test_located_ranges_are_small(crowded):
     df, expected = crowded
     df = df.cache()
     for rank in (0, 10, 300, 450, 599, 899):
-        span = paging._locate(df, rank, 16)
+        span = paging._locate(df, rank, 16, None)
         assert span.rows <= 16 and span.ahead <= rank < span.ahead + span.rows
         kept = df.filter(span.not_newer()).filter(span.not_older())
         assert ids(paging.newest_first(kept)) == expected[span.ahead : span.ahead + span.rows]
-    assert paging._locate(df, 900, 16) is None
+    assert paging._locate(df, 900, 16, None) is None
 
 
 # --- cursors ----------------------------------------------------------------------------
@@ -213,6 +213,38 @@ def test_empty_connection(twelve):
     assert not info["has_next_page"] and info["end_cursor"] is None
 
 
+@pytest.fixture
+def long_table(sensors, readings):
+    """One reading a week for three years, stored by day; and another sensor's, long ago."""
+    rows = [energy(i, 1, at(0, days=-7 * i), float(i)) for i in range(150)]
+    rows += [energy(1000 + i, 2, at(0, days=-1040 - i), 1.0) for i in range(4)]
+    df = readings(*rows).withColumn("collected_date", F.to_date("collected_at"))
+    known = sensors((1, "Kitchen", "energy"), (2, "Attic", "energy"))
+    rows.sort(key=lambda r: (r["collected_at"], r["id"]), reverse=True)
+    expected = [r["id"] for r in rows]
+    return ReadingStore(df.cache(), known), expected
+
+
+def test_pages_over_a_long_table(long_table):
+    store, expected = long_table
+    assert ids(store.list_page(1, 10).items) == expected[:10]
+    assert ids(store.list_page(12, 10).items) == expected[110:120]
+    assert ids(store.list_page(16, 10).items) == expected[150:]
+    assert ids(store.list_page(17, 10).items) == []
+    assert ids(store.list_page(1, 3, location="Attic").items) == [1000, 1001, 1002]
+    assert ids(store.list_page(1, 3, end=at(0, days=-1041)).items) == [1002, 1003, 149]
+
+
+def test_cursors_over_a_long_table(long_table):
+    store, expected = long_table
+    assert walk(store, 60) == [expected[:60], expected[60:120], expected[120:]]
+    back = store.connection(last=100)
+    assert ids(back.edges) == expected[-100:]
+    again = store.connection(last=100, before=back.page_info.first()["start_cursor"])
+    assert ids(again.edges) == expected[:-100]
+    assert not again.page_info.first()["has_previous_page"]
+
+
 # --- latest -----------------------------------------------------------------------------
 
 

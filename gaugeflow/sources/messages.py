@@ -16,16 +16,23 @@ from gaugeflow import vocab
 from gaugeflow.functions import instants, jsontext
 from gaugeflow.schemas import CHANGED_SENSORS, MESSAGES
 
+# One micro-batch is many hand-sized batches of 500, which only bound the announcements.
+MAX_MESSAGES = 5_000_000
+
 
 def kafka_stream(
     spark: SparkSession,
     servers: str,
     topic: str = vocab.READINGS_TOPIC,
     from_latest: bool = False,
-    max_messages: int | None = vocab.BATCH_MESSAGES,
+    max_messages: int | None = MAX_MESSAGES,
     **options: str,
 ) -> DataFrame:
-    """Messages of a topic, from its earliest offset or from now on."""
+    """Messages of a topic, from its earliest offset or from now on.
+
+    ``max_messages`` caps one micro-batch, so that a backlog is read in pieces. Give
+    ``minPartitions`` to spread a topic with few partitions over more tasks.
+    """
     reader = (
         spark.readStream.format("kafka")
         .option("kafka.bootstrap.servers", servers)

@@ -23,28 +23,28 @@ def classify_polls(
     Only a rate limit changes the delay to the next poll. One bad reading makes its whole
     poll malformed.
     """
-    return _resolved(polls, fallback_s, interval_s).drop("_readings")
+    return resolve_polls(polls, fallback_s, interval_s).drop("_readings")
 
 
-def explode_readings(
-    polls: DataFrame,
-    fallback_s: float = vocab.RATE_LIMIT_FALLBACK_S,
-    interval_s: float = vocab.POLL_INTERVAL_S,
-) -> DataFrame:
+def explode_readings(polls: DataFrame) -> DataFrame:
     """One row per reading of every successful poll, in body order (``position``).
 
     A recognised type selects the payload shape and a missing field counts as zero or false;
     any other type keeps its payload as JSON text in ``payload.rawJson``. ``collected_at``
     is the instant in the body, else the moment the poll was fetched.
     """
-    kept = [c for c in polls.columns if c not in ("body", "status", "retry_after_s")]
+    return resolved_readings(resolve_polls(polls))
+
+
+def resolved_readings(resolved: DataFrame) -> DataFrame:
+    """The rows of ``explode_readings`` from polls that are resolved already."""
+    gone = ("body", "status", "retry_after_s", "outcome", "next_delay_s", "_readings")
+    kept = [c for c in resolved.columns if c not in gone]
     usable = F.when(F.col("outcome") == "success", F.col("_readings"))
     # The outer form and the filter behind it: a filter in front would resolve bodies twice.
-    exploded = (
-        _resolved(polls, fallback_s, interval_s)
-        .select(*kept, F.posexplode_outer(usable).alias("position", "_reading"))
-        .filter(F.col("position").isNotNull())
-    )
+    exploded = resolved.select(
+        *kept, F.posexplode_outer(usable).alias("position", "_reading")
+    ).filter(F.col("position").isNotNull())
     return exploded.select(
         *kept,
         "position",
@@ -76,7 +76,11 @@ def to_messages(readings: DataFrame) -> DataFrame:
     )
 
 
-def _resolved(polls: DataFrame, fallback_s: float, interval_s: float) -> DataFrame:
+def resolve_polls(
+    polls: DataFrame,
+    fallback_s: float = vocab.RATE_LIMIT_FALLBACK_S,
+    interval_s: float = vocab.POLL_INTERVAL_S,
+) -> DataFrame:
     """Polls with their ``outcome``, ``next_delay_s`` and resolved ``_readings``.
 
     The readings are resolved inside the row, in three passes over the list, so that each

@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from gaugeflow import vocab
 from gaugeflow.operators.metrics import metric_rows
 from gaugeflow.session import tune
-from gaugeflow.sources.polls import classify_polls, explode_readings, to_messages
+from gaugeflow.sources.polls import resolve_polls, resolved_readings, to_messages
 from gaugeflow.sources.tables import Tables
 from gaugeflow.streaming.jobs import batch_name, start_batches, utc_now
 
@@ -42,23 +42,23 @@ class Produce:
         """Publish the readings of one set of polls and record what became of them."""
         tables = Tables(tune(polls.sparkSession), self.tables.root)
         started, clock_started = self.clock(), time.monotonic()
-        succeeded, failed = (
-            classify_polls(polls)
-            .agg(
-                F.count_if(F.col("outcome") == "success"),
-                F.count_if(F.col("outcome") != "success"),
-            )
-            .first()
-        )
-        readings = explode_readings(polls)
-        polled = readings.count()
-        produced = 0
-        if polled:
-            try:
-                self.sink(to_messages(readings).select("key", "value", "headers"))
-                produced = polled
-            except Exception:  # noqa: BLE001 - a lost poll is counted, not fatal
-                produced = 0
+        # Bodies are resolved once; lost cached rows are resolved again to the same result.
+        resolved = resolve_polls(polls).persist()
+        try:
+            good = F.col("outcome") == "success"
+            succeeded, failed, polled = resolved.agg(
+                F.count_if(good), F.count_if(~good), F.sum(F.when(good, F.size("_readings")))
+            ).first()
+            polled, produced = polled or 0, 0
+            if polled:
+                readings = to_messages(resolved_readings(resolved))
+                try:
+                    self.sink(readings.select("key", "value", "headers"))
+                    produced = polled
+                except Exception:  # noqa: BLE001 - a lost poll is counted, not fatal
+                    produced = 0
+        finally:
+            resolved.unpersist()
         values = [
             (vocab.POLL_REQUESTS, {"outcome": "success"}, succeeded),
             (vocab.POLL_REQUESTS, {"outcome": "failure"}, failed),

@@ -54,7 +54,13 @@ BAD = [
     (wire("energy", "A", '{"energy":1}').encode() + b"\xff", JSON),
     ('{"type":"energy","name":42,"payload":{"energy":1},"collectedAt":"2026-09-03T10:00:00Z"}', JSON),
     ('{"type":7,"name":"A","payload":{"energy":1},"collectedAt":"2026-09-03T10:00:00Z"}', JSON),
-    (wire("energy", "A", '{"energy":1}', "noon"), JSON),
+    *[
+        (wire("energy", "A", '{"energy":1}', text), JSON)
+        for text in (
+            "noon", "", "2026-09-03T10:00:00+15:00", "0000-09-03T10:00:00Z", "2026-13-03T10:00:00Z",
+            "2026-09-03T24:00:00Z", "2026-09-03 10:00:00Z", "2026-09-03Z", "2026-09-03T10Z",
+        )
+    ],
     ('{"type":"energy","name":"A","payload":{"energy":1},"collectedAt":1700000000}', JSON),
     ('{"type":"energy","name":"A","payload":{"energy":1},"collectedAt":null}', JSON),
     ('{"type":"energy","payload":{"energy":1},"collectedAt":"2026-09-03T10:00:00Z"}', vocab.NO_NAME),

@@ -147,7 +147,7 @@ def test_kafka_options_reach_the_reader():
         return feeds.kafka_stream(SimpleNamespace(readStream=Reader()), "h:1", **arguments)
 
     first = seen(minPartitions="64")
-    assert first["startingOffsets"] == "earliest" and first["maxOffsetsPerTrigger"] == "500"
+    assert first["startingOffsets"] == "earliest" and first["maxOffsetsPerTrigger"] == "5000000"
     assert first["includeHeaders"] == "true" and first["minPartitions"] == "64"
     assert seen(from_latest=True, max_messages=None)["startingOffsets"] == "latest"
 

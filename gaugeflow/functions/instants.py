@@ -6,7 +6,7 @@ session time zone.
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta, timezone
+from datetime import date, datetime, timedelta, timezone
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -50,14 +50,14 @@ def micros_of(value: datetime) -> int:
 
 def floor_to_period(value: datetime, interval: str) -> datetime:
     """Start of the period that contains the instant; weeks start on Monday."""
-    day = normalize(value).replace(hour=0, minute=0, second=0, microsecond=0)
+    midnight = normalize(value).replace(hour=0, minute=0, second=0, microsecond=0)
     if interval == "day":
-        return day
+        return midnight
     if interval == "week":
-        return day - timedelta(days=day.weekday())
+        return midnight - timedelta(days=midnight.weekday())
     if interval == "month":
-        return day.replace(day=1)
-    return day.replace(hour=normalize(value).hour)
+        return midnight.replace(day=1)
+    return midnight.replace(hour=normalize(value).hour)
 
 
 def following_period(start: datetime, interval: str) -> datetime:
@@ -75,6 +75,11 @@ def instant(value: datetime | str) -> Column:
     return F.timestamp_micros(F.lit(micros_of(normalize(value))).cast("bigint"))
 
 
+def day(value: date, shift: int = 0) -> Column:
+    """A literal day, ``shift`` days on, of any year; folds, so it can prune partitions."""
+    return F.date_from_unix_date(F.lit((value - _EPOCH.date()).days + shift))
+
+
 def utc_day(at: Column) -> Column:
     """The UTC calendar day of an instant, the partition key of stored readings."""
     return F.date_from_unix_date(floor_div(F.unix_micros(at), _DAY_US).cast("int"))
@@ -167,5 +172,5 @@ def floor_div(value: Column, by: int) -> Column:
     return F.call_function("div", value - F.pmod(value, F.lit(by)), F.lit(by)).cast("bigint")
 
 
-def _day_start(day: Column) -> Column:
-    return F.timestamp_micros(F.unix_date(day).cast("bigint") * F.lit(_DAY_US))
+def _day_start(of: Column) -> Column:
+    return F.timestamp_micros(F.unix_date(of).cast("bigint") * F.lit(_DAY_US))

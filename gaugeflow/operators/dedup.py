@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugeflow.functions import instants
+
 READING_KEY = ["sensor_id", "collected_at"]
 ARRIVAL = ["topic", "partition", "offset"]
 
@@ -48,6 +50,6 @@ def touched_days(days: DataFrame) -> Column:
     """Predicate on ``collected_date`` for the day partitions that the rows touch."""
     distinct = [d[0] for d in days.distinct().limit(_LISTED_DAYS + 1).collect()]
     if len(distinct) <= _LISTED_DAYS:
-        return F.col("collected_date").isin(distinct)
+        return F.col("collected_date").isin([instants.day(d) for d in distinct])
     low, high = days.agg(F.min("collected_date"), F.max("collected_date")).first()
-    return F.col("collected_date").between(low, high)
+    return F.col("collected_date").between(instants.day(low), instants.day(high))

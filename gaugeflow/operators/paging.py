@@ -217,7 +217,7 @@ def _nearest_days(
         found += count
         if found >= needed:
             edge = F.col("collected_date")
-            return rows.filter(edge >= F.lit(day) if newest else edge <= F.lit(day))
+            return rows.filter(edge >= instants.day(day) if newest else edge <= instants.day(day))
     return rows
 
 
@@ -242,7 +242,7 @@ def _day_counts(
             if reach == 0 or reach is None:
                 continue
             sign = -1 if newest else 1
-            limit = F.lit(first_day + timedelta(days=sign * reach))
+            limit = instants.day(first_day, sign * reach)
             # ``begin`` days away is still in, ``end`` days away is not.
             near = day > limit if newest else day < limit
             stretch = stretch.filter(~near if inside else near)
@@ -292,7 +292,7 @@ def _locate(
             return None
         low = instants.micros_of(datetime.combine(day, datetime.min.time()))
         high = low + _DAY_US - 1
-        within = readings.filter(F.col("collected_date") == F.lit(day))
+        within = readings.filter(F.col("collected_date") == instants.day(day))
     else:
         low, high, rows = within.agg(
             F.min(F.unix_micros("collected_at")),

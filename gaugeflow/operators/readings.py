@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from datetime import date, datetime, timedelta
+from datetime import date, datetime
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -77,9 +77,9 @@ def edge_day(
 
 def _on_days(readings: DataFrame, start: datetime | None, end: datetime | None) -> DataFrame:
     if start is not None:
-        readings = readings.filter(F.col("collected_date") >= F.lit(start.date()))
+        readings = readings.filter(F.col("collected_date") >= instants.day(start.date()))
     if end is not None:
-        readings = readings.filter(F.col("collected_date") <= F.lit(end.date()))
+        readings = readings.filter(F.col("collected_date") <= instants.day(end.date()))
     return readings
 
 
@@ -157,7 +157,7 @@ def latest_per_sensor(
         return newest_rows(kept)
 
     def since(days: int) -> DataFrame:
-        return kept.filter(F.col("collected_date") > F.lit(newest - timedelta(days=days)))
+        return kept.filter(F.col("collected_date") > instants.day(newest, -days))
 
     known = admitted_sensors(sensors, where).select(F.col("id").alias("sensor_id"))
 
@@ -176,7 +176,7 @@ def latest_per_sensor(
         if silent(days)[1] == 0:
             older = since(days)
             break
-    older = older.filter(F.col("collected_date") <= F.lit(newest - timedelta(days=recent)))
+    older = older.filter(F.col("collected_date") <= instants.day(newest, -recent))
     if count <= _BROADCAST_SENSORS:
         missing = F.broadcast(missing)
     return found.unionByName(newest_rows(older.join(missing, "sensor_id", "left_semi")))

@@ -360,3 +360,45 @@ def test_rows_from_arrays(spark):
     df = spark.createDataFrame([([1, 2], ["a", None])], "ids array<int>, names array<string>")
     rows = rows_from_arrays(df, {"ids": "id", "names": "name"})
     assert [tuple(r) for r in rows.collect()] == [(1, "a"), (2, None)]
+
+
+def test_readings_without_an_instant_are_stored_at_the_earliest_one(job, feed):
+    body = '{"type":"energy","name":"A","payload":{"energy":1}}'
+    reports = [job.run_batch(feed(body), name) for name in ("b0", "b1")]
+    assert [r.inserted for r in reports] == [1, 0]
+    kept = job.tables.readings().select(F.col("collected_at").cast("string"), F.col("collected_date").cast("string"))
+    assert tuple(kept.first()) == ("0001-01-01 00:00:00", "0001-01-01")
+    event = decode_changes(job.tables.changes()).select(F.col("newest_collected_at").cast("string"))
+    assert event.first()[0] == "0001-01-01 00:00:00"
+
+
+def test_a_hot_key_among_many_messages(job, spark):
+    """A third of the messages are copies of one reading, another third name one sensor."""
+    i = F.col("id")
+    name = F.when(i % 3 == 2, F.concat(F.lit("S"), i.cast("string"))).otherwise("Hot")
+    second = F.when(i % 3 == 0, F.lit(0)).otherwise(i)
+    body = F.format_string(
+        '{"type":"energy","name":"%s","payload":{"energy":%d},"collectedAt":"%s"}',
+        name,
+        i,
+        F.date_format(F.timestamp_seconds(second + 1_700_000_000), "yyyy-MM-dd'T'HH:mm:ss'Z'"),
+    )
+    batch = spark.range(0, 9000, 1, 6).select(
+        F.lit(None).cast("binary").alias("key"),
+        body.cast("binary").alias("value"),
+        F.array().cast(MESSAGES["headers"].dataType).alias("headers"),
+        F.lit("t").alias("topic"),
+        (i % 2).cast("int").alias("partition"),
+        i.alias("offset"),
+        F.current_timestamp().alias("timestamp"),
+    )
+    report = job.run_batch(batch, "b0")
+    assert (report.inserted, report.duplicates_skipped) == (6001, 2999)
+    rows = job.tables.readings()
+    # The first copy by (partition, offset) is the one kept.
+    assert rows.agg(F.min("energy_kwh")).first()[0] == 0.0
+    assert rows.select("id").distinct().count() == 6001
+    assert job.tables.sensors().count() == 3001
+    events = decode_changes(job.tables.changes())
+    assert events.agg(F.sum("reading_count"), F.max(F.size("sensors"))).first()[0] == 6001
+    assert events.agg(F.max(F.size("sensors"))).first()[0] <= 500

@@ -235,6 +235,17 @@ def test_pages_over_a_long_table(long_table):
     assert ids(store.list_page(1, 3, end=at(0, days=-1041)).items) == [1002, 1003, 149]
 
 
+def test_tables_of_the_earliest_day(sensors, readings):
+    df = readings(energy(1, 1, at(0), 1.0), energy(2, 1, at(1), 2.0))
+    first = F.timestamp_seconds(F.unix_seconds("collected_at") - F.unix_seconds(F.lit(at(0))) - 62135596800)
+    early = df.withColumn("collected_at", first).withColumn("collected_date", F.to_date("collected_at"))
+    store = ReadingStore(early, sensors((1, "K", "energy")))
+    assert ids(store.list_page().items.select("id")) == [2, 1]
+    assert ids(store.connection(first=1).edges.select("id")) == [2]
+    assert ids(store.connection(last=1).edges.select("id")) == [1]
+    assert ids(store.latest().select("id")) == [2]
+
+
 def test_cursors_over_a_long_table(long_table):
     store, expected = long_table
     assert walk(store, 60) == [expected[:60], expected[60:120], expected[120:]]

@@ -618,3 +618,22 @@ ORACLES: dict[str, str] = {
         WHERE event_type = 'purchase' GROUP BY 1, 2""",
     ),
 }
+
+# The stored table answers as the readings it was written from.
+ORACLES |= {
+    "stored_latest": ORACLES["latest_per_sensor"],
+    "stored_latest_until": _with(
+        READINGS,
+        f"""SELECT {FLAT} FROM r WHERE sensor_type = 'air_quality'
+        AND collected_at < '2024-01-24 17:45:00' QUALIFY row_number() OVER (
+        PARTITION BY sensor_id ORDER BY collected_at DESC, id DESC) = 1""",
+    ),
+    "stored_page": ORACLES["readings_page"],
+    "stored_page_deep": _with(
+        READINGS,
+        f"""SELECT {FLAT} FROM r WHERE sensor_type = 'air_quality'
+        ORDER BY collected_at DESC, id DESC LIMIT 200 OFFSET 3600""",
+    ),
+    "stored_connection": ORACLES["connection_forward"],
+    "stored_hourly_energy": ORACLES["hourly_energy"],
+}

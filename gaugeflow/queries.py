@@ -31,7 +31,7 @@ from gaugeflow.plans.store import ReadingStore
 from gaugeflow.schemas import REFRESH_SIGNALS, VALUE_COLUMNS
 from gaugeflow.session import scratch_dir, tune
 from gaugeflow.sources import messages, polls
-from gaugeflow.sources.tables import Tables, rows_from_arrays
+from gaugeflow.sources.tables import Tables, day_column, rows_from_arrays
 from gaugeflow.streaming import changes
 from gaugeflow.streaming.ingest import Ingest
 
@@ -370,7 +370,11 @@ def latest_in_range(spark, folder):
     rows = _store(spark, folder, START, END).latest_where(
         sensor_type=vocab.AIR_QUALITY, start=START, end=END
     )
-    return rows.select(
+    return _nested(rows)
+
+
+def _nested(df: DataFrame) -> DataFrame:
+    return df.select(
         "id",
         F.col("sensor.name").alias("sensor_name"),
         F.col("sensor.type").alias("sensor_type"),
@@ -379,6 +383,55 @@ def latest_in_range(spark, folder):
     )
 
 
+# --- the same questions over a stored, day-partitioned table ------------------------------
+
+
+def _stored(spark: SparkSession, folder: str) -> ReadingStore:
+    """Write the readings in the layout of the stored table and open a store on it."""
+    tables = Tables(spark, scratch_dir(spark, "stored"))
+    tables.append_sensors(bridge.sensors(spark, folder))
+    tables.append_readings(
+        bridge.readings(spark, folder).withColumns(
+            {
+                "collected_date": day_column(F.col("collected_at")),
+                "ingest_batch": F.lit("stored"),
+            }
+        )
+    )
+    return ReadingStore(tables.readings(), tables.sensors())
+
+
+@query
+def stored_latest(spark, folder):
+    return _stored(spark, folder).latest()
+
+
+@query
+def stored_latest_until(spark, folder):
+    return _nested(_stored(spark, folder).latest_where(sensor_type=vocab.AIR_QUALITY, end=END))
+
+
+@query
+def stored_page(spark, folder):
+    return _stored(spark, folder).list_page(page=3, size=50).items
+
+
+@query
+def stored_page_deep(spark, folder):
+    return _stored(spark, folder).list_page(page=19, size=200, sensor_type=vocab.AIR_QUALITY).items
+
+
+@query
+def stored_connection(spark, folder):
+    return _edges(_stored(spark, folder).connection(first=40, after=_cursor()).edges)
+
+
+@query
+def stored_hourly_energy(spark, folder):
+    rows = _stored(spark, folder).aggregates("energy_kwh", "hour", START, END, now=bridge.NOW)
+    return _rounded(rows, "average")
+
+
 # --- aggregates -------------------------------------------------------------------------
 
 

@@ -37,6 +37,9 @@ _MAX_PARTITIONS = 100_000
 _TRANSIENT_JAVA = ("SocketException", "SocketTimeoutException", "TimeoutException",
                    "ConnectException", "SQLTransient")
 
+# How Spark reports a job that died of lost executors or lost shuffle files.
+_LOST_EXECUTOR = ("ExecutorLostFailure", "FetchFailed")
+
 
 @dataclass(frozen=True)
 class RetryPolicy:
@@ -286,7 +289,8 @@ def is_transient(error: BaseException | None) -> bool:
     """Whether a failed write is worth another try.
 
     Walks the chain of causes, Python's and the JVM's, for a database state on the list, a
-    connection fault or a timeout. Anything not recognised is permanent.
+    connection fault, a timeout, or a job that lost its executors. Anything not recognised
+    is permanent.
     """
     seen: set[int] = set()
     while error is not None and id(error) not in seen:
@@ -298,6 +302,10 @@ def is_transient(error: BaseException | None) -> bool:
             return True
         if isinstance(error, (ConnectionError, TimeoutError, socket.gaierror, socket.herror)):
             return True
+        if isinstance(error, (PySparkException, Py4JJavaError)) and any(
+            sign in str(error) for sign in _LOST_EXECUTOR
+        ):
+            return True
         if isinstance(error, Py4JJavaError) and _java_transient(error.java_exception):
             return True
         error = error.__cause__ or error.__context__

@@ -291,6 +291,27 @@ def test_other_failures_are_permanent():
         assert not is_transient(error)
 
 
+def test_lost_executors_are_transient():
+    from pyspark.errors import PySparkException
+
+    lost = "Job aborted due to stage failure: Task 3 failed 4 times: ExecutorLostFailure (executor 7)"
+    assert is_transient(PySparkException(lost))
+    assert not is_transient(PySparkException("Job aborted due to stage failure: division by zero"))
+
+
+def test_jvm_causes_are_walked(spark):
+    from py4j.protocol import Py4JJavaError
+
+    def thrown(name):
+        jvm = spark.sparkContext._jvm
+        cause = getattr(jvm.java.net, name)("x") if name != "none" else None
+        return Py4JJavaError("failed", jvm.java.lang.RuntimeException("wrapped", cause))
+
+    assert is_transient(thrown("SocketException"))
+    assert is_transient(thrown("SocketTimeoutException"))
+    assert not is_transient(thrown("none"))
+
+
 def test_causes_are_walked():
     for cause in (DatabaseError("40001"), TimeoutError(), ConnectionResetError(), socket.gaierror()):
         try:

@@ -35,6 +35,9 @@ NOW = datetime.fromisoformat("2024-01-31T00:00:00+00:00")
 
 POLL_SIZE = 20
 
+# A value member of a payload, to put its value in quotes.
+_VALUE = r'("co2"|"motionDetected"|"energy"):([^,}]+)'
+
 
 def events(
     spark: SparkSession,
@@ -129,7 +132,7 @@ def with_message(rows: DataFrame) -> DataFrame:
         F.when(k == 7, F.expr("substring(sound, 1, length(sound) - 5)"))
         .when(k == 11, "null")
         .when(k == 17, "")
-        .when(k == 29, F.regexp_replace("sound", r'("co2"|"motionDetected"|"energy"):([^,}]+)', '$1:"$2"'))
+        .when(k == 29, F.regexp_replace("sound", _VALUE, '$1:"$2"'))
         .when(k == 31, F.regexp_replace("sound", r'"payload":\{[^}]*\}', '"payload":[1]'))
         .when(k == 41, F.concat(F.col("sound"), F.lit(" {}")))
         .when(k == 43, F.regexp_replace("sound", r'"name":"[^"]*"', '"name":42'))

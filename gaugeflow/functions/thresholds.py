@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from gaugeflow import vocab
 
-BREACH = "struct<label:string,limit:string>"
-
 
 def breaches(co2: Column, pm25: Column, humidity: Column) -> Column:
     """Broken limits in display order; a missing value breaks none."""

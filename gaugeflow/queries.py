@@ -6,8 +6,8 @@ values and nested results as rows, so that they compare with plain SQL.
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Callable
-from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -281,8 +281,6 @@ _CURSOR_AT = instants.micros_of(MIDDLE)
 
 
 def _cursor() -> str:
-    import base64
-
     return base64.b64encode(f"{_CURSOR_AT}:0".encode()).decode()
 
 

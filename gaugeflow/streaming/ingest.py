@@ -74,12 +74,19 @@ class BatchReport:
 
 @dataclass
 class Ingest:
-    """The ingest job over one set of tables."""
+    """The ingest job over one set of tables.
+
+    ``publish`` also sends the change events of a batch elsewhere, and ``reject`` its dead
+    letters, for example to Kafka:
+    ``lambda m: messages.write_kafka(m, servers, vocab.DEAD_LETTER_TOPIC)``. Failing to
+    publish is let pass; failing to reject stops the query, since a letter must not be lost.
+    """
 
     tables: Tables
     retry: RetryPolicy = field(default_factory=RetryPolicy)
     clock: Callable[[], datetime] = utc_now
     publish: Callable[[DataFrame], None] | None = None
+    reject: Callable[[DataFrame], None] | None = None
     reports: deque[BatchReport] = field(default_factory=lambda: deque(maxlen=1000))
 
     def start(
@@ -177,13 +184,18 @@ class Ingest:
             {"_reason": reason, "_detail": F.coalesce("error_detail", too_long)}
         )
         letters = announce.dead_letters(rejected, F.col("_reason"), at, "_detail")
-        tables.put_batch("dead_letters", f"{batch}-{vocab.DECODE_FAILED}", letters)
+        self._set_aside(tables, f"{batch}-{vocab.DECODE_FAILED}", letters)
 
     def _abandon(self, tables: Tables, decoded: DataFrame, batch: str, at: datetime) -> None:
         """Dead letters of a batch that could not be stored: every message of it."""
         rows = decoded.withColumn("error_detail", F.lit(vocab.BATCH_NOT_STORED))
         letters = announce.dead_letters(rows, vocab.PERSIST_FAILED, at)
-        tables.put_batch("dead_letters", f"{batch}-{vocab.PERSIST_FAILED}", letters)
+        self._set_aside(tables, f"{batch}-{vocab.PERSIST_FAILED}", letters)
+
+    def _set_aside(self, tables: Tables, name: str, letters: DataFrame) -> None:
+        tables.put_batch("dead_letters", name, letters)
+        if self.reject:
+            self.reject(tables.dead_letters().filter(F.col("batch") == name).drop("batch"))
 
     def _store_with_retries(
         self, tables: Tables, good: DataFrame, days: Column, batch: str, report: BatchReport

@@ -50,7 +50,6 @@ HUMIDITY_MAX = 60
 # Feed ages.
 STALE_AFTER_MS = 120_000
 LOST_AFTER_MS = 900_000
-FEED_STATES = ("live", "stale", "lost")
 
 # Labels shown for types in the arrivals list and on a location's subtitle.
 TYPE_LABELS = {AIR_QUALITY: "AIR QUALITY", MOTION: "MOTION", ENERGY: "ENERGY"}

@@ -112,6 +112,21 @@ def test_detail_is_cut_and_long_names_are_quarantined(job, feed):
     }
 
 
+def test_dead_letters_can_be_sent_on(job, feed):
+    sent = []
+    job.reject = lambda letters: sent.extend(letters.collect())
+    job.run_batch(feed(energy(), "x"), "b0")
+    job.run_batch(feed("y", first_offset=5), "b1")
+    assert [bytes(r["value"]) for r in sent] == [b"x", b"y"] and sent[0].__fields__ == ["key", "value", "headers"]
+
+    def broken(_):
+        raise RuntimeError("down")
+
+    job.reject = broken
+    with pytest.raises(RuntimeError):
+        job.run_batch(feed("z"), "b2")
+
+
 def test_only_poison_stores_nothing(job, feed):
     report = job.run_batch(feed("x", "y"), "b0")
     assert (report.decoded, report.inserted, report.dead_letters) == (0, 0, 2)

@@ -2,16 +2,36 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, licences, quality
-from .tables import table
+from . import chat, licences, pieces, quality, recount, tokenfile
+from .tables import table, written
+
+# Where the public vocabulary files lie; every executor has them at the same place.
+TOKENIZERS = os.environ.get("GAUGEFLOW_TOKENIZERS", "/opt/tokenizers")
+BYTE_BPE, PIECES = f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model"
+
+
+def op3_edit_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    trees = written(recount.build(table(spark, folder, "documents"), BYTE_BPE), "token-trees")
+    counts = recount.recount(recount.sample_edits(trees), BYTE_BPE)
+    return counts.select("doc_id", "n_before", "n_after", "n_again")
 
 
 def op5_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licences.scan(table(spark, folder, "documents"))
 
 
+def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    return tokenfile.digests(tokenfile.write(table(spark, folder, "documents"), BYTE_BPE))
+
+
+def op8_piece_codec(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.digests(table(spark, folder, "documents"), PIECES)
+
+
 def op9_quality_cascade(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judged(table(spark, folder, "documents"))
 
@@ -20,7 +40,9 @@ def op10_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     return chat.digest(spark, table(spark, folder, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op5_license_scan, op9_quality_cascade, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (
+    op3_edit_token_counts, op5_license_scan, op6_token_files, op8_piece_codec, op9_quality_cascade, op10_chat_format,
+)}
 ORACLES = {
     "op5_license_scan": licences.oracle(),
     "op9_quality_cascade": quality.ORACLE,

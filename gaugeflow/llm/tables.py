@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,10 +21,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Keep the Arrow batches of the Python operators small."""
+def ready(spark: SparkSession) -> None:
+    """Give the Python workers this package and small Arrow batches."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    context, package = spark.sparkContext, Path(__file__).parents[1]
+    if not any(name.startswith(f"{package.name}-") for name in context._python_includes or []):
+        # The driver hands the archive out to executors; nothing reads it from this folder.
+        archive = tempfile.mkdtemp() + f"/{package.name}-{context.applicationId}"
+        context.addPyFile(shutil.make_archive(archive, "zip", package.parent, package.name))
 
 
 def written(df: DataFrame, purpose: str) -> DataFrame:

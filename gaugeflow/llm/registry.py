@@ -6,30 +6,55 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, licences, pieces, quality, recount, tokenfile
+from . import chat, decontamination, licences, pieces, quality, recount, simhash, tokenfile, toxicity
 from .tables import table, written
 
-# Where the public vocabulary files lie; every executor has them at the same place.
-TOKENIZERS = os.environ.get("GAUGEFLOW_TOKENIZERS", "/opt/tokenizers")
-BYTE_BPE, PIECES = f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model"
+
+def vocabulary(name: str) -> str:
+    """Place of a public vocabulary file, the same on every executor."""
+    folder = os.environ.get("GAUGEFLOW_TOKENIZERS")
+    if folder:
+        return f"{folder}/{name}"
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+BYTE_BPE, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
+
+
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return toxicity.scored(docs, toxicity.train(docs, table(spark, folder, "labels")))
 
 
 def op3_edit_token_counts(spark: SparkSession, folder: str) -> DataFrame:
-    trees = written(recount.build(table(spark, folder, "documents"), BYTE_BPE), "token-trees")
-    counts = recount.recount(recount.sample_edits(trees), BYTE_BPE)
+    trees = written(recount.build(table(spark, folder, "documents"), vocabulary(BYTE_BPE)), "token-trees")
+    counts = recount.recount(recount.sample_edits(trees), vocabulary(BYTE_BPE))
     return counts.select("doc_id", "n_before", "n_after", "n_again")
 
 
+def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.digest(table(spark, folder, "documents"))
+
+
 def op5_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licences.scan(table(spark, folder, "documents"))
 
 
 def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
-    return tokenfile.digests(tokenfile.write(table(spark, folder, "documents"), BYTE_BPE))
+    return tokenfile.digests(tokenfile.write(table(spark, folder, "documents"), vocabulary(BYTE_BPE)))
+
+
+def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontamination.overlaps(
+        table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    )
+    return found.drop("row")
 
 
 def op8_piece_codec(spark: SparkSession, folder: str) -> DataFrame:
-    return pieces.digests(table(spark, folder, "documents"), PIECES)
+    return pieces.digests(table(spark, folder, "documents"), vocabulary(PIECES))
 
 
 def op9_quality_cascade(spark: SparkSession, folder: str) -> DataFrame:
@@ -40,9 +65,20 @@ def op10_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     return chat.digest(spark, table(spark, folder, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (
-    op3_edit_token_counts, op5_license_scan, op6_token_files, op8_piece_codec, op9_quality_cascade, op10_chat_format,
-)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_toxicity,
+        op3_edit_token_counts,
+        op4_simhash,
+        op5_license_scan,
+        op6_token_files,
+        op7_decontamination,
+        op8_piece_codec,
+        op9_quality_cascade,
+        op10_chat_format,
+    )
+}
 ORACLES = {
     "op5_license_scan": licences.oracle(),
     "op9_quality_cascade": quality.ORACLE,

@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, licences, pieces, quality, recount, simhash, tokenfile, toxicity
+from . import chat, decontamination, licences, pieces, quality, recount, repeats, simhash, tokenfile, toxicity
 from .tables import table, written
 
 
@@ -28,6 +28,10 @@ def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.scored(docs, toxicity.train(docs, table(spark, folder, "labels")))
 
 
+def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.digest(table(spark, folder, "documents"))
+
+
 def op3_edit_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     trees = written(recount.build(table(spark, folder, "documents"), vocabulary(BYTE_BPE)), "token-trees")
     counts = recount.recount(recount.sample_edits(trees), vocabulary(BYTE_BPE))
@@ -69,6 +73,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_toxicity,
+        op2_suffix_dedup,
         op3_edit_token_counts,
         op4_simhash,
         op5_license_scan,

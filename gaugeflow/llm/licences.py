@@ -91,7 +91,8 @@ def bigrams(text: str) -> set[str]:
 
 def size_bounds(size: int, threshold: float) -> tuple[float, float]:
     """Sizes that a unit may have to reach the threshold against a template of ``size``."""
-    return size * threshold / (2 - threshold), size * (2 - threshold) / threshold
+    ratio = (2 - threshold) / threshold
+    return size / ratio - 1e-9, size * ratio + 1e-9
 
 
 def template_rows(templates: Mapping[str, list[str]], threshold: float) -> list[tuple]:

@@ -432,12 +432,15 @@ def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         "nodes",
     )
     roots = components(wide_links(nodes.select("node", "bits", "guards"), most_errors(similarity, WIDE_BITS)))
+    name = "kept_row"
+    while name in docs.columns:
+        name += "_"
     stay = (
         nodes.select("node", "first")
         .join(roots, "node", "left")
         .groupBy(F.coalesce("root", "node"))
         .agg(F.min("first").alias("first"))
-        .select(F.col("first.row").alias("_kept_row"))
+        .select(F.col("first.row").alias(name))
     )
-    numbered = docs.withColumn("_kept_row", F.monotonically_increasing_id())
-    return numbered.join(stay, "_kept_row", "left_semi").drop("_kept_row")
+    numbered = docs.withColumn(name, F.monotonically_increasing_id())
+    return numbered.join(stay, name, "left_semi").drop(name)

@@ -18,9 +18,8 @@ longest common prefixes; suffixes that no pass of the first ``length`` bytes has
 an interval of equal strings. An interval that stands for two starts or more is repeated.
 Suffixes are never sorted across shards.
 
-An anchor that occurs in one context only needs no merge: the whole context is repeated. Of an
-anchor with more than ``MANY`` contexts, the stretches are divided by the bytes before the
-anchor or behind it, whichever side its strings must share, into groups of their own.
+Of an anchor with more than ``MANY`` contexts, the stretches are divided by the bytes before
+the anchor or behind it, whichever side its strings must share, into groups of their own.
 
 Blocks and contexts are told apart by 64-bit hashes, contexts within their anchor. Null and
 short texts have no strings. Rows are told apart by place, so null and repeated doc_ids and
@@ -252,13 +251,10 @@ def repeated(texts: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, block
     kinds = written(kinds, "contexts")
     many = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"))
     kinds = kinds.join(many, "anchor")
-    whole = kinds.filter("kinds = 1").select(
-        "anchor", "context", F.lit(0).alias("skip"), F.col("n").alias("n_repeated")
-    )
-    wanted = (
-        kinds.filter("kinds > 1")
-        .groupBy(F.col("at.row").alias("row"))
-        .agg(F.collect_list(F.struct("anchor", "context", "copies", "at.first", "n", "place", "kinds")).alias("wanted"))
+    wanted = kinds.groupBy(F.col("at.row").alias("row")).agg(
+        F.collect_list(
+            F.struct("anchor", "context", "copies", "at.first", "n", "place", "kinds")
+        ).alias("wanted")
     )
     half = (length - anchor) // 2
 
@@ -338,7 +334,7 @@ def repeated(texts: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, block
         .sortWithinPartitions("key")
         .mapInArrow(merged, "anchor long, context long, skip int, n_repeated int")
     )
-    spans = met.join(found.unionByName(whole), ["anchor", "context"]).select(
+    spans = met.join(found, ["anchor", "context"]).select(
         "row",
         F.struct(
             (F.col("first") + F.col("skip")).alias("low"),

@@ -232,6 +232,30 @@ def polls(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+# Counters and durations that the other recorded metrics spread over.
+COUNTERS = (
+    vocab.DUPLICATES_SKIPPED, vocab.BATCH_RETRIES, vocab.BATCHES_PROCESSED,
+    vocab.EVENTS_PUBLISHED, vocab.MESSAGES_PRODUCED, vocab.MESSAGES_FAILED,
+    vocab.READINGS_POLLED, vocab.EVENTS_CONSUMED, vocab.EVENTS_PUSHED,
+)
+DURATIONS = (vocab.WRITE_DURATION, vocab.CONSUMER_LAG, vocab.POLL_DURATION, vocab.EVENT_LAG)
+
+
+def instruments(spark: SparkSession, folder: str) -> DataFrame:
+    """Every event as one delta of a counter, or for purchases one recorded duration."""
+    k, timed = F.col("k"), F.col("event_type") == "purchase"
+
+    def one_of(names: tuple[str, ...]) -> Column:
+        return F.get(F.array(*map(F.lit, names)), k % len(names))
+
+    return with_reading(events(spark, folder)).select(
+        F.col("collected_at").alias("ts"),
+        F.when(timed, one_of(DURATIONS)).otherwise(one_of(COUNTERS)).alias("name"),
+        F.create_map().cast("map<string,string>").alias("labels"),
+        F.when(timed, F.col("value")).otherwise(k.cast("double")).alias("value"),
+    )
+
+
 def metrics(spark: SparkSession, folder: str) -> DataFrame:
     """Recorded metrics: every event is one delta of a counter or one recorded duration."""
     names = {

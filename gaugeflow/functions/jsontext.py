@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 _STRICT = {"allowNonNumericNumbers": "false", "allowSingleQuotes": "false"}
 
 
+# Fixed value: what JSON counts as white space between tokens.
+BLANKS = " \t\r\n"
+
+
 def parse_marked(text: Column, ddl: str) -> Column:
     """Parse a text as one JSON document of the given type, with a closing mark behind it.
 

@@ -4,24 +4,39 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeflow import vocab
 from gaugeflow.functions import instants
 
 
-def announcement_of(total: int) -> Column:
-    """The announcement a message belongs to.
+def number_spans(messages: DataFrame) -> DataFrame:
+    """Where each topic partition's messages begin in a batch: ``before``, ``low``, ``width``.
 
-    A batch of up to 500 messages makes one announcement, as in a hand-sized batch. A larger
-    one, such as a backfill, makes one per 500 offsets of a partition, so that no event ever
-    lists more sensors than 500 messages can name.
+    Positions follow (topic, partition, offset), need not be consecutive, and take one small
+    aggregate - a row per topic partition - instead of ranking the messages.
     """
-    if total <= vocab.BATCH_MESSAGES:
-        return F.lit("all")
-    block = instants.floor_div(F.col("offset"), vocab.BATCH_MESSAGES)
-    return F.concat_ws("/", "topic", F.col("partition").cast("string"), block.cast("string"))
+    spans = messages.groupBy("topic", "partition").agg(
+        F.min("offset").alias("low"), (F.max("offset") - F.min("offset") + 1).alias("width")
+    )
+    order = Window.orderBy("topic", "partition")
+    return spans.withColumn("before", F.sum("width").over(order) - F.col("width"))
+
+
+def with_announcement(rows: DataFrame, spans: DataFrame) -> DataFrame:
+    """The rows of a batch with the announcement each belongs to: 500 positions make one.
+
+    One rule for any batch: a hand-sized one is one announcement, and no event ever lists
+    more sensors than 500 messages can name.
+    """
+    position = F.col("before") + F.col("offset") - F.col("low")
+    block = instants.floor_div(position, vocab.BATCH_MESSAGES).cast("string")
+    return (
+        rows.join(spans.drop("width"), ["topic", "partition"])
+        .withColumn("announcement", block)
+        .drop("before", "low")
+    )
 
 
 def change_events(

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_GROUP = 10_000
+# About so many pairs are numbered in one task, in at most so many groups.
+_GROUP, _MOST_GROUPS = 10_000, 1000
 
 
 def unknown_sensors(readings: DataFrame, sensors: DataFrame) -> DataFrame:
@@ -18,18 +19,22 @@ def unknown_sensors(readings: DataFrame, sensors: DataFrame) -> DataFrame:
 
 
 def number_sensors(unknown: DataFrame, last_id: int, expected: int) -> DataFrame:
-    """Give new pairs consecutive ids after ``last_id``.
+    """Give new pairs consecutive ids after ``last_id``, in the order of name and type.
 
-    ``expected`` is their number. Pairs are spread over groups of about 10,000 by a hash of
-    the key and numbered inside their group, after a running total of the group sizes, so
-    a first backfill of millions of sensors is not numbered in one task.
+    ``expected`` is their number. Names are cut into ranges of about 10,000 pairs, at names
+    chosen by a hash, and pairs are numbered inside their range, after a running total of the
+    sizes of the ranges before it. The ids are the same wherever the cuts fall, and a first
+    backfill of millions of sensors is not numbered in one task.
     """
-    groups = max(1, -(-expected // _GROUP))
-    grouped = unknown.withColumn(
-        "_group", F.pmod(F.xxhash64("name", "sensor_type"), F.lit(groups)).cast("int")
+    groups = min(max(1, -(-expected // _GROUP)), _MOST_GROUPS)
+    cuts = (
+        unknown.select("name").distinct().orderBy(F.xxhash64("name"), "name").limit(groups - 1)
     )
+    names = sorted(r["name"] for r in cuts.collect()) if groups > 1 else []
+    below = F.filter(F.array(*map(F.lit, names)), lambda cut: cut <= F.col("name"))
+    grouped = unknown.withColumn("_group", F.size(below) if names else F.lit(0))
     in_group = Window.partitionBy("_group").orderBy("name", "sensor_type")
-    # One row per group: a few hundred at most for millions of sensors.
+    # One row per range.
     sizes = grouped.groupBy("_group").agg(F.count("*").alias("_size"))
     before = sizes.select(
         "_group",

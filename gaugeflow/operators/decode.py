@@ -93,8 +93,11 @@ def _read_plain(df: DataFrame) -> DataFrame:
         }
     )
     fields = {c: F.col(f"_values.{f}") for c, f in _PAYLOAD_FIELDS.items()}
+    # Exactly four envelope names, in any spelling: none is repeated in another letter case.
+    named = F.regexp_count(text, F.lit(r'(?i)"(?:type|name|payload|collectedAt)"\s*:'))
     settled = (
         F.col("_whole")
+        & (named == 4)
         & ~_is_blank(F.col("_name"))
         & labels.is_sensor_type(F.col("_type"))
         & F.col("_at").isNotNull()
@@ -161,7 +164,7 @@ def _first_failure() -> Column:
     )
     return (
         F.when(text.isNull() | (text == ""), vocab.BODY_EMPTY)
-        .when(F.trim(text) == "null", vocab.BODY_NULL)
+        .when(F.btrim(text, F.lit(jsontext.BLANKS)) == "null", vocab.BODY_NULL)
         .when(F.col("_doc").isNull() | mistyped, vocab.BODY_NOT_JSON)
         .when(_is_blank(F.col("_c.name")), vocab.NO_NAME)
         .when(

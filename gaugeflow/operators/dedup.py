@@ -35,14 +35,13 @@ def without_stored(
     """Rows whose key the table does not hold yet; ``rows`` has each key once.
 
     ``stored`` should be cut to the days the rows touch - equal keys share a day - and only
-    its key columns are read. The stored keys are first cut to those the batch also has, by a broadcast of
-    the batch keys when ``keys`` (their number, counted by the caller) is small, so the
-    stored table is not shuffled for a normal batch.
+    its key columns are read. When ``keys`` (their number, counted by the caller) is small, the stored
+    keys are first cut to those the batch also has by a broadcast of the batch keys, so the
+    stored table is not shuffled. A larger batch meets the stored keys in one join.
     """
-    candidates = rows.select(*READING_KEY)
+    held = stored.select(*READING_KEY)
     if keys is not None and keys <= BROADCAST_KEYS:
-        candidates = F.broadcast(candidates)
-    held = stored.select(*READING_KEY).join(candidates, READING_KEY, "left_semi")
+        held = held.join(F.broadcast(rows.select(*READING_KEY)), READING_KEY, "left_semi")
     return rows.join(held, READING_KEY, "left_anti")
 
 

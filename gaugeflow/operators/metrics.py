@@ -82,7 +82,8 @@ def sketch_quantile(
 ) -> DataFrame:
     """Quantile of the recorded values over the look-back, from mergeable sketches.
 
-    One sketch per step, merged per range. Ranges of fewer than ``k`` values are exact.
+    One sketch per step, merged per range: the state is bounded, and the rank of the result
+    is off by a small share of the values, which ``quantile_ranks`` measures.
     """
     steps = (
         _selected(metrics, names, [])
@@ -98,6 +99,26 @@ def sketch_quantile(
     return merged.select("name", "range_end", value.alias("quantile"))
 
 
+def quantile_ranks(metrics: DataFrame, quantiles: DataFrame) -> DataFrame:
+    """Of each range's ``quantile``: the values, those below it, and those up to it.
+
+    Hands every recorded value to its twenty ranges: a measurement of a sketch's error, not a
+    way to answer.
+    """
+    names = [r["name"] for r in quantiles.select("name").distinct().collect()]
+    values = _into_ranges(_selected(metrics, names, []))
+    below = F.count_if(F.col("value") < F.col("quantile"))
+    return (
+        values.join(quantiles, ["name", "range_end"])
+        .groupBy("name", "range_end")
+        .agg(
+            F.count("*").alias("n"),
+            below.alias("below"),
+            F.count_if(F.col("value") <= F.col("quantile")).alias("up_to"),
+        )
+    )
+
+
 def metric_rows(
     spark: SparkSession,
     values: list[tuple[str, dict[str, str], float]],

@@ -93,10 +93,12 @@ def summarize_total(total: DataFrame, page: int, size: int) -> DataFrame:
 
 @dataclass(frozen=True)
 class Connection:
-    """One cursor page: its edges, newest first, and one row of page information."""
+    """One cursor page: its edges, newest first, one row of page information, and the number
+    of readings that the filter admits, whatever the cursor."""
 
     edges: DataFrame
     page_info: DataFrame
+    total_count: DataFrame
 
 
 def cursor_of(collected_at: Column, id_: Column) -> Column:
@@ -178,7 +180,7 @@ def keyset_page(
         newest("cursor", rank).alias("start_cursor"),
         oldest("cursor", rank).alias("end_cursor"),
     )
-    return Connection(edges, page_info)
+    return Connection(edges, page_info, readings.agg(F.count("*").alias("total_count")))
 
 
 def _at(micros: int) -> Column:

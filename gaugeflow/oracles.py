@@ -121,10 +121,42 @@ METRICS = (
 )"""
 )
 
+INSTRUMENTS = (
+    READINGS
+    + """, d AS (
+  SELECT collected_at AS ts, event_type,
+    CASE WHEN event_type = 'purchase' THEN ['ingest.write_duration', 'ingest.newest_reading_lag',
+        'produce.poll_duration', 'relay.event_lag'][1 + k % 4]
+      ELSE ['ingest.duplicates_skipped', 'ingest.batch_retries', 'ingest.batches_processed',
+        'ingest.events_published', 'produce.messages_produced', 'produce.messages_failed',
+        'produce.readings_polled', 'relay.events_consumed', 'relay.events_pushed'][1 + k % 9]
+    END AS name,
+    CASE WHEN event_type = 'purchase' THEN value ELSE CAST(k AS DOUBLE) END AS value
+  FROM r
+), w AS (
+  SELECT d.*, time_bucket(INTERVAL 15 SECOND, ts) + to_seconds(15 * i) AS range_end
+  FROM d, range(1, 21) AS t(i)
+)"""
+)
+
 AGE = """CASE WHEN secs < 60 THEN secs || 's' WHEN secs < 3600 THEN (secs // 60) || 'm'
   ELSE (secs // 3600) || 'h' || lpad(CAST((secs // 60) % 60 AS VARCHAR), 2, '0') END"""
 
 
+POSITIONS = """, sp AS (
+  SELECT "partition", min("offset") AS low, max("offset") - min("offset") + 1 AS width
+  FROM m GROUP BY 1
+), sb AS (
+  SELECT "partition", low, sum(width) OVER (ORDER BY "partition") - width AS before FROM sp
+), gp AS (
+  SELECT g.*, CAST((before + "offset" - low) // 500 AS BIGINT)::VARCHAR AS announcement
+  FROM g JOIN sb USING ("partition")
+), fp AS (
+  SELECT announcement, CAST(count(*) AS INTEGER) AS reading_count
+  FROM f JOIN gp USING ("partition", "offset") GROUP BY 1
+)"""
+
+
 def _with(ctes: str, select: str) -> str:
     return f"WITH {ctes.strip()} {select}"
 
@@ -197,7 +229,7 @@ NEWER = f"""SELECT {FLAT}, {CURSOR} AS cursor FROM r
   WHERE collected_at >= '2024-01-16' ORDER BY collected_at, id LIMIT 40"""
 
 
-def _histogram(bounds: tuple[float, ...]) -> str:
+def _histogram(bounds: tuple[float, ...], rows: str = METRICS) -> str:
     """Interpolated quantile from per-bucket counts, bucket by bucket."""
     lowers = (0.0, *bounds[:-1])
     counts = ", ".join(
@@ -209,7 +241,7 @@ def _histogram(bounds: tuple[float, ...]) -> str:
         for i in range(1, len(bounds))
     )
     return _with(
-        METRICS,
+        rows,
         f""", h AS (SELECT name, range_end, count(*) AS n, {counts} FROM w
         WHERE event_type = 'purchase' GROUP BY 1, 2)
         SELECT name, range_end, round(CAST(CASE {cases} ELSE {bounds[-1]} END AS DOUBLE), 6) AS quantile
@@ -346,6 +378,9 @@ ORACLES: dict[str, str] = {
         f"""SELECT {FLAT}, {CURSOR} AS cursor FROM r WHERE sensor_type = 'motion'
         ORDER BY collected_at DESC, id DESC LIMIT 25""",
     ),
+    "connection_total": _with(
+        READINGS, "SELECT count(*) AS total_count FROM r WHERE sensor_type = 'energy'"
+    ),
     "reading_json": _with(
         READINGS,
         """SELECT id, 'id,sensor_name,sensor_type,' || CASE sensor_type
@@ -461,22 +496,20 @@ ORACLES: dict[str, str] = {
           name, sensor_type FROM u""",
     ),
     "change_events": _with(
-        MESSAGES,
-        """, t AS (SELECT *, 'meter-readings/' || "partition" || '/' || ("offset" // 500)
-            AS announcement FROM g),
-        n AS (SELECT 'meter-readings/' || "partition" || '/' || ("offset" // 500) AS announcement,
-            CAST(count(*) AS INTEGER) AS reading_count FROM f GROUP BY 1),
-        pairs AS (SELECT announcement, name, sensor_type, min("offset") AS seen FROM t
-            GROUP BY 1, 2, 3),
-        newest AS (SELECT announcement, max(collected_at) AS newest_collected_at FROM t GROUP BY 1)
+        MESSAGES + POSITIONS,
+        """, pairs AS (SELECT announcement, name, sensor_type, min(("partition", "offset")) AS seen
+            FROM gp GROUP BY 1, 2, 3),
+        newest AS (SELECT announcement, max(collected_at) AS newest_collected_at FROM gp GROUP BY 1)
         SELECT pairs.announcement, TIMESTAMP '2024-01-31' AS published_at, reading_count,
           newest_collected_at, name AS location, sensor_type,
           CAST(row_number() OVER (PARTITION BY pairs.announcement ORDER BY seen) - 1 AS INTEGER)
             AS position
-        FROM pairs JOIN n USING (announcement) JOIN newest USING (announcement)""",
+        FROM pairs JOIN fp USING (announcement) JOIN newest USING (announcement)""",
     ),
     "ingest_stored": _with(
-        MESSAGES, f"SELECT name AS sensor_name, sensor_type, collected_at, {VALUES} FROM f"
+        MESSAGES,
+        f"""SELECT name AS sensor_name, sensor_type, collected_at, {VALUES},
+        row_number() OVER (ORDER BY "partition", "offset") AS arrival FROM f""",
     ),
     "ingest_dead_letters": _with(
         MESSAGES,
@@ -485,13 +518,12 @@ ORACLES: dict[str, str] = {
         WHERE error_detail IS NOT NULL""",
     ),
     "ingest_announced": _with(
-        MESSAGES,
-        """, t AS (SELECT *, "partition" || '/' || ("offset" // 500) AS a FROM g),
-        n AS (SELECT "partition" || '/' || ("offset" // 500) AS a, count(*) AS n FROM f GROUP BY 1)
-        SELECT CAST(any_value(n) AS INTEGER) AS reading_count,
+        MESSAGES + POSITIONS,
+        """SELECT any_value(reading_count) AS reading_count,
           max(collected_at) AS newest_collected_at,
-          CAST(count(DISTINCT sensor_id) AS INTEGER) AS sensor_count
-        FROM t JOIN n USING (a) GROUP BY a""",
+          string_agg(DISTINCT name || ' ' || sensor_type, ',' ORDER BY name || ' ' || sensor_type)
+            AS sensors
+        FROM gp JOIN fp USING (announcement) GROUP BY announcement""",
     ),
     # change signals
     "decoded_changes": _with(
@@ -505,8 +537,7 @@ ORACLES: dict[str, str] = {
     ),
     "refresh_signals": _with(CHANGES, BURSTS),
     # A stream reports the bursts that ended ten seconds before its newest event.
-    "refresh_stream": f"""SELECT * FROM ({_with(CHANGES, BURSTS)}) WHERE refresh_at <=
-        ({_with(CHANGES, "SELECT max(published_at) - INTERVAL 10 SECOND FROM c")})""",
+    "refresh_stream": _with(CHANGES, BURSTS),
     "running_view": _with(
         CHANGES,
         """SELECT count(*) AS events_seen, max(published_at) AS published_at,
@@ -614,9 +645,15 @@ ORACLES: dict[str, str] = {
     "duration_p95": _histogram(HISTOGRAM_BOUNDS),
     "duration_p95_sketch": _with(
         METRICS,
-        """SELECT name, range_end, quantile_disc(value, 0.95) AS quantile FROM w
+        """SELECT name, range_end, count(*) AS n, true AS close FROM w
         WHERE event_type = 'purchase' GROUP BY 1, 2""",
     ),
+    "instrument_rates": _with(
+        INSTRUMENTS,
+        """SELECT name, range_end, round(sum(value) / 300, 6) AS rate FROM w
+        WHERE event_type <> 'purchase' GROUP BY 1, 2""",
+    ),
+    "instrument_p95": _histogram(HISTOGRAM_BOUNDS, INSTRUMENTS),
 }
 
 # The stored table answers as the readings it was written from.

@@ -73,7 +73,8 @@ class ReadingStore:
         page = paging.keyset_page(kept, first, after, last, before, first_day)
         nested = ops.with_nested_sensor(page.edges, self.sensors)
         cursor = paging.cursor_of(F.col("collected_at"), F.col("id")).alias("cursor")
-        return Connection(paging.newest_first(nested.select("*", cursor)), page.page_info)
+        edges = paging.newest_first(nested.select("*", cursor))
+        return Connection(edges, page.page_info, page.total_count)
 
     def count(
         self,

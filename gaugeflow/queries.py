@@ -9,7 +9,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gaugeflow import bridge, vocab
@@ -28,7 +28,7 @@ from gaugeflow.operators.decode import decode_messages, split_decoded
 from gaugeflow.operators.readings import ReadingFilter
 from gaugeflow.plans.console import Console, ConsoleFilter
 from gaugeflow.plans.store import ReadingStore
-from gaugeflow.schemas import REFRESH_SIGNALS, VALUE_COLUMNS
+from gaugeflow.schemas import VALUE_COLUMNS
 from gaugeflow.session import scratch_dir, tune
 from gaugeflow.sources import messages, polls
 from gaugeflow.sources.tables import Tables, day_column, rows_from_arrays
@@ -320,6 +320,11 @@ def connection_default(spark, folder):
     return _edges(_store(spark, folder).connection(sensor_type=vocab.MOTION).edges)
 
 
+@query
+def connection_total(spark, folder):
+    return _store(spark, folder).connection(first=5, sensor_type=vocab.ENERGY).total_count
+
+
 @query
 def reading_json(spark, folder):
     store = _store(spark, folder)
@@ -537,9 +542,11 @@ def insert_summary(spark, folder):
     good, _ = split_decoded(_decoded(spark, folder))
     keyed = catalogue.with_sensor_id(good, bridge.sensors(spark, folder))
     stored = readings.between(bridge.readings(spark, folder), end=MIDDLE)
-    fresh = dedup.without_stored(dedup.first_arrivals(keyed, dedup.READING_KEY), stored)
-    inserted = fresh.agg(F.count("*").alias("n")).scalar()
-    return keyed.agg(*announce.batch_summary(F.count("*"), F.max(inserted)))
+    # One row per key with its number of arrivals: the messages are decoded once.
+    arrived = keyed.groupBy(*dedup.READING_KEY).agg(F.count("*").alias("copies"))
+    held = stored.select(*dedup.READING_KEY, F.lit(True).alias("held"))
+    counted = arrived.join(held, dedup.READING_KEY, "left")
+    return counted.agg(*announce.batch_summary(F.sum("copies"), F.count_if(F.col("held").isNull())))
 
 
 @query
@@ -556,7 +563,7 @@ def new_sensors(spark, folder):
 @query
 def change_events(spark, folder):
     good, _ = split_decoded(_decoded(spark, folder))
-    tagged = good.withColumn("announcement", announce.announcement_of(vocab.BATCH_MESSAGES + 1))
+    tagged = announce.with_announcement(good, announce.number_spans(bridge.messages(spark, folder)))
     kept = dedup.first_arrivals(tagged, ["name", "sensor_type", "collected_at"])
     inserted = kept.groupBy("announcement").agg(F.count("*").alias("reading_count"))
     events = announce.change_events(tagged, inserted, bridge.NOW)
@@ -581,7 +588,9 @@ def _ingested(spark, folder) -> Tables:
 @query
 def ingest_stored(spark, folder):
     tables = _ingested(spark, folder)
-    return readings.with_sensor(tables.readings(), tables.sensors()).drop("id")
+    rows = readings.with_sensor(tables.readings(), tables.sensors())
+    # Ids leave gaps; their order is the order of arrival.
+    return rows.withColumn("arrival", F.row_number().over(Window.orderBy("id")).cast("bigint")).drop("id")
 
 
 @query
@@ -606,8 +615,11 @@ def ingest_dead_letters(spark, folder):
 @query
 def ingest_announced(spark, folder):
     events = messages.decode_changes(_ingested(spark, folder).changes())
+    named = F.transform("sensors", lambda s: F.concat_ws(" ", s["location"], s["sensorType"]))
     return events.select(
-        "reading_count", "newest_collected_at", F.size("sensors").alias("sensor_count")
+        "reading_count",
+        "newest_collected_at",
+        F.array_join(F.array_sort(named), ",").alias("sensors"),
     )
 
 
@@ -644,17 +656,8 @@ def refresh_signals(spark, folder):
 def refresh_stream(spark, folder):
     base = scratch_dir(spark, "refresh")
     events = messages.decode_changes(bridge.with_change(bridge.event_stream(spark, folder)))
-    (
-        changes.refresh_stream(events)
-        .writeStream.outputMode("append")
-        .format("parquet")
-        .option("path", f"{base}/signals")
-        .option("checkpointLocation", f"{base}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-        .awaitTermination()
-    )
-    return spark.read.schema(REFRESH_SIGNALS).parquet(f"{base}/signals")
+    changes.land_events(events, f"{base}/events", f"{base}/checkpoint", drain=True).awaitTermination()
+    return changes.landed_signals(spark, f"{base}/events")
 
 
 @query
@@ -785,4 +788,21 @@ def duration_p95(spark, folder):
 
 @query
 def duration_p95_sketch(spark, folder):
-    return metrics.sketch_quantile(bridge.metrics(spark, folder), [vocab.BATCH_DURATION])
+    """The sketch's rank may be off by one in a hundred of a range's values."""
+    rows = bridge.metrics(spark, folder)
+    ranks = metrics.quantile_ranks(rows, metrics.sketch_quantile(rows, [vocab.BATCH_DURATION]))
+    rank, most = 0.95 * F.col("n"), 0.01 * F.col("n")
+    close = (F.col("below") <= rank + most) & (F.col("up_to") >= rank - most)
+    return ranks.select("name", "range_end", "n", close.alias("close"))
+
+
+@query
+def instrument_rates(spark, folder):
+    rows = bridge.instruments(spark, folder)
+    return _rounded(metrics.rate(rows, list(bridge.COUNTERS)), "rate")
+
+
+@query
+def instrument_p95(spark, folder):
+    rows = bridge.instruments(spark, folder)
+    return _rounded(metrics.histogram_quantile(rows, list(bridge.DURATIONS)), "quantile")

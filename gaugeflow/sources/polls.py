@@ -87,6 +87,7 @@ def resolve_polls(
     pass refers to what the one before it found and nothing is shuffled.
     """
     body = F.col("body")
+    trimmed = F.btrim(body, F.lit(jsontext.BLANKS))
     ok = F.col("status") == 200
     members = ", ".join(f"`{name}`: variant" for name in _MEMBERS)
     staged = polls.withColumn(
@@ -101,7 +102,7 @@ def resolve_polls(
     staged = staged.withColumn("_read", F.transform("_probed", _read))
     staged = staged.withColumn("_readings", F.transform("_read", _finish))
     error = F.when(
-        ok & F.col("_list").isNull() & F.trim(body).startswith("{"),
+        ok & F.col("_list").isNull() & trimmed.startswith("{"),
         jsontext.string_of(
             jsontext.member(jsontext.parse_document(body, "map<string,variant>"), "error")
         ),
@@ -111,7 +112,7 @@ def resolve_polls(
         F.when(F.col("status") == 429, "rate_limited")
         .when(F.col("status") >= 500, "server_error")
         .when(F.col("status") != 200, "unexpected")
-        .when((F.trim(body) == "null") | (F.size("_list") == 0), "empty")
+        .when((trimmed == "null") | (F.size("_list") == 0), "empty")
         .when(F.coalesce(sound, F.lit(False)), "success")
         .when(error == vocab.CORRUPTED_BODY, "corrupted")
         .otherwise("malformed")

@@ -43,6 +43,8 @@ class Tables:
 
     spark: SparkSession
     root: str
+    # Whether a table that nobody has written yet is an empty one; for a reader it is an error.
+    may_be_new: bool = False
 
     def path(self, name: str) -> str:
         return f"{self.root.rstrip('/')}/{name}"
@@ -91,7 +93,7 @@ class Tables:
         try:
             return self.spark.read.schema(schema).parquet(self.path(name))
         except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
+            if not self.may_be_new or e.getCondition() != "PATH_NOT_FOUND":
                 raise
             return self.spark.createDataFrame([], schema)
 

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
+from gaugeflow import vocab
 from gaugeflow.functions import instants, labels
 
 QUIET_MS = 400
+_LANDED = "published_at timestamp, reading_count int, hour timestamp"
 # Slots of one quiet time each that are chained together in one task: about an hour.
 _CHAINED = 9000
 
@@ -87,27 +90,38 @@ def _merged() -> list[Column]:
     ]
 
 
-def refresh_stream(
-    events: DataFrame, quiet_ms: int = QUIET_MS, late: str = "10 seconds"
-) -> DataFrame:
-    """One refresh per burst of an event stream; events carry their ``topic``.
+def land_events(
+    events: DataFrame, path: str, checkpoint: str, drain: bool = False
+) -> StreamingQuery:
+    """Append an event stream to files by hour, exactly once, as the file sink guarantees.
 
-    A burst is reported, in append mode, once the watermark has passed it. Events later than
-    ``late`` are dropped: the refresh they would have caused has happened by then. Sessions
-    merge on each task before the shuffle (see ``session.SETTINGS``).
+    No state is kept and nothing is late: an event goes to its hour whenever it comes, from
+    any task, so neither one feed's key nor a watermark stands in the way.
     """
-    burst = F.session_window("published_at", f"{quiet_ms} milliseconds")
-    return (
-        events.withWatermark("published_at", late)
-        .groupBy(burst.alias("burst"), "topic")
-        .agg(F.count("*").alias("events"), F.sum("reading_count").alias("readings"))
-        .select(
-            F.col("burst.start").alias("first_event_at"),
-            F.col("burst.end").alias("refresh_at"),
-            "events",
-            "readings",
-        )
+    hour = F.date_trunc("hour", "published_at").alias("hour")
+    writer = (
+        events.select("published_at", "reading_count", hour)
+        .writeStream.format("parquet")
+        .option("path", path)
+        .option("checkpointLocation", checkpoint)
+        .partitionBy("hour")
     )
+    trigger = {"availableNow": True} if drain else {"processingTime": vocab.BATCH_LINGER}
+    return writer.trigger(**trigger).start()
+
+
+def landed_signals(
+    spark: SparkSession, path: str, since: datetime | None = None, quiet_ms: int = QUIET_MS
+) -> DataFrame:
+    """One refresh per burst of the landed events, the open last one included.
+
+    ``since`` reads the hours from then on only; a burst that began before is reported from
+    its first event in them.
+    """
+    events = spark.read.schema(_LANDED).parquet(path)
+    if since is not None:
+        events = events.filter(F.col("hour") >= F.date_trunc("hour", instants.instant(since)))
+    return refresh_signals(events, quiet_ms)
 
 
 def running_view(events: DataFrame) -> DataFrame:

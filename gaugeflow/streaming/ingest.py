@@ -11,34 +11,48 @@ One query writes a table at a time; the checkpoint keeps the feed's progress.
 
 from __future__ import annotations
 
+import logging
 import socket
 import time
-from collections import deque
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime
 
 from py4j.protocol import Py4JJavaError
-from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import (
+    AnalysisException,
+    IllegalArgumentException,
+    PySparkException,
+    PythonException,
+)
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from gaugeflow import vocab
 from gaugeflow.operators import announce, catalogue, dedup
+from gaugeflow.operators.announce import number_spans
 from gaugeflow.operators.decode import decode_messages
 from gaugeflow.operators.metrics import metric_rows
 from gaugeflow.session import tune
 from gaugeflow.sources.tables import Tables, day_column
 from gaugeflow.streaming.jobs import batch_name, start_batches, utc_now
 
-# The spans of a batch, one row per topic partition, are broadcast; this bounds them.
-_MAX_PARTITIONS = 100_000
+log = logging.getLogger(__name__)
+
 _TRANSIENT_JAVA = ("SocketException", "SocketTimeoutException", "TimeoutException",
                    "ConnectException", "SQLTransient")
 
 # How Spark reports a job that died of lost executors or lost shuffle files.
 _LOST_EXECUTOR = ("ExecutorLostFailure", "FetchFailed")
+# How object stores report that they are busy for the moment.
+_BUSY_STORE = ("503 Slow Down", "SlowDown", "503 Service Unavailable", "Throttling", "429 Too Many")
+# How Spark reports a job that somebody stopped.
+_STOPPED = ("SPARK_JOB_CANCELLED", "was cancelled", "InterruptedException", "SparkContext was shut down",
+            "SparkContext has been shutdown")
+# Mistakes in the job itself: no message is to blame, and a retry would fail alike.
+_FAULTS = (AnalysisException, IllegalArgumentException, PythonException, TypeError, ValueError,
+           LookupError, AttributeError, NameError, AssertionError, ImportError)
 
 
 @dataclass(frozen=True)
@@ -87,7 +101,8 @@ class Ingest:
     clock: Callable[[], datetime] = utc_now
     publish: Callable[[DataFrame], None] | None = None
     reject: Callable[[DataFrame], None] | None = None
-    reports: deque[BatchReport] = field(default_factory=lambda: deque(maxlen=1000))
+    # Called with every batch's report; the metrics table holds the same numbers.
+    report: Callable[[BatchReport], None] | None = None
 
     def start(
         self,
@@ -101,7 +116,9 @@ class Ingest:
 
     def process(self, messages: DataFrame, batch_id: int) -> None:
         """Handle one micro-batch."""
-        self.reports.append(self.run_batch(messages, batch_name(messages, batch_id)))
+        done = self.run_batch(messages, batch_name(messages, batch_id))
+        if self.report:
+            self.report(done)
 
     def run_batch(self, messages: DataFrame, batch: str) -> BatchReport:
         """Handle a bounded set of messages under a batch name of the caller's choice.
@@ -109,7 +126,7 @@ class Ingest:
         Running a name again means replaying that batch.
         """
         tune(messages.sparkSession)
-        tables = Tables(messages.sparkSession, self.tables.root)
+        tables = Tables(messages.sparkSession, self.tables.root, may_be_new=True)
         started, clock_started = self.clock(), time.monotonic()
         report = BatchReport(batch)
 
@@ -130,14 +147,12 @@ class Ingest:
                 (vocab.DEAD_LETTERED, {"reason": vocab.DECODE_FAILED}, report.dead_letters),
             ]
             if report.decoded:
-                good = (
-                    decoded.filter(~bad)
-                    .drop("error_detail")
-                    .withColumn("announcement", announce.announcement_of(report.consumed))
-                )
+                spans = number_spans(decoded)
+                good = announce.with_announcement(decoded.filter(~bad).drop("error_detail"), spans)
                 write_started = time.monotonic()
                 days = dedup.touched_days(good.select(day_column(F.col("collected_at"))))
-                report.stored = self._store_with_retries(tables, good, days, batch, report)
+                cause = self._store_with_retries(tables, good, spans, days, batch, report)
+                report.stored = cause is None
                 if report.stored:
                     counts = self._stored_counts(tables, days, batch)
                     report.inserted = counts.agg(F.sum("reading_count")).first()[0] or 0
@@ -153,9 +168,8 @@ class Ingest:
                     ]
                 else:
                     self._abandon(tables, decoded, batch, started)
-                    metrics.append(
-                        (vocab.DEAD_LETTERED, {"reason": vocab.PERSIST_FAILED}, report.consumed)
-                    )
+                    labels = {"reason": vocab.PERSIST_FAILED, "cause": cause}
+                    metrics.append((vocab.DEAD_LETTERED, labels, report.consumed))
             metrics += [
                 (vocab.BATCH_RETRIES, {}, report.retries),
                 (vocab.BATCHES_PROCESSED, {}, 1),
@@ -198,22 +212,43 @@ class Ingest:
             self.reject(tables.dead_letters().filter(F.col("batch") == name).drop("batch"))
 
     def _store_with_retries(
-        self, tables: Tables, good: DataFrame, days: Column, batch: str, report: BatchReport
-    ) -> bool:
-        """Store the batch; False when it cannot be stored at all."""
-        for attempt in range(1, self.retry.attempts + 1):
+        self,
+        tables: Tables,
+        good: DataFrame,
+        spans: DataFrame,
+        days: Column,
+        batch: str,
+        report: BatchReport,
+    ) -> str | None:
+        """Store the batch; the kind of error when it cannot be stored at all.
+
+        A stopped job and a mistake in the job are no failed writes: they end the query, and
+        the batch is replayed when it starts again.
+        """
+        attempt = 1
+        while True:
             try:
-                self.store(tables, good, days, batch, report.decoded)
-                return True
+                self.store(tables, good, spans, days, batch, report.decoded)
+                return None
             except Exception as error:  # noqa: BLE001 - the rule decides, not the type
+                if is_stopped(error) or is_fault(error):
+                    raise
                 if not is_transient(error) or attempt == self.retry.attempts:
-                    return False
+                    log.exception("Batch %s cannot be stored; it is set aside.", batch)
+                    return type(error).__name__
+                log.warning("Batch %s: attempt %s failed, trying again.", batch, attempt, exc_info=True)
                 report.retries += 1
                 self.retry.sleep(self.retry.delay_s(attempt))
-        return False
+                attempt += 1
 
     def store(
-        self, tables: Tables, good: DataFrame, days: Column, batch: str, rows: int
+        self,
+        tables: Tables,
+        good: DataFrame,
+        spans: DataFrame,
+        days: Column,
+        batch: str,
+        rows: int,
     ) -> None:
         """Append the sensors and readings the tables do not hold yet."""
         known = tables.sensors()
@@ -228,10 +263,9 @@ class Ingest:
         )
         distinct = dedup.first_arrivals(keyed, dedup.READING_KEY)
         fresh = dedup.without_stored(distinct, tables.readings().filter(days), keys=rows)
-        spans = number_spans(good)
         first = self._reserve(tables, spans, batch)
         numbered = (
-            fresh.join(F.broadcast(spans), ["topic", "partition"])
+            fresh.join(spans, ["topic", "partition"])
             .withColumn("id", F.lit(first) + F.col("before") + F.col("offset") - F.col("low"))
             .withColumn("ingest_batch", F.concat_ws("/", F.lit(batch), "announcement"))
         )
@@ -239,9 +273,7 @@ class Ingest:
 
     def _reserve(self, tables: Tables, spans: DataFrame, batch: str) -> int:
         """Reserve ids for the batch before using them; an abandoned range stays unused."""
-        partitions, width = spans.agg(F.count("*"), F.sum("width")).first()
-        if partitions > _MAX_PARTITIONS:
-            raise ValueError(f"A feed has at most {_MAX_PARTITIONS} topic partitions.")
+        width = spans.agg(F.sum("width")).first()[0]
         first = tables.id_ranges().agg(F.max("next_id")).first()[0] or 1
         row = tables.spark.range(1).select(
             F.lit(first).cast("bigint").alias("first_id"),
@@ -277,36 +309,50 @@ class Ingest:
             if self.publish:
                 self.publish(tables.changes().filter(F.col("batch") == batch).select("value"))
             report.announced = counts.filter(F.col("reading_count") > 0).count()
-        except Exception:  # noqa: BLE001 - the rows are stored, the next batch announces again
+        except Exception as error:  # noqa: BLE001 - the rows are stored; only the signal is lost
+            if is_stopped(error):
+                raise
+            log.exception("Batch %s is stored, but its change events are not published.", batch)
             report.announced = 0
 
     def _now_micros(self) -> int:
         return int(self.clock().timestamp() * 1_000_000)
 
 
-def number_spans(messages: DataFrame) -> DataFrame:
-    """Where each topic partition's ids begin inside a batch: ``before``, ``low``, ``width``.
+def _chain(error: BaseException | None):
+    """An error and what caused it."""
+    seen: set[int] = set()
+    while error is not None and id(error) not in seen:
+        seen.add(id(error))
+        yield error
+        error = error.__cause__ or error.__context__
 
-    Ids follow (topic, partition, offset), need not be consecutive, and take one small
-    aggregate - a row per topic partition - instead of ranking the readings.
-    """
-    spans = messages.groupBy("topic", "partition").agg(
-        F.min("offset").alias("low"), (F.max("offset") - F.min("offset") + 1).alias("width")
+
+def is_stopped(error: BaseException) -> bool:
+    """Whether somebody stopped the job: the batch has not failed, it has not ended."""
+    return any(
+        isinstance(e, InterruptedError)
+        or (
+            isinstance(e, (PySparkException, Py4JJavaError))
+            and any(sign in str(e) for sign in _STOPPED)
+        )
+        for e in _chain(error)
     )
-    order = Window.orderBy("topic", "partition")
-    return spans.withColumn("before", F.sum("width").over(order) - F.col("width"))
+
+
+def is_fault(error: BaseException) -> bool:
+    """Whether the job is wrong, not the write: unless it hides a fault that may pass."""
+    return isinstance(error, _FAULTS) and not is_transient(error)
 
 
 def is_transient(error: BaseException | None) -> bool:
     """Whether a failed write is worth another try.
 
     Walks the chain of causes, Python's and the JVM's, for a database state on the list, a
-    connection fault, a timeout, or a job that lost its executors. Anything not recognised
-    is permanent.
+    connection fault, a timeout, a busy object store, or a job that lost its executors.
+    Anything not recognised is permanent.
     """
-    seen: set[int] = set()
-    while error is not None and id(error) not in seen:
-        seen.add(id(error))
+    for error in _chain(error):
         state = getattr(error, "sqlstate", None) or getattr(error, "pgcode", None)
         if isinstance(error, PySparkException):
             state = error.getSqlState()
@@ -315,12 +361,11 @@ def is_transient(error: BaseException | None) -> bool:
         if isinstance(error, (ConnectionError, TimeoutError, socket.gaierror, socket.herror)):
             return True
         if isinstance(error, (PySparkException, Py4JJavaError)) and any(
-            sign in str(error) for sign in _LOST_EXECUTOR
+            sign in str(error) for sign in (*_LOST_EXECUTOR, *_BUSY_STORE)
         ):
             return True
         if isinstance(error, Py4JJavaError) and _java_transient(error.java_exception):
             return True
-        error = error.__cause__ or error.__context__
     return False
 
 
@@ -336,4 +381,12 @@ def _java_transient(error: object) -> bool:
         error = error.getCause()
     return False
 
-__all__ = ["BatchReport", "Ingest", "RetryPolicy", "is_transient", "number_spans"]
+__all__ = [
+    "BatchReport",
+    "Ingest",
+    "RetryPolicy",
+    "is_fault",
+    "is_stopped",
+    "is_transient",
+    "number_spans",
+]

@@ -40,11 +40,21 @@ class Relay:
 
     def run_batch(self, messages: DataFrame, batch: str) -> None:
         """Push the events of one set of messages and record their age."""
-        tables = Tables(tune(messages.sparkSession), self.tables.root)
+        tables = Tables(tune(messages.sparkSession), self.tables.root, may_be_new=True)
         now = self.clock()
         events = decode_changes(messages)
         if self.since is not None:
             events = only_new(events, self.since)
+        # Decoded once for the push, the count and the ages; lost rows are decoded again.
+        events = events.persist()
+        try:
+            self._push(tables, events, messages.count(), now, batch)
+        finally:
+            events.unpersist()
+
+    def _push(
+        self, tables: Tables, events: DataFrame, consumed: int, now: datetime, batch: str
+    ) -> None:
         self.push(events)
 
         age = (F.lit(instants.micros_of(now)) - F.unix_micros("published_at")) / 1_000_000.0
@@ -55,7 +65,7 @@ class Relay:
             age.alias("value"),
         ).filter(F.col("value") >= 0)
         counts = [
-            (vocab.EVENTS_CONSUMED, {}, messages.count()),
+            (vocab.EVENTS_CONSUMED, {}, consumed),
             (vocab.EVENTS_PUSHED, {}, events.count()),
         ]
         counted = metric_rows(tables.spark, [c for c in counts if c[2]], now)

@@ -29,6 +29,15 @@ GOOD = [
         '{"type":"energy","name":"A","name":"B","payload":{"energy":1,"energy":2},"collectedAt":"2026-09-03T10:00:00Z"}',
         ("B", "energy", None, None, None, 2.0, None),
     ),
+    # A member repeated in two letter cases: the last counts.
+    (
+        '{"type":"energy","name":"A","NAME":"B","payload":{"energy":1},"collectedAt":"2026-09-03T10:00:00Z"}',
+        ("B", "energy", None, None, None, 1.0, None),
+    ),
+    (
+        '{"type":"energy","NAME":"B","name":"A","payload":{"energy":1},"collectedAt":"2026-09-03T10:00:00Z"}',
+        ("A", "energy", None, None, None, 1.0, None),
+    ),
     # The name is not trimmed; fields of other types are ignored.
     (
         wire("motion", " Hall ", '{"motionDetected":false,"co2":9}'),
@@ -43,6 +52,8 @@ BAD = [
     ("{ not json", JSON),
     ('{"type":"energy"', JSON),
     ("null", vocab.BODY_NULL),
+    ("\n\t null\r\n", vocab.BODY_NULL),
+    ("\u00a0null", JSON),
     ("[]", JSON),
     ("42", JSON),
     ("   ", JSON),

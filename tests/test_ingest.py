@@ -3,6 +3,7 @@ import random
 import socket
 
 import pytest
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import functions as F
 
 from gaugeflow import vocab
@@ -11,7 +12,7 @@ from gaugeflow.schemas import MESSAGES
 from gaugeflow.sources import messages as feeds
 from gaugeflow.sources.messages import decode_changes
 from gaugeflow.sources.tables import Tables, rows_from_arrays
-from gaugeflow.streaming.ingest import Ingest, RetryPolicy, is_transient, number_spans
+from gaugeflow.streaming.ingest import Ingest, RetryPolicy, is_stopped, is_transient, number_spans
 
 from conftest import at, utc, wire
 
@@ -20,7 +21,7 @@ from conftest import at, utc, wire
 def job(spark, folder):
     naps = []
     ingest = Ingest(
-        Tables(spark, folder), retry=RetryPolicy(sleep=naps.append), clock=lambda: utc("2026-09-03T12:00:00")
+        Tables(spark, folder, may_be_new=True), retry=RetryPolicy(sleep=naps.append), clock=lambda: utc("2026-09-03T12:00:00")
     )
     ingest.naps = naps
     return ingest
@@ -203,7 +204,7 @@ def test_permutations_and_repeats_leave_the_same_table(spark, feed, tmp_path_fac
     results = []
     for seed in range(2):
         rng = random.Random(seed)
-        job = Ingest(Tables(spark, str(tmp_path_factory.mktemp("run"))))
+        job = Ingest(Tables(spark, str(tmp_path_factory.mktemp("run")), may_be_new=True))
         for n in range(3):
             job.run_batch(feed(*rng.choices(bodies, k=15), *rng.sample(bodies, 24)), f"b{n}")
         results.append(stored(job))
@@ -213,6 +214,8 @@ def test_permutations_and_repeats_leave_the_same_table(spark, feed, tmp_path_fac
 def test_stream_from_files(job, spark, feed, folder):
     landed = f"{folder}/landed"
     feed(energy(), "{ not json").write.parquet(landed)
+    done = []
+    job.report = done.append
     arrivals = [feed(energy(), first_offset=9), feed(energy("New"), first_offset=10), None]
     for expected, following in zip((1, 1, 2), arrivals):
         stream = feeds.file_stream(spark, landed)
@@ -220,17 +223,19 @@ def test_stream_from_files(job, spark, feed, folder):
         assert job.tables.readings().count() == expected
         if following is not None:
             following.write.mode("append").parquet(landed)
-    assert [r.inserted for r in job.reports] == [1, 0, 1]
+    assert [r.inserted for r in done] == [1, 0, 1]
     names = {r["batch"] for r in job.tables.metrics().select("batch").distinct().collect()}
     assert len(names) == 3 and len({n.rsplit("-", 1)[0] for n in names}) == 1
 
 
 def test_a_new_checkpoint_replays_into_the_same_table(job, spark, feed, folder):
     feed(energy(), motion()).write.parquet(f"{folder}/landed")
+    done = []
+    job.report = done.append
     for checkpoint in ("a", "b"):
         stream = feeds.file_stream(spark, f"{folder}/landed")
         job.start(stream, f"{folder}/{checkpoint}", drain=True).awaitTermination()
-    assert [r.inserted for r in job.reports] == [2, 0]
+    assert [r.inserted for r in done] == [2, 0]
     assert decode_changes(job.tables.changes()).count() == 1
 
 
@@ -249,7 +254,7 @@ class Flaky(Ingest):
 def flaky(spark, folder):
     def make(*failures):
         naps = []
-        job = Flaky(Tables(spark, folder), retry=RetryPolicy(sleep=naps.append))
+        job = Flaky(Tables(spark, folder, may_be_new=True), retry=RetryPolicy(sleep=naps.append))
         job.failures, job.naps = list(failures), naps
         return job
 
@@ -273,9 +278,78 @@ def test_giving_up_quarantines_the_whole_batch(flaky, feed):
 
 
 def test_permanent_failures_are_not_retried(flaky, feed):
-    job = flaky(ValueError("no"))
+    job = flaky(DatabaseError("23505"))
     report = job.run_batch(feed(energy()), "b0")
     assert (report.stored, report.retries, job.calls) == (False, 0, 1)
+    [labels] = [r["labels"] for r in job.tables.metrics().filter(F.col("name") == vocab.DEAD_LETTERED).collect()]
+    assert labels == {"reason": vocab.PERSIST_FAILED, "cause": "DatabaseError"}
+
+
+def test_a_busy_store_is_tried_again(flaky, feed):
+    job = flaky(PySparkException("Task failed: AmazonS3Exception 503 Slow Down"))
+    report = job.run_batch(feed(energy()), "b0")
+    assert (report.inserted, report.retries) == (1, 1)
+
+
+@pytest.mark.parametrize(
+    "error",
+    [
+        PySparkException("[SPARK_JOB_CANCELLED] Job 7 cancelled because of stop"),
+        AnalysisException("no such column"),
+        ValueError("no"),
+    ],
+)
+def test_stopped_jobs_and_mistakes_end_the_query_and_set_nothing_aside(flaky, feed, error):
+    job = flaky(error)
+    with pytest.raises(type(error)):
+        job.run_batch(feed(energy()), "b0")
+    assert job.tables.dead_letters().count() == 0
+    assert job.run_batch(feed(energy()), "b0").inserted == 1
+
+
+def test_a_cancelled_job_is_recognised(spark):
+    import threading
+    import time
+
+    from pyspark import InheritableThread
+
+    caught = []
+
+    def work():
+        spark.sparkContext.setJobGroup("to-cancel", "a long job", True)
+        try:
+            spark.range(1 << 40).selectExpr("sum(hash(id))").collect()
+        except Exception as e:  # noqa: BLE001
+            caught.append(e)
+
+    thread = InheritableThread(target=work)
+    thread.start()
+    while thread.is_alive():
+        time.sleep(0.3)
+        spark.sparkContext.cancelJobGroup("to-cancel")
+    assert isinstance(thread, threading.Thread) and is_stopped(caught[0]) and not is_transient(caught[0])
+
+
+@pytest.mark.parametrize("size, blocks", [(499, 1), (500, 1), (501, 2), (1001, 3)])
+def test_five_hundred_positions_make_an_announcement(spark, feed, size, blocks):
+    near = size // 3
+    rows = feed(*["x"] * near, first_offset=70).unionByName(feed(*["x"] * (size - near), first_offset=3, partition=1))
+    tagged = announce.with_announcement(rows, number_spans(rows))
+    counts = {r["announcement"]: r["count"] for r in tagged.groupBy("announcement").count().collect()}
+    assert counts == {str(b): min(500, size - 500 * b) for b in range(blocks)}
+
+
+@pytest.mark.parametrize("n", [10_000, 10_001])
+def test_sensors_are_numbered_in_name_order_on_both_sides_of_a_group(spark, n):
+    unknown = spark.range(n).select(F.concat(F.lit("s"), F.col("id") * 7919 % n).alias("name"), F.lit("energy").alias("sensor_type"))
+    rows = catalogue.number_sensors(unknown, 7, n).orderBy("id").collect()
+    assert [r["id"] for r in rows] == list(range(8, n + 8))
+    assert [r["name"] for r in rows] == sorted(r["name"] for r in rows)
+
+
+def test_a_reader_of_a_missing_table_is_told(spark, folder):
+    with pytest.raises(AnalysisException):
+        Tables(spark, f"{folder}/mistyped").readings()
 
 
 def test_failing_to_announce_keeps_the_rows(job, feed):
@@ -371,7 +445,9 @@ def test_numbering_spreads_over_groups_and_stays_consecutive(spark, monkeypatch)
     monkeypatch.setattr(catalogue, "_GROUP", 10)
     unknown = spark.range(95).select(F.concat(F.lit("s"), "id").alias("name"), F.lit("energy").alias("sensor_type"))
     numbered = catalogue.number_sensors(unknown, 7, 95)
-    assert sorted(r["id"] for r in numbered.collect()) == list(range(8, 103))
+    rows = numbered.orderBy("id").collect()
+    assert [r["id"] for r in rows] == list(range(8, 103))
+    assert [r["name"] for r in rows] == sorted(r["name"] for r in rows)
 
 
 def test_ids_follow_arrival(spark, feed):

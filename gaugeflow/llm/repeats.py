@@ -240,20 +240,20 @@ def repeated(texts: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, block
     """
     ready(texts.sparkSession)
     every = written(occurrences(texts, length, anchor), "occurrences")
-    often = every.groupBy("anchor").count().filter("count > 1")
-    met = written(every.join(often, "anchor", "left_semi"), "candidates")
-    kinds = met.groupBy("anchor", "context").agg(
+    # Equal contexts are one row from here on, so copies of a text make no anchor large.
+    kinds = every.groupBy("anchor", "context").agg(
         F.count("*").alias("copies"),
-        F.min(F.struct("row", "first")).alias("at"),
-        F.first("n").alias("n"),
-        F.first("place").alias("place"),
+        F.min(F.struct("row", "first", "n", "place")).alias("at"),
     )
-    kinds = written(kinds, "contexts")
-    many = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"))
-    kinds = kinds.join(many, "anchor")
+    often = (
+        kinds.groupBy("anchor")
+        .agg(F.sum("copies").alias("starts"), F.count("*").alias("kinds"))
+        .filter("starts > 1")
+    )
+    kinds = written(kinds.join(often, "anchor"), "contexts")
     wanted = kinds.groupBy(F.col("at.row").alias("row")).agg(
         F.collect_list(
-            F.struct("anchor", "context", "copies", "at.first", "n", "place", "kinds")
+            F.struct("anchor", "context", "copies", "at.first", "at.n", "at.place", "kinds")
         ).alias("wanted")
     )
     half = (length - anchor) // 2
@@ -334,7 +334,7 @@ def repeated(texts: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, block
         .sortWithinPartitions("key")
         .mapInArrow(merged, "anchor long, context long, skip int, n_repeated int")
     )
-    spans = met.join(found, ["anchor", "context"]).select(
+    spans = every.join(found, ["anchor", "context"]).select(
         "row",
         F.struct(
             (F.col("first") + F.col("skip")).alias("low"),

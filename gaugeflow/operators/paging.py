@@ -44,7 +44,7 @@ def offset_page(
     size: int,
     direct_rows: int = DIRECT_ROWS,
     range_rows: int = RANGE_ROWS,
-    newest_day: date | None = None,
+    days: list[date] | None = None,
 ) -> DataFrame:
     """The rows of one numbered page.
 
@@ -55,16 +55,16 @@ def offset_page(
     on either side of it, wherever it lies and however many rows share an instant. The
     counts come back as a few thousand numbers per round; the page holds the same rows.
 
-    ``newest_day``, where known, saves looking for the first stored day to count.
+    ``days`` are the stored days that the rows may lie in, where the caller knows them.
     """
     skip = (page - 1) * size
     if "collected_date" in readings.columns or skip + size > direct_rows:
-        first = _locate(readings, skip, range_rows, newest_day)
+        first = _locate(readings, skip, range_rows, days)
         if first is None:
             return readings.limit(0)
         last = first
         if first.ahead + first.rows < skip + size:
-            last = _locate(readings, skip + size - 1, range_rows, newest_day)
+            last = _locate(readings, skip + size - 1, range_rows, days)
         readings = readings.filter(first.not_newer())
         if last is not None:
             readings = readings.filter(last.not_older())
@@ -125,15 +125,15 @@ def keyset_page(
     after: str | None = None,
     last: int | None = None,
     before: str | None = None,
-    edge_day: date | None = None,
+    days: list[date] | None = None,
 ) -> Connection:
     """One page by cursor, forward with first/after or backward with last/before.
 
     The bound is a predicate on the ordering key, so it reaches the scan, and a page takes
     one top-k pass of at most 101 rows per task; stored readings are first cut to the day
-    partitions nearest to the cursor that hold a page, or to ``edge_day`` - the first stored
-    day in paging direction, where known - without a cursor. Rows appended meanwhile never
-    shift a page.
+    partitions nearest to the cursor that hold a page, or to the first stored day without a
+    cursor; ``days`` are the stored days, where the caller knows them. Rows appended meanwhile
+    never shift a page.
     """
     if first is not None and last is not None:
         raise ValueError("first and last cannot be used together.")
@@ -155,8 +155,10 @@ def keyset_page(
 
     if "collected_date" in rows.columns:
         cursor = before if backward else after
-        nearest = edge_day if cursor is None else _day_of(read_cursor(cursor)[0])
-        rows = _nearest_days(rows, size + 1, not backward, nearest)
+        if days is not None and cursor is not None:
+            edge = _day_of(read_cursor(cursor)[0])
+            days = [d for d in days if (d >= edge if backward else d <= edge)]
+        rows = _nearest_days(rows, size + 1, not backward, days)
 
     key = [F.col("collected_at"), F.col("id")]
     towards = [k.asc() if backward else k.desc() for k in key]
@@ -211,11 +213,11 @@ def _day_of(micros: int) -> date:
 
 
 def _nearest_days(
-    rows: DataFrame, needed: int, newest: bool, first_day: date | None
+    rows: DataFrame, needed: int, newest: bool, days: list[date] | None
 ) -> DataFrame:
     """Stored readings: the days, from the newest or the oldest on, that hold enough rows."""
     found = 0
-    for day, count in _day_counts(rows, newest, first_day):
+    for day, count in _day_counts(rows, newest, days):
         found += count
         if found >= needed:
             edge = F.col("collected_date")
@@ -224,32 +226,26 @@ def _nearest_days(
 
 
 def _day_counts(
-    rows: DataFrame, newest: bool, first_day: date | None
+    rows: DataFrame, newest: bool, days: list[date] | None
 ) -> Iterator[tuple[date, int]]:
     """Rows per day partition in paging direction, counted as far as the caller asks.
 
-    Days are counted in growing stretches from the first one on, so a page near the front
-    of a long table leaves the rest of it alone.
+    Days that exist are counted in growing stretches from the first one on, so a page near
+    the front of a long table leaves the rest of it alone.
     """
     day = F.col("collected_date")
-    order = day.desc() if newest else day.asc()
-    if first_day is None:
-        first_day = rows.agg(F.max(day) if newest else F.min(day)).first()[0]
-    if first_day is None:
-        return
-    edges = [0, *_STRETCHES, None]
+    if days is None:
+        days = [r[0] for r in rows.select(day).distinct().collect()]
+    ordered = sorted(days, reverse=newest)
+    edges = [0, *_STRETCHES, len(ordered)]
     for begin, end in zip(edges, edges[1:]):
-        stretch = rows
-        for reach, inside in ((begin, True), (end, False)):
-            if reach == 0 or reach is None:
-                continue
-            sign = -1 if newest else 1
-            limit = instants.day(first_day, sign * reach)
-            # ``begin`` days away is still in, ``end`` days away is not.
-            near = day > limit if newest else day < limit
-            stretch = stretch.filter(~near if inside else near)
-        counted = stretch.groupBy(day).agg(F.count("*")).orderBy(order)
-        yield from (tuple(r) for r in counted.collect())
+        part = ordered[begin:end]
+        if part:
+            low, high = min(part), max(part)
+            stretch = rows.filter(day.between(instants.day(low), instants.day(high)))
+            order = day.desc() if newest else day.asc()
+            counted = stretch.groupBy(day).agg(F.count("*")).orderBy(order)
+            yield from (tuple(r) for r in counted.collect())
 
 
 @dataclass(frozen=True)
@@ -277,7 +273,7 @@ class _Span:
 
 
 def _locate(
-    readings: DataFrame, rank: int, range_rows: int, newest_day: date | None
+    readings: DataFrame, rank: int, range_rows: int, days: list[date] | None
 ) -> _Span | None:
     """The key range that holds the row at ``rank``; None if there are fewer rows.
 
@@ -286,7 +282,7 @@ def _locate(
     """
     ahead, within = 0, readings
     if "collected_date" in readings.columns:
-        for day, rows in _day_counts(readings, True, newest_day):
+        for day, rows in _day_counts(readings, True, days):
             if rank < ahead + rows:
                 break
             ahead += rows

@@ -60,19 +60,25 @@ def between(
     return _on_days(readings, start, end) if "collected_date" in readings.columns else readings
 
 
-def edge_day(
-    readings: DataFrame, where: ReadingFilter, newest: bool = True
-) -> date | None:
-    """Newest or oldest stored day that the range of a filter touches.
+def stored_days(readings: DataFrame, where: ReadingFilter | None = None) -> list[date] | None:
+    """The stored days that the range of a filter touches, oldest first.
 
-    Looks at partition values alone, whatever else the filter asks for. None if there is no
-    such day, or the readings are not partitioned by day.
+    Taken from the names of the day folders: no file is opened, whatever else the filter asks
+    for. None if the readings are not partitioned by day.
     """
     if "collected_date" not in readings.columns:
         return None
-    days = _on_days(readings.select("collected_date"), where.start, where.end)
-    edge = F.max("collected_date") if newest else F.min("collected_date")
-    return days.agg(edge).first()[0]
+    days = readings.select("collected_date")
+    if where is not None:
+        days = _on_days(days, where.start, where.end)
+    conf, name = readings.sparkSession.conf, "spark.sql.optimizer.metadataOnly"
+    before = conf.get(name, "false")
+    conf.set(name, "true")
+    try:
+        # One row per day.
+        return sorted(r[0] for r in days.distinct().collect() if r[0] is not None)
+    finally:
+        conf.set(name, before)
 
 
 def _on_days(readings: DataFrame, start: datetime | None, end: datetime | None) -> DataFrame:
@@ -145,19 +151,20 @@ def latest_per_sensor(
     Location and type choose sensors, the range chooses readings before the newest is taken,
     so a sensor whose newest reading lies outside the range answers with an older one.
 
-    In a stored table most sensors are settled by the newest days. Those are read for all
-    sensors, and older days only for the sensors that did not report since - or not at all,
-    if there are none. A sensor's newest reading is in the newest days it has readings in,
+    In a stored table most sensors are settled by the newest days there are. Those are read
+    for all sensors, and older days only for the sensors that did not report since - or not
+    at all, if there are none. Days are counted as they exist, so one reading of a clock far
+    ahead costs one day. A sensor's newest reading is in the newest days it has readings in,
     so the answer is the same as over the whole table.
     """
     where = where or ReadingFilter()
     kept = filter_readings(readings, sensors, where)
-    newest = edge_day(readings, where) if where.location is None else None
-    if newest is None:
+    days = stored_days(readings, where) if where.location is None else None
+    if not days:
         return newest_rows(kept)
 
-    def since(days: int) -> DataFrame:
-        return kept.filter(F.col("collected_date") > instants.day(newest, -days))
+    def since(n: int) -> DataFrame:
+        return kept.filter(F.col("collected_date") >= instants.day(days[-min(n, len(days))]))
 
     known = admitted_sensors(sensors, where).select(F.col("id").alias("sensor_id"))
 
@@ -172,11 +179,13 @@ def latest_per_sensor(
     if count == 0:
         return found
     older = kept
-    for days in wider:
-        if silent(days)[1] == 0:
-            older = since(days)
+    for reach in wider:
+        if silent(reach)[1] == 0:
+            older = since(reach)
             break
-    older = older.filter(F.col("collected_date") <= instants.day(newest, -recent))
+    if len(days) <= recent:
+        return found
+    older = older.filter(F.col("collected_date") < instants.day(days[-recent]))
     if count <= _BROADCAST_SENSORS:
         missing = F.broadcast(missing)
     return found.unionByName(newest_rows(older.join(missing, "sensor_id", "left_semi")))

@@ -47,9 +47,9 @@ class ReadingStore:
         where = ReadingFilter.of(location, sensor_type, start, end)
         paging.check_page(page, size, where.start, where.end)
         kept = ops.filter_readings(self.readings, self.sensors, where)
-        first_day = ops.edge_day(self.readings, where)
+        days = ops.stored_days(self.readings, where)
         # The page is cut before the catalogue is joined: at most 500 rows meet it.
-        cut = paging.offset_page(kept, page, size, newest_day=first_day)
+        cut = paging.offset_page(kept, page, size, days=days)
         rows = ops.with_sensor(cut, self.sensors)
         return Page(paging.newest_first(rows), paging.page_summary(kept, page, size))
 
@@ -67,10 +67,8 @@ class ReadingStore:
         """A cursor page of readings, newest first, each with its sensor as a struct."""
         where = ReadingFilter.of(location, sensor_type, start, end)
         kept = ops.filter_readings(self.readings, self.sensors, where)
-        first_day = None
-        if (before if last is not None else after) is None:
-            first_day = ops.edge_day(self.readings, where, newest=last is None)
-        page = paging.keyset_page(kept, first, after, last, before, first_day)
+        days = ops.stored_days(self.readings, where)
+        page = paging.keyset_page(kept, first, after, last, before, days)
         nested = ops.with_nested_sensor(page.edges, self.sensors)
         cursor = paging.cursor_of(F.col("collected_at"), F.col("id")).alias("cursor")
         edges = paging.newest_first(nested.select("*", cursor))

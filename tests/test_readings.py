@@ -1,10 +1,11 @@
 import random
-from datetime import timedelta
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
 
 from gaugeflow.operators import paging
+from gaugeflow.operators import readings as ops
 from gaugeflow.operators.catalogue import find_sensor_id
 from gaugeflow.operators.readings import (
     ReadingFilter,
@@ -308,7 +309,7 @@ def test_latest_reads_only_recent_days_when_all_report(spark, readings, sensors,
     latest = latest_per_sensor(spark.read.parquet(f"{folder}/t"), known)
     assert sorted(ids(latest)) == [100, 101, 102]
     plan = latest._jdf.queryExecution().toString()
-    assert "Union" not in plan and "(collected_date" in plan and "> 2026-05-02" in plan
+    assert "Union" not in plan and "(collected_date" in plan and ">= 2026-05-03" in plan
 
 
 def test_latest_is_cut_before_the_shuffle(two_rooms):
@@ -347,3 +348,29 @@ def test_stored_readings_prune_days(spark, two_rooms, folder):
 def test_filter_of_rejects_unknown_types():
     with pytest.raises(ValueError):
         ReadingFilter.of(sensor_type="Motion")
+
+
+def test_days_come_from_folder_names_and_odd_clocks_cost_one_day(spark, readings, sensors, folder):
+    days = [datetime(2026, 5, d, 10, tzinfo=timezone.utc) for d in range(1, 21)]
+    odd = [datetime(2124, 1, 1, tzinfo=timezone.utc), datetime(1900, 1, 1, tzinfo=timezone.utc)]
+    rows = [energy(n, 1 + n % 2, when, 1.0) for n, when in enumerate([*days, *odd])]
+    stored = readings(*rows).withColumn("collected_date", F.to_date("collected_at"))
+    stored.write.partitionBy("collected_date").parquet(f"{folder}/t")
+    table = spark.read.parquet(f"{folder}/t")
+
+    days_there = ops.stored_days(table)
+    assert days_there == sorted({r["collected_at"].date() for r in rows})
+    within = ReadingFilter(start=days[3], end=days[5])
+    assert ops.stored_days(table, within) == [d.date() for d in days[3:6]]
+
+    known = sensors((1, "A", "energy"), (2, "B", "energy"))
+    found = latest_per_sensor(table, known)
+    assert sorted(r["id"] for r in found.collect()) == [19, 20]
+    # The newest two days that exist: the odd one and the newest real one.
+    assert ">= 2026-05-20" in found._jdf.queryExecution().toString()
+
+    newest = [r["id"] for r in paging.offset_page(table, 1, 3, days=days_there).collect()]
+    assert newest == [20, 19, 18] == [r["id"] for r in paging.keyset_page(table, first=3, days=days_there).edges.collect()]
+    oldest = paging.keyset_page(table, last=2, days=days_there).edges
+    assert [r["id"] for r in oldest.collect()] == [0, 21]
+    assert oldest.inputFiles() and len(table.inputFiles()) == 22

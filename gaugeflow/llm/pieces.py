@@ -265,6 +265,9 @@ class Words:
 
 
 class PieceEncoder(WordIds):
+    # Finding pieces is cheap, so less is kept.
+    slot_bits, most_kept = 20, 1 << 22
+
     def __init__(self, model: Pieces) -> None:
         self.model, self.vocabulary = model, len(model.scores)
         super().__init__()

@@ -102,6 +102,7 @@ class WordIds:
     """Ids of words, found once and kept by hash while memory allows."""
 
     vocabulary: int
+    slot_bits, most_kept = SLOT_BITS, POOL
 
     def __init__(self) -> None:
         self.clear()
@@ -111,7 +112,7 @@ class WordIds:
         raise NotImplementedError
 
     def clear(self) -> None:
-        size = 1 << SLOT_BITS
+        size = 1 << self.slot_bits
         self.keys = np.zeros(size, np.uint64)
         self.checks = np.zeros(size, np.uint32)
         self.first = np.zeros(size, np.int32)
@@ -129,7 +130,7 @@ class WordIds:
 
     def spans(self, cut) -> tuple[np.ndarray, np.ndarray]:
         """Place in the pool and number of the ids of every word of a cut block."""
-        if self.used > POOL:
+        if self.used > self.most_kept:
             self.clear()
         starts, ends = cut.starts[:-1], cut.starts[1:]
         if not len(starts):
@@ -140,7 +141,7 @@ class WordIds:
             + cut.points[ends - 1] * np.uint32(0xC2B2AE35)
             + (ends - starts).astype(np.uint32)
         )
-        slot = h >> np.uint64(64 - SLOT_BITS)
+        slot = h >> np.uint64(64 - self.slot_bits)
         first, length = self.first[slot].astype(np.int64), self.length[slot].astype(np.int64)
         missing = np.flatnonzero((self.keys[slot] != h) | (self.checks[slot] != check))
         if len(missing):

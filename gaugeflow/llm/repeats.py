@@ -18,8 +18,9 @@ longest common prefixes; suffixes that no pass of the first ``length`` bytes has
 an interval of equal strings. An interval that stands for two starts or more is repeated.
 Suffixes are never sorted across shards.
 
-Of an anchor with more than ``MANY`` contexts, the stretches are divided by the bytes before
-the anchor or behind it, whichever side its strings must share, into groups of their own.
+No task holds more than ``MANY`` contexts of one anchor. The strings of more crowded anchors, as
+a line that a large part of all texts have, are told apart by two hashes, of their bytes and of
+their blocks, and counted; counts are summed before they move.
 
 Blocks and contexts are told apart by 64-bit hashes, contexts within their anchor. Null and
 short texts have no strings. Rows are told apart by place, so null and repeated doc_ids and
@@ -40,9 +41,9 @@ from .arrowtext import binary, flat, mixed, prefix_sums, ragged, range_hashes
 from .tables import keyed, ready, written
 
 LENGTH, ANCHOR, BLOCK = 400, 100, 100
-BLOCK_BYTES = 2 << 20
-# Contexts that a task merges at a time, and of one anchor before they are divided.
-AT_ONCE, MANY = 4000, 2000
+BLOCK_BYTES = 1 << 20
+# Contexts that a task merges at a time, and that one anchor may have to be merged.
+AT_ONCE, MANY = 2000, 2000
 
 
 def sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
@@ -233,6 +234,38 @@ def repeated_starts(
     return shard[low], merge.place[own[low]], high - low
 
 
+_SLICES = pa.schema(
+    [("anchor", pa.int64()), ("context", pa.int64()), ("copies", pa.int64()), ("n", pa.int32()), ("bytes", pa.binary())]
+)
+
+
+def _with_text(texts: DataFrame, kinds: DataFrame) -> DataFrame:
+    """The texts that contexts were first met in, each with the list of its contexts."""
+    wanted = kinds.groupBy(F.col("at.row").alias("row")).agg(
+        F.collect_list(
+            F.struct("anchor", "context", "copies", "at.first", "at.n", "at.place")
+        ).alias("wanted")
+    )
+    return texts.join(wanted, "row").select("text", "wanted")
+
+
+def _wishes(batch: pa.RecordBatch, length: int) -> Iterator[tuple[list[dict], list[bytes]]]:
+    """The contexts asked for and their bytes, some hundred at a time."""
+    data, offsets = flat(batch.column("text"))
+    one: list[dict] = []
+    raw: list[bytes] = []
+    for i, wishes in enumerate(batch.column("wanted").to_pylist()):
+        for w in wishes:
+            low = offsets[i] + w["first"]
+            one.append(w)
+            raw.append(data[low : low + w["n"] + length - 1].tobytes())
+            if len(one) >= 512:
+                yield one, raw
+                one, raw = [], []
+    if one:
+        yield one, raw
+
+
 def repeated(texts: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, block: int = BLOCK) -> DataFrame:
     """row and spans (first byte, end) that repeated strings cover; rows without any are left out.
 
@@ -251,47 +284,35 @@ def repeated(texts: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, block
         .filter("starts > 1")
     )
     kinds = written(kinds.join(often, "anchor"), "contexts")
-    wanted = kinds.groupBy(F.col("at.row").alias("row")).agg(
-        F.collect_list(
-            F.struct("anchor", "context", "copies", "at.first", "at.n", "at.place", "kinds")
-        ).alias("wanted")
-    )
-    half = (length - anchor) // 2
 
     def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = flat(batch.column("text"))
-            out = {k: [] for k in ("key", "anchor", "context", "copies", "skip", "n", "bytes")}
-
-            def add(raw, w, key, skip, n):
-                out["key"].append(key)
-                for name in ("anchor", "context", "copies"):
-                    out[name].append(w[name])
-                out["skip"].append(skip)
-                out["n"].append(n)
-                out["bytes"].append(raw[w["first"] + skip : w["first"] + skip + n + length - 1])
-
-            for i, wishes in enumerate(batch.column("wanted").to_pylist()):
-                raw = data[offsets[i] : offsets[i + 1]].tobytes()
-                for w in wishes:
-                    if w["kinds"] <= MANY:
-                        add(raw, w, w["anchor"], 0, w["n"])
-                        continue
-                    # Strings that begin early enough hold half the rest before the anchor,
-                    # the others as much behind it.
-                    early = min(max(w["place"] - half + 1, 0), w["n"])
-                    p = w["first"] + w["place"]
-                    for tag, skip, n, side in (
-                        (b"early", 0, early, raw[max(p - half, 0) : p]),
-                        (b"late", early, w["n"] - early, raw[p + anchor : p + anchor + half]),
-                    ):
-                        if n:
-                            key = hashlib.blake2b(side, digest_size=8, key=tag)
-                            add(raw, w, int.from_bytes(key.digest(), "little", signed=True) ^ w["anchor"], skip, n)
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x, kind) for x, kind in zip(out.values(), types)], list(out)
-            )
+            for one, raw in _wishes(batch, length):
+                yield pa.RecordBatch.from_pylist(
+                    [
+                        {"anchor": w["anchor"], "context": w["context"], "copies": w["copies"], "n": w["n"], "bytes": r}
+                        for w, r in zip(one, raw)
+                    ],
+                    _SLICES,
+                )
+
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for one, raw in _wishes(batch, length):
+                n = np.array([w["n"] for w in one], np.int64)
+                sizes = n + length - 1
+                sums = prefix_sums(np.frombuffer(b"".join(raw), np.uint8))
+                at = ragged(np.cumsum(sizes) - sizes, n)
+                by_blocks = np.zeros(len(at), np.uint64)
+                for low in range(0, length, block):
+                    by_blocks = mixed(by_blocks) + range_hashes(sums, at + low, at + low + block)
+                names = [np.repeat(np.array([w[k] for w in one], np.int64), n) for k in ("anchor", "context", "copies")]
+                skip = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+                hashes = range_hashes(sums, at, at + length), mixed(by_blocks)
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array(h.view(np.int64)) for h in hashes), *map(pa.array, names), pa.array(skip.astype(np.int32))],
+                    ["bytes", "blocks", "anchor", "context", "copies", "skip"],
+                )
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def result(table: pa.Table) -> pa.RecordBatch:
@@ -299,12 +320,11 @@ def repeated(texts: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, block
             starts, copies = (table.column(c).to_numpy().astype(np.int64) for c in ("n", "copies"))
             context, first, n = repeated_starts(data, starts, copies, length, block)
             at = pa.array(context)
-            skip = table.column("skip").to_numpy()[context] + first
             return pa.RecordBatch.from_arrays(
                 [
                     table.column("anchor").take(at).combine_chunks(),
                     table.column("context").take(at).combine_chunks(),
-                    pa.array(skip.astype(np.int32)), pa.array(n.astype(np.int32)),
+                    pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32)),
                 ],
                 ["anchor", "context", "skip", "n_repeated"],
             )
@@ -315,7 +335,7 @@ def repeated(texts: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, block
             held = new if held is None else pa.concat_tables([held, new])
             while held.num_rows >= AT_ONCE:
                 # Whole groups only.
-                key = held.column("key").to_numpy()
+                key = held.column("anchor").to_numpy()
                 cut = int(np.searchsorted(key, key[min(AT_ONCE, len(key) - 1)]))
                 cut = cut or int(np.searchsorted(key, key[0], "right"))
                 if cut == len(key):
@@ -325,15 +345,21 @@ def repeated(texts: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, block
         if held is not None and held.num_rows:
             yield result(held)
 
-    slices = texts.join(wanted, "row").select("text", "wanted").mapInArrow(
-        sliced,
-        "key long, anchor long, context long, copies long, skip int, n int, bytes binary",
-    )
-    found = (
-        slices.repartition("key")
-        .sortWithinPartitions("key")
+    calm = (
+        _with_text(texts, kinds.filter(F.col("kinds") <= MANY))
+        .mapInArrow(sliced, "anchor long, context long, copies long, n int, bytes binary")
+        .repartition("anchor")
+        .sortWithinPartitions("anchor")
         .mapInArrow(merged, "anchor long, context long, skip int, n_repeated int")
     )
+    starts = _with_text(texts, kinds.filter(F.col("kinds") > MANY)).mapInArrow(
+        strings, "bytes long, blocks long, anchor long, context long, copies long, skip int"
+    )
+    again = starts.groupBy("bytes", "blocks").agg(F.sum("copies").alias("times")).filter("times > 1")
+    crowded = starts.join(again, ["bytes", "blocks"], "left_semi").select(
+        "anchor", "context", "skip", F.lit(1).alias("n_repeated")
+    )
+    found = calm.unionByName(crowded)
     spans = every.join(found, ["anchor", "context"]).select(
         "row",
         F.struct(

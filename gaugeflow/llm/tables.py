@@ -13,7 +13,7 @@ from gaugeflow.session import scratch_dir
 
 # Rows and bytes that one Arrow batch may hold, so that a worker's memory does not follow
 # the length of the documents.
-BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -266,10 +266,16 @@ def _wishes(batch: pa.RecordBatch, length: int) -> Iterator[tuple[list[dict], li
         yield one, raw
 
 
-def repeated(texts: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, block: int = BLOCK) -> DataFrame:
+def repeated(
+    texts: DataFrame,
+    dealt: DataFrame,
+    length: int = LENGTH,
+    anchor: int = ANCHOR,
+    block: int = BLOCK,
+) -> DataFrame:
     """row and spans (first byte, end) that repeated strings cover; rows without any are left out.
 
-    ``texts`` has row and text, dealt out by row if more is done with it.
+    ``texts`` has row and text; ``dealt`` is the same, dealt out by row as joins need it.
     """
     ready(texts.sparkSession)
     every = written(occurrences(texts, length, anchor), "occurrences")
@@ -346,13 +352,13 @@ def repeated(texts: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, block
             yield result(held)
 
     calm = (
-        _with_text(texts, kinds.filter(F.col("kinds") <= MANY))
+        _with_text(dealt, kinds.filter(F.col("kinds") <= MANY))
         .mapInArrow(sliced, "anchor long, context long, copies long, n int, bytes binary")
         .repartition("anchor")
         .sortWithinPartitions("anchor")
         .mapInArrow(merged, "anchor long, context long, skip int, n_repeated int")
     )
-    starts = _with_text(texts, kinds.filter(F.col("kinds") > MANY)).mapInArrow(
+    starts = _with_text(dealt, kinds.filter(F.col("kinds") > MANY)).mapInArrow(
         strings, "bytes long, blocks long, anchor long, context long, copies long, skip int"
     )
     again = starts.groupBy("bytes", "blocks").agg(F.sum("copies").alias("times")).filter("times > 1")
@@ -383,8 +389,9 @@ def runs(spans: list[dict]) -> list[list[int]]:
 
 def _with_spans(docs: DataFrame, columns: list[str], length: int, anchor: int, block: int) -> DataFrame:
     """Rows with their spans; the texts are dealt out once for all that follows."""
-    texts = keyed(docs, *columns).repartition("row")
-    return texts.join(repeated(texts, length, anchor, block), "row", "left")
+    texts = keyed(docs, *columns)
+    dealt = texts.repartition("row")
+    return dealt.join(repeated(texts, dealt, length, anchor, block), "row", "left")
 
 
 def digest(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, block: int = BLOCK) -> DataFrame:

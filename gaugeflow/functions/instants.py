@@ -16,6 +16,9 @@ from gaugeflow import vocab
 _EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 _HOUR_US = 3_600_000_000
 _DAY_US = 24 * _HOUR_US
+# Periods of equal length: how long, and how long before the epoch one began. Weeks start on
+# Monday, and the epoch is a Thursday. Months are the other periods there are.
+_PERIODS = {"hour": (_HOUR_US, 0), "day": (_DAY_US, 0), "week": (7 * _DAY_US, 3 * _DAY_US)}
 
 # The wire profile of ISO 8601: a date, optionally a time with up to 16 fraction digits,
 # optionally an offset of up to 14 hours.
@@ -49,22 +52,23 @@ def micros_of(value: datetime) -> int:
 
 
 def floor_to_period(value: datetime, interval: str) -> datetime:
-    """Start of the period that contains the instant; weeks start on Monday."""
-    midnight = normalize(value).replace(hour=0, minute=0, second=0, microsecond=0)
-    if interval == "day":
-        return midnight
-    if interval == "week":
-        return midnight - timedelta(days=midnight.weekday())
-    if interval == "month":
-        return midnight.replace(day=1)
-    return midnight.replace(hour=normalize(value).hour)
+    """Start of the period that contains the instant, as ``period_start`` has it."""
+    micros = micros_of(value)
+    if interval in _PERIODS:
+        width, lead = _PERIODS[interval]
+        return _EPOCH + timedelta(microseconds=micros - (micros + lead) % width)
+    day_of_month = timedelta(microseconds=micros % _DAY_US) + timedelta(days=normalize(value).day - 1)
+    return normalize(value) - day_of_month
 
 
-def following_period(start: datetime, interval: str) -> datetime:
-    """Start of the period after the one that starts here."""
-    if interval == "month":
-        return (start.replace(day=1) + timedelta(days=32)).replace(day=1)
-    return start + timedelta(hours=vocab.INTERVAL_HOURS.get(interval, 1))
+def ceil_to_period(value: datetime, interval: str) -> datetime:
+    """The instant itself if a period starts there, else the start of the next period."""
+    start = floor_to_period(value, interval)
+    if start == normalize(value):
+        return start
+    # A month and a day from its start lie in the next one.
+    width = _PERIODS[interval][0] if interval in _PERIODS else 32 * _DAY_US
+    return floor_to_period(start + timedelta(microseconds=width), interval)
 
 
 # --- columns ----------------------------------------------------------------------------
@@ -92,15 +96,11 @@ def utc_wall(at: Column) -> Column:
 
 def period_start(at: Column, interval: str) -> Column:
     """Calendar bucket of an instant: hour, day, ISO week or month, always in UTC."""
-    micros = F.unix_micros(at)
-    if interval == "month":
+    if interval not in _PERIODS:
         return _day_start(F.trunc(utc_day(at), "MM"))
-    if interval == "week":
-        # The epoch is a Thursday: its week began three days earlier.
-        past = F.pmod(micros + F.lit(3 * _DAY_US), F.lit(7 * _DAY_US))
-    else:
-        past = F.pmod(micros, F.lit(_DAY_US if interval == "day" else _HOUR_US))
-    return F.timestamp_micros(micros - past)
+    width, lead = _PERIODS[interval]
+    micros = F.unix_micros(at)
+    return F.timestamp_micros(micros - F.pmod(micros + F.lit(lead), F.lit(width)))
 
 
 def age_ms(at: Column, now: datetime) -> Column:

@@ -43,7 +43,4 @@ def aggregation_range(
 
 def whole_periods(interval: str, start: datetime, end: datetime) -> tuple[datetime, datetime]:
     """Widen a range to period boundaries, so that its first and last periods are whole."""
-    floor = instants.floor_to_period(end, interval)
-    if floor != instants.normalize(end):
-        floor = instants.following_period(floor, interval)
-    return instants.floor_to_period(start, interval), floor
+    return instants.floor_to_period(start, interval), instants.ceil_to_period(end, interval)

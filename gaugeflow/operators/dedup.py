@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+from datetime import date
 
-from gaugeflow.functions import instants
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 READING_KEY = ["sensor_id", "collected_at"]
 ARRIVAL = ["topic", "partition", "offset"]
 
 # A batch up to this many distinct keys is sent to every task that scans stored keys.
 BROADCAST_KEYS = 200_000
-_LISTED_DAYS = 366
 
 
 def first_arrivals(rows: DataFrame, key: list[str], order: list[str] | None = None) -> DataFrame:
@@ -45,10 +44,6 @@ def without_stored(
     return rows.join(held, READING_KEY, "left_anti")
 
 
-def touched_days(days: DataFrame) -> Column:
-    """Predicate on ``collected_date`` for the day partitions that the rows touch."""
-    distinct = [d[0] for d in days.distinct().limit(_LISTED_DAYS + 1).collect()]
-    if len(distinct) <= _LISTED_DAYS:
-        return F.col("collected_date").isin([instants.day(d) for d in distinct])
-    low, high = days.agg(F.min("collected_date"), F.max("collected_date")).first()
-    return F.col("collected_date").between(instants.day(low), instants.day(high))
+def touched_days(days: DataFrame) -> list[date]:
+    """The distinct days that rows touch, oldest first: one value per day."""
+    return sorted(d[0] for d in days.distinct().collect())

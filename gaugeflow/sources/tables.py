@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import date
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,6 +56,19 @@ class Tables:
     def readings(self) -> DataFrame:
         return self._read("meter_readings", STORED_READINGS)
 
+    def readings_of(self, days: list[date]) -> DataFrame:
+        """The readings of some days. Only their folders are listed, however long the table."""
+        names = ",".join(day.isoformat() for day in days)
+        folder = self.path("meter_readings")
+        reader = self.spark.read.schema(STORED_READINGS).option("basePath", folder)
+        try:
+            return reader.parquet(f"{folder}/collected_date={{{names}}}")
+        except AnalysisException as e:
+            # None of the days is stored yet.
+            if not self.may_be_new or e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], STORED_READINGS)
+
     def dead_letters(self) -> DataFrame:
         return self._read("dead_letters", DEAD_LETTERS)
 

@@ -16,7 +16,7 @@ import socket
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from datetime import datetime
+from datetime import date, datetime
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import (
@@ -25,7 +25,7 @@ from pyspark.errors import (
     PySparkException,
     PythonException,
 )
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -216,7 +216,7 @@ class Ingest:
         tables: Tables,
         good: DataFrame,
         spans: DataFrame,
-        days: Column,
+        days: list[date],
         batch: str,
         report: BatchReport,
     ) -> str | None:
@@ -246,7 +246,7 @@ class Ingest:
         tables: Tables,
         good: DataFrame,
         spans: DataFrame,
-        days: Column,
+        days: list[date],
         batch: str,
         rows: int,
     ) -> None:
@@ -262,7 +262,7 @@ class Ingest:
             "collected_date", day_column(F.col("collected_at"))
         )
         distinct = dedup.first_arrivals(keyed, dedup.READING_KEY)
-        fresh = dedup.without_stored(distinct, tables.readings().filter(days), keys=rows)
+        fresh = dedup.without_stored(distinct, tables.readings_of(days), keys=rows)
         first = self._reserve(tables, spans, batch)
         numbered = (
             fresh.join(spans, ["topic", "partition"])
@@ -282,11 +282,10 @@ class Ingest:
         row.write.mode("append").parquet(f"{tables.path('id_ranges')}/batch={batch}")
         return first
 
-    def _stored_counts(self, tables: Tables, days: Column, batch: str) -> DataFrame:
+    def _stored_counts(self, tables: Tables, days: list[date], batch: str) -> DataFrame:
         """Readings this batch stored, per announcement, read back from the table."""
         return (
-            tables.readings()
-            .filter(days)
+            tables.readings_of(days)
             .filter(F.col("ingest_batch").startswith(f"{batch}/"))
             .groupBy(F.substring("ingest_batch", len(batch) + 2, 1 << 20).alias("announcement"))
             .agg(F.count("*").alias("reading_count"))

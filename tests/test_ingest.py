@@ -514,3 +514,15 @@ def test_a_hot_key_among_many_messages(job, spark):
     events = decode_changes(job.tables.changes())
     assert events.agg(F.sum("reading_count"), F.max(F.size("sensors"))).first()[0] == 6001
     assert events.agg(F.max(F.size("sensors"))).first()[0] <= 500
+
+
+def test_a_batch_lists_the_days_it_touches_only(spark, job, feed):
+    for n, day in enumerate(("2026-05-04", "2026-05-05", "2026-05-06")):
+        job.run_batch(feed(wire("energy", "A", '{"energy":1}', f"{day}T10:00:00Z"), first_offset=n), f"b{n}")
+    from datetime import date
+
+    files = job.tables.readings_of([date(2026, 5, 5), date(1999, 1, 1)]).inputFiles()
+    assert len(files) == 1 and "collected_date=2026-05-05" in files[0]
+    assert job.tables.readings_of([date(1999, 1, 1)]).count() == 0
+    again = job.run_batch(feed(wire("energy", "A", '{"energy":2}', "2026-05-05T10:00:00Z"), first_offset=9), "b9")
+    assert (again.inserted, again.duplicates_skipped) == (0, 1)

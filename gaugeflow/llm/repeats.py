@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtext import binary, flat, mixed, prefix_sums, ragged, range_hashes
+from .arrowtext import flat, mixed, prefix_sums, ragged, range_hashes
 from .tables import keyed, ready, written
 
 LENGTH, ANCHOR, BLOCK = 400, 100, 100

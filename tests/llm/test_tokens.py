@@ -15,7 +15,6 @@ from gaugeflow.llm import pieces, recount, tokenfile
 from gaugeflow.llm.arrowtext import blocks
 from gaugeflow.llm.pretokens import Encoder
 from gaugeflow.llm.registry import BYTE_BPE, PIECES, vocabulary
-from pyspark.sql import functions as F
 
 BPE = vocabulary(BYTE_BPE)
 LIBRARY = Tokenizer.from_file(BPE)

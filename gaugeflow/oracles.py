@@ -385,7 +385,8 @@ ORACLES: dict[str, str] = {
         READINGS,
         """SELECT id, 'id,sensor_name,sensor_type,' || CASE sensor_type
           WHEN 'air_quality' THEN 'co2,pm25,humidity' WHEN 'motion' THEN 'motion_detected'
-          ELSE 'energy_kwh' END AS members, co2 FROM r""",
+          ELSE 'energy_kwh' END AS members, co2, pm25, humidity, energy_kwh, motion_detected
+        FROM r""",
     ),
     "location_search": _with(
         READINGS, "SELECT DISTINCT name AS location FROM s WHERE name LIKE '%loc-1%'"
@@ -541,7 +542,9 @@ ORACLES: dict[str, str] = {
     "running_view": _with(
         CHANGES,
         """SELECT count(*) AS events_seen, max(published_at) AS published_at,
-        arg_max(reading_count, published_at) AS reading_count FROM c""",
+        arg_max(reading_count, published_at) AS reading_count,
+        arg_max(CASE WHEN sensor_count = 0 THEN '' ELSE name || ' ' || sensor_type END,
+          published_at) AS sensors FROM c""",
     ),
     "arrivals": _with(
         CHANGES,

@@ -333,7 +333,10 @@ def reading_json(spark, folder):
     return flat.select(
         "id",
         F.array_join(F.json_object_keys(text), ",").alias("members"),
-        F.get_json_object(text, "$.co2").cast("int").alias("co2"),
+        *[
+            F.get_json_object(text, f"$.{c}").cast(flat.schema[c].dataType).alias(c)
+            for c in VALUE_COLUMNS
+        ],
     )
 
 
@@ -663,8 +666,14 @@ def refresh_stream(spark, folder):
 @query
 def running_view(spark, folder):
     view = changes.running_view(_changes(spark, folder))
+    named = F.transform(
+        "last_event.sensors", lambda s: F.concat_ws(" ", s["location"], s["sensorType"])
+    )
     return view.select(
-        "events_seen", "last_event.published_at", "last_event.reading_count"
+        "events_seen",
+        "last_event.published_at",
+        "last_event.reading_count",
+        F.array_join(named, ",").alias("sensors"),
     )
 
 

@@ -151,6 +151,68 @@ def test_one_of_awkward_rows(awkward):
     assert dict((t, i) for i, t in rows)[texts[0]] is not None
 
 
+def shingle_set(text):
+    lowered = re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode())
+    ws = [w for w in re.split(rb"[\x20\x09-\x0D]+", lowered) if w]
+    return frozenset(b" ".join(ws[i : i + 5]) for i in range(max(len(ws) - 4, 1))) if ws else frozenset()
+
+
+def plain_kept(rows, similarity=0.8):
+    """Ids that stay of (id, text) rows: sets compared whenever they share a shingle."""
+    sets, root = {}, {}
+    for i, text in rows:
+        sets.setdefault(shingle_set(text), []).append(i)
+    kinds = list(sets)
+    root = list(range(len(kinds)))
+    holders = {}
+    for k, kind in enumerate(kinds):
+        for s in kind:
+            holders.setdefault(s, []).append(k)
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for k, kind in enumerate(kinds):
+        common = Counter(j for s in kind for j in holders[s] if j < k)
+        for j, n in common.items():
+            if n >= similarity * (len(kind) + len(kinds[j]) - n) - 1e-9:
+                x, y = sorted((find(j), find(k)))
+                root[y] = x
+    low = {}
+    for k, kind in enumerate(kinds):
+        low[find(k)] = min(low.get(find(k), sets[kind][0]), *sets[kind])
+    return sorted(low.values())
+
+
+def graded_copies():
+    """Texts with one copy each at about 0.8, above or below it; some short, some that repeat a line."""
+    rng = random.Random(16)
+    words = ["".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(2, 8))) for _ in range(3000)]
+    rows = []
+    for pair in range(500):
+        base = [rng.choice(words) for _ in range(rng.choice([9, 14, 40, 200, 400]))]
+        if pair % 10 == 9:
+            base += base[:7] * 30
+        text = list(base)
+        # A cut changes about as many shingles as words; a changed word five.
+        if pair % 2:
+            text = text[: max(int(len(text) * rng.uniform(0.75, 0.9)), 6)]
+        else:
+            for _ in range(round(len(text) * rng.uniform(0.01, 0.04))):
+                text[rng.randrange(len(text))] = rng.choice(words)
+        rows += [(2 * pair, " ".join(base)), (2 * pair + 1, " ".join(text))]
+    return rows
+
+
+def test_near_copies_are_those_of_exact_similarity(spark, stored):
+    rows = graded_copies()
+    folder = stored("documents", rows, "doc_id long, text string")
+    kept = simhash.one_of_each(spark.read.parquet(f"{folder}/documents.parquet")).collect()
+    assert sorted(r.doc_id for r in kept) == plain_kept(rows)
+
+
 def plain_repeats(texts, length):
     seen = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
     out = []

@@ -1,6 +1,7 @@
 """Benchmark passages in documents, found by spaced seeds and verified along the alignment.
 
-Tokens are runs of letters and digits, lower-cased. A seed is a mask over consecutive tokens:
+Tokens are runs of letters, marks and digits by Unicode class, with their case folded; of scripts
+without spaces each character is one. A seed is a mask over consecutive tokens:
 the hash of those it selects, the others ignored. Seeds of the benchmark and of the documents
 are joined; around each hit the benchmark text is laid beside the document as the hit says
 (substitutions, no gaps) and token pairs are compared. Every window of ``WINDOW`` pairs (the
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .arrowtext import BASE, binary, mixed, powers, ragged
 from .tables import keyed, ready
-from .tokens import alphabet, batches_of_hashes
+from .tokens import alphabet, batches_of_hashes, folded
 
 WINDOW, SHARE, BLOCK_TOKENS = 13, 0.8, 400_000
 MASKS = ("1101111", "111100001001")
@@ -137,7 +138,7 @@ def item_blocks(benchmark: DataFrame, limit: int = BLOCK_TOKENS) -> Iterator[Ite
             )
 
     kind = benchmark.schema["item_id"].dataType.simpleString()
-    rows = benchmark.select("item_id", "text").mapInArrow(hashed, f"item_id {kind}, tokens binary")
+    rows = benchmark.select("item_id", folded("text")).mapInArrow(hashed, f"item_id {kind}, tokens binary")
     ids, tokens, total = [], [], 0
 
     def block() -> Items:
@@ -162,7 +163,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, limit: int = BLOCK_TOKENS) -
     spark = docs.sparkSession
     ready(spark)
     letters = alphabet(digits=True)
-    rows = keyed(docs, "doc_id", "text")
+    rows = keyed(docs, "doc_id", folded("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     item_kind = benchmark.schema["item_id"].dataType
     schema = (
@@ -198,16 +199,20 @@ def clean(docs: DataFrame, benchmark: DataFrame, limit: int = BLOCK_TOKENS) -> D
     spark = docs.sparkSession
     ready(spark)
     letters = alphabet(digits=True)
-    out = docs
+    name = "folded_text"
+    while name in docs.columns:
+        name += "_"
+    out = docs.withColumn(name, folded("text"))
+    schema = out.schema
     for block in item_blocks(benchmark, limit):
         shared = spark.sparkContext.broadcast(block)
 
         def kept(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch, hashes, counts in batches_of_hashes(batches, letters):
+            for batch, hashes, counts in batches_of_hashes(batches, letters, name):
                 good = np.ones(len(counts), bool)
                 for text, *_ in shared.value.overlaps(hashes, counts):
                     good[text] = False
                 yield batch.filter(pa.array(good))
 
-        out = out.mapInArrow(kept, docs.schema)
-    return out
+        out = out.mapInArrow(kept, schema)
+    return out.drop(name)

@@ -6,14 +6,35 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 from .arrowtext import blocks, mixed, prefix_sums, ragged, range_hashes
 
 
+# Scripts that are written without spaces: each of their characters is a token.
+SPACELESS = "Han Hiragana Katakana Bopomofo Thai Lao Khmer Myanmar".split()
+
+
+def folded(text: str) -> Column:
+    """A text column whose tokens, by ``alphabet``, are its words in any script, case folded.
+
+    Words are runs of letters, marks and digits by their Unicode class. Upper case comes before
+    lower, so that a letter and its capitals of several letters meet.
+    """
+    # Spark would take lower(upper(x)) for lower(x).
+    words = F.lower(F.regexp_replace(F.upper(text), r"[^\p{L}\p{M}\p{N}]+", " "))
+    one = "".join(rf"\p{{Is{script}}}" for script in SPACELESS)
+    apart = F.regexp_replace(words, f"([{one}])", " $1 ")
+    ascii_only = F.octet_length(text) == F.length(text)
+    return F.when(ascii_only, F.col(text)).otherwise(apart).alias(text)
+
+
 def alphabet(digits: bool) -> np.ndarray:
     """What each byte stands for in a token, 0 for bytes between tokens.
 
-    Tokens are runs of letters (and digits); A-Z count as a-z, bytes beyond ASCII as letters.
+    Tokens are runs of letters (and digits); A-Z count as a-z, bytes beyond ASCII as letters,
+    so texts that are compared by their words go through ``folded`` first.
     """
     out = np.zeros(256, np.uint8)
     out[128:] = np.arange(128, 256)
@@ -53,10 +74,10 @@ def token_hashes(column: pa.Array, letters: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def batches_of_hashes(
-    batches: Iterator[pa.RecordBatch], letters: np.ndarray
+    batches: Iterator[pa.RecordBatch], letters: np.ndarray, column: str = "text"
 ) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     for batch in batches:
-        yield batch, *token_hashes(batch.column("text"), letters)
+        yield batch, *token_hashes(batch.column(column), letters)
 
 
 def word_and_gram_hashes(

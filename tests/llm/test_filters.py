@@ -130,6 +130,29 @@ def test_overlaps_are_those_of_brute_force(spark, stored, limit):
     assert {r.doc_id for r in decontamination.clean(docs, bench, limit).collect()} == set(range(150)) - dirty
 
 
+def test_passages_are_found_in_any_script_and_case(spark, stored):
+    items = [
+        "Éai éonleeau pour an été straße œuvre naïve ça où déjà forêt garçon",
+        "the quick brown fox jumps over the lazy dog and runs far away today",
+        "我们的所有数据都保存在这个很大的表格里面",
+        "широкая электрификация южных губерний даст мощный толчок подъёму сельского хозяйства страны и города нашего",
+    ]
+    texts = [
+        "avant " + items[0].upper() + " après",
+        "—".join(f"“{w}”" for w in items[1].split()),
+        "前面还有别的话" + items[2] + "。后面也有",
+        items[3].upper().replace(" ", "…"),
+        "rien à voir avec un passage, même en français et déjà assez long pour avoir treize mots",
+    ]
+    stored("benchmark", list(enumerate(items)), "item_id long, text string")
+    folder = stored("documents", list(enumerate(texts)), "doc_id long, text string")
+    docs, bench = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "benchmark"))
+    got = decontamination.overlaps(docs, bench).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(i, i) for i in range(4)]
+    assert all(r.n_equal == r.item_tokens for r in got)
+    assert [(r.doc_id, r.text) for r in decontamination.clean(docs, bench).collect()] == [(4, texts[4])]
+
+
 def test_decontamination_of_awkward_rows(spark, awkward, nothing):
     bench = spark.createDataFrame([(1, "no id at all"), (2, None)], "item_id long, text string")
     out = decontamination.overlaps(awkward, bench).collect()

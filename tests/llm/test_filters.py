@@ -177,6 +177,19 @@ def test_pipeline_stages_hand_on_documents(spark):
     assert {r.doc_id for r in last.collect()} == ids
 
 
+def test_repeated_passages_of_short_words_are_cut(spark, stored):
+    rng = random.Random(21)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.choice([3, 3, 4]))) for _ in range(900)]
+    passage = " ".join(rng.choice(words) for _ in range(51))
+    assert 200 <= len(passage) < 240
+    texts = [" ".join(rng.choice(words) for _ in range(60)) for _ in range(4)]
+    rows = [(0, f"{texts[0]}. {passage}! {texts[1]}"), (1, f"{texts[2]}? {passage}; {texts[3]}")]
+    folder = stored("documents", rows, "doc_id long, text string")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    got = corpus_pipeline.cut_repeats(spark, docs, folder).collect()
+    assert all(passage not in r.text for r in got) and len(got) == 2
+
+
 def test_pipeline_of_awkward_rows(spark, awkward, nothing, stored):
     stored("labels", [(1, 1, 0), (6, 0, 1)], LABELS)
     folder = stored("benchmark", [(1, "no id at all")], "item_id long, text string")

@@ -1,27 +1,17 @@
 import os
 import sys
 import tempfile
-from datetime import datetime, timedelta, timezone
 
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+from samples import at  # noqa: E402
+
 from gaugeflow import build_session  # noqa: E402
 from gaugeflow.schemas import MESSAGES, METER_READINGS, SENSORS  # noqa: E402
 
 
-def utc(text: str) -> datetime:
-    return datetime.fromisoformat(text).replace(tzinfo=timezone.utc)
-
-
-T0 = utc("2026-05-04T10:00:00")
-
-
-def at(minutes: float = 0, **more) -> datetime:
-    return T0 + timedelta(minutes=minutes, **more)
-
-
 @pytest.fixture(scope="session")
 def spark():
     session = build_session(
@@ -65,28 +55,6 @@ def readings(spark):
     return make
 
 
-def energy(id, sensor_id, when, kwh):
-    return dict(id=id, sensor_id=sensor_id, collected_at=when, sensor_type="energy", energy_kwh=kwh)
-
-
-def motion(id, sensor_id, when, detected):
-    return dict(
-        id=id, sensor_id=sensor_id, collected_at=when, sensor_type="motion", motion_detected=detected
-    )
-
-
-def air(id, sensor_id, when, co2, pm25=5, humidity=40):
-    return dict(
-        id=id,
-        sensor_id=sensor_id,
-        collected_at=when,
-        sensor_type="air_quality",
-        co2=co2,
-        pm25=pm25,
-        humidity=humidity,
-    )
-
-
 @pytest.fixture
 def feed(spark):
     """Messages from bodies, one partition, offsets in order."""
@@ -102,7 +70,3 @@ def feed(spark):
         return spark.createDataFrame(rows, MESSAGES)
 
     return make
-
-
-def wire(kind, name, payload, when="2026-09-03T10:00:00+00:00"):
-    return f'{{"type":"{kind}","name":"{name}","payload":{payload},"collectedAt":"{when}"}}'

@@ -7,7 +7,7 @@ from gaugeflow.operators import buckets
 from gaugeflow.plans.arguments import aggregation_range, whole_periods
 from gaugeflow.plans.store import ReadingStore
 
-from conftest import air, at, energy, motion, utc
+from samples import air, at, energy, motion, utc
 
 
 @pytest.fixture

@@ -5,7 +5,7 @@ from gaugeflow import vocab
 from gaugeflow.functions import labels
 from gaugeflow.operators.decode import decode_messages, split_decoded
 
-from conftest import utc, wire
+from samples import utc, wire
 
 GOOD = [
     (

@@ -14,7 +14,7 @@ from gaugeflow.sources.messages import decode_changes
 from gaugeflow.sources.tables import Tables, rows_from_arrays
 from gaugeflow.streaming.ingest import Ingest, RetryPolicy, is_stopped, is_transient, number_spans
 
-from conftest import at, utc, wire
+from samples import at, utc, wire
 
 
 @pytest.fixture

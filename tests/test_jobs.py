@@ -12,7 +12,7 @@ from gaugeflow.streaming.ingest import Ingest
 from gaugeflow.streaming.produce import Produce
 from gaugeflow.streaming.relay import Relay
 
-from conftest import at, utc
+from samples import at, utc
 
 
 def recorded(tables):
@@ -158,7 +158,7 @@ def test_stored_instants_have_statistics(spark, folder, feed):
 
     import pyarrow.parquet as pq
 
-    from conftest import wire
+    from samples import wire
 
     tables = Tables(spark, folder)
     Ingest(tables).run_batch(feed(wire("energy", "A", '{"energy":1}')), "b0")

@@ -3,7 +3,7 @@ import json
 from gaugeflow.schemas import POLL_RESPONSES
 from gaugeflow.sources.polls import classify_polls, explode_readings, to_messages
 
-from conftest import at
+from samples import at
 
 
 def polls(spark, *rows):

@@ -17,7 +17,7 @@ from gaugeflow.operators.readings import (
 )
 from gaugeflow.plans.store import ReadingStore
 
-from conftest import air, at, energy, motion
+from samples import air, at, energy, motion
 
 
 @pytest.fixture

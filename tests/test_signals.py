@@ -10,7 +10,7 @@ from gaugeflow.schemas import PIPELINE_METRICS
 from gaugeflow.sources.messages import decode_changes, only_new
 from gaugeflow.streaming import changes
 
-from conftest import at, wire
+from samples import at, wire
 
 EVENT = {
     "publishedAt": "2026-05-04T10:00:00.5+00:00",

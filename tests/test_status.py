@@ -7,7 +7,7 @@ from gaugeflow.operators import status
 from gaugeflow.plans.console import Console, ConsoleFilter
 from gaugeflow.plans.store import ReadingStore
 
-from conftest import air, at, energy, motion
+from samples import air, at, energy, motion
 
 NOW = at(60)
 

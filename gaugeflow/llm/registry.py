@@ -6,7 +6,19 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, licences, pieces, quality, recount, repeats, simhash, tokenfile, toxicity
+from . import (
+    chat,
+    decontamination,
+    licences,
+    pieces,
+    quality,
+    recount,
+    repeats,
+    simhash,
+    tokenfile,
+    toxicity,
+    vectorcodes,
+)
 from .tables import table, written
 
 
@@ -69,6 +81,10 @@ def op10_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     return chat.digest(spark, table(spark, folder, "conversations"))
 
 
+def op11_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return vectorcodes.digest(table(spark, folder, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -82,10 +98,12 @@ QUERIES = {
         op8_piece_codec,
         op9_quality_cascade,
         op10_chat_format,
+        op11_vector_codes,
     )
 }
 ORACLES = {
     "op5_license_scan": licences.oracle(),
     "op9_quality_cascade": quality.ORACLE,
     "op10_chat_format": chat.ORACLE,
+    "op11_vector_codes": vectorcodes.oracle(),
 }

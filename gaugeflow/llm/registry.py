@@ -11,6 +11,7 @@ from . import (
     decontamination,
     licences,
     pieces,
+    prefixtrie,
     quality,
     recount,
     repeats,
@@ -85,6 +86,10 @@ def op11_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
     return vectorcodes.digest(table(spark, folder, "embeddings"))
 
 
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefixtrie.trie(table(spark, folder, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -99,6 +104,7 @@ QUERIES = {
         op9_quality_cascade,
         op10_chat_format,
         op11_vector_codes,
+        op12_prefix_trie,
     )
 }
 ORACLES = {
@@ -106,4 +112,5 @@ ORACLES = {
     "op9_quality_cascade": quality.ORACLE,
     "op10_chat_format": chat.ORACLE,
     "op11_vector_codes": vectorcodes.oracle(),
+    "op12_prefix_trie": prefixtrie.ORACLE,
 }

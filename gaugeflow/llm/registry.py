@@ -10,6 +10,7 @@ from . import (
     chat,
     decontamination,
     licences,
+    pagetext,
     pieces,
     prefixtrie,
     quality,
@@ -90,6 +91,10 @@ def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     return prefixtrie.trie(table(spark, folder, "conversations"))
 
 
+def op13_page_text(spark: SparkSession, folder: str) -> DataFrame:
+    return pagetext.digest(table(spark, folder, "pages"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -105,6 +110,7 @@ QUERIES = {
         op10_chat_format,
         op11_vector_codes,
         op12_prefix_trie,
+        op13_page_text,
     )
 }
 ORACLES = {

@@ -175,16 +175,23 @@ def conversations(rows: DataFrame) -> DataFrame:
     )
 
 
+def under_mask(formatted: Column, loss_mask: Column) -> Column:
+    """The text under the loss mask: its spans cut out of the output, unescaped, nothing between."""
+    spans = F.transform(
+        loss_mask, lambda m: unescape(F.substring(formatted, m.start.cast("int") + 1, m.length.cast("int")))
+    )
+    return F.array_join(spans, "")
+
+
 def digest(spark: SparkSession, rows: DataFrame) -> DataFrame:
-    """The contract's digest, taken from the formatted output."""
+    """The contract's digest of all conversations and a planted one."""
     planted = spark.createDataFrame(PLANTED, "conv_id long, turn long, role string, text string")
-    out = conversations(rows.select("conv_id", "turn", "role", "text").unionByName(planted))
-    loss = F.array_join(
-        F.transform(
-            F.filter("recovered", lambda t: t.role == "assistant"), lambda t: t.text
-        ),
-        "",
-    )
+    return read_back(conversations(rows.select("conv_id", "turn", "role", "text").unionByName(planted)))
+
+
+def read_back(out: DataFrame) -> DataFrame:
+    """The digest of formatted conversations, taken from their output and its loss mask."""
+    loss = under_mask(F.col("formatted"), F.col("loss_mask"))
     return out.select(
         "conv_id",
         F.size("recovered").cast("long").alias("n_turns"),

@@ -395,7 +395,11 @@ def _with_spans(docs: DataFrame, columns: list[str], length: int, anchor: int, b
 
 
 def digest(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, block: int = BLOCK) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, text (what remains).
+
+    A character that is cut in two shows as a replacement character in ``text``; the hash is of
+    the bytes.
+    """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -403,19 +407,18 @@ def digest(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, block: i
             rows = []
             for i, spans in enumerate(batch.column("spans").to_pylist()):
                 raw, found = data[offsets[i] : offsets[i + 1]].tobytes(), runs(spans)
-                kept, at = hashlib.sha256(), 0
-                for low, high in found:
-                    kept.update(raw[at:low])
-                    at = high
-                kept.update(raw[at:])
-                rows.append((len(raw), sum(b - a for a, b in found), len(found), kept.hexdigest()))
-            n, removed, spans, digests = zip(*rows) if rows else ((),) * 4
+                bounds = [0, *(place for span in found for place in span), len(raw)]
+                kept = b"".join(raw[a:b] for a, b in zip(bounds[::2], bounds[1::2]))
+                rows.append(
+                    (len(raw), sum(b - a for a, b in found), len(found), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace"))
+                )
+            n, removed, spans, digests, texts = zip(*rows) if rows else ((),) * 5
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()),
-                    pa.array(spans, pa.int64()), pa.array(digests, pa.string()),
+                    pa.array(spans, pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.string()),
                 ],
-                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
+                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -423,7 +426,8 @@ def digest(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, block: i
         _with_spans(docs, ["doc_id", "text"], length, anchor, block)
         .select("doc_id", "text", "spans")
         .mapInArrow(
-            counted, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+            counted,
+            f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string",
         )
     )
 

@@ -18,10 +18,9 @@ than its length.
 Words are runs of anything but space and the control characters 9 to 13, with A-Z lower-cased.
 A text of fewer words than a shingle is one shingle; a text without words, or a null one, has
 the fingerprint zero, which links like any other. Rows are told apart by place; the
-component of rows whose doc_ids are all null has the id null. Further columns are not read.
-
-Whole corpora are thinned by wider fingerprints, which only find candidates: texts that share a
-key of smallest hashes and differ in few enough bits. Links are decided on the sets of shingles.
+component of rows whose doc_ids are all null has the id null. An empty table has no rows and
+no groups. A text of any length is read once, its shingles some hundred thousand at a time.
+Further columns are not read, or kept by ``one_of_each``.
 """
 
 from __future__ import annotations
@@ -34,10 +33,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtext import BASE, binary, mixed, powers, ragged
+from .arrowtext import ragged
 from .components import components
 from .tables import keyed, ready, written
-from .tokens import token_hashes
 
 WORDS, SEED, DISTANCE = 3, 42, 3
 SEGMENTS = (13, 13, 13, 13, 12)
@@ -72,7 +70,7 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """row, doc_id, fingerprint (as a signed long)."""
+    """row, doc_id (of any type), fingerprint (as a signed long)."""
     ready(docs.sparkSession)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,8 +81,9 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 ["row", "doc_id", "fingerprint"],
             )
 
+    kind = docs.schema["doc_id"].dataType.simpleString()
     return keyed(docs, "doc_id", "text").mapInArrow(
-        hashed, "row long, doc_id long, fingerprint long"
+        hashed, f"row long, doc_id {kind}, fingerprint long"
     )
 
 
@@ -270,276 +269,19 @@ def digest(docs: DataFrame) -> DataFrame:
     )
 
 
-# Of whole corpora: sets of shingles of five words, linked at a Jaccard similarity of 0.8.
-WIDE_WORDS, SIMILARITY, WIDE_BITS = 5, 0.8, 256
-# A key is made of the smallest of four hashes each of a set. Of 24 keys, sets of a similarity
-# of 0.8 have one in common but for three pairs in a million.
-KEYS, KEY_HASHES = 24, 4
-# Fingerprints as far apart as those of sets of the first similarity are candidates at once;
-# up to those of the second whatever is not yet connected. Sets of four and five shingles
-# have fingerprints 48 bits apart on average, the most at a similarity of 0.8.
-SURE, LOOSE = 0.9, 0.45
-PAIRS_AT_ONCE = 1 << 16
-
-
-def most_errors(similarity: float, bits: int) -> int:
-    """Bits that texts of a Jaccard similarity differ in, on average: the angle between them."""
-    return int(np.arccos(2 * similarity / (1 + similarity)) / np.pi * bits)
-
-
-def word_letters() -> np.ndarray:
-    """Bytes of words: all but white space, A-Z lower-cased."""
-    out = np.arange(256, dtype=np.uint8)
-    out[0] = 255  # no byte of UTF-8
-    out[65:91] += 32
-    out[[9, 10, 11, 12, 13, 32]] = 0
-    return out
-
-
-def shingle_hashes(words: np.ndarray, ends: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of every ``width`` words in a row of each text, and how many each text has.
-
-    A text of fewer words has one shingle of them all; a text without words has none.
-    """
-    sizes = np.diff(np.append(0, ends))
-    counts = np.where(sizes > 0, np.maximum(sizes - width + 1, 1), 0)
-    first = ragged(ends - sizes, counts)
-    last = np.repeat(ends, counts)
-    out = np.zeros(len(first), np.uint64)
-    for k, power in enumerate(powers(BASE, width + 1)[1:]):
-        here = first + k
-        inside = here < last
-        out[inside] += words[here[inside]] * power
-    return mixed(out), counts
-
-
-def shingle_sets(column: pa.Array, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct shingle hashes of each text, sorted, how many it has, and a hash of the set."""
-    words, sizes = token_hashes(column, letters)
-    wide, n = shingle_hashes(words, np.cumsum(sizes), WIDE_WORDS)
-    text = np.repeat(np.arange(len(n)), n)
-    order = np.lexsort((wide, text))
-    wide, text = wide[order], text[order]
-    new = np.ones(len(wide), bool)
-    new[1:] = (wide[1:] != wide[:-1]) | (text[1:] != text[:-1])
-    wide, counts = wide[new], np.bincount(text[new], minlength=len(n))
-    nodes, some = np.zeros(len(n), np.uint64), np.flatnonzero(counts)
-    if len(some):
-        starts = (np.cumsum(counts) - counts)[some]
-        nodes[some] = mixed(np.add.reduceat(mixed(wide + np.uint64(77)), starts))
-    return wide, counts, nodes
-
-
-def set_keys(shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """The keys of every set; none is empty."""
-    salts = mixed(np.arange(1, 2 * KEYS * KEY_HASHES + 1, dtype=np.uint64)).reshape(-1, 2)
-    out = np.zeros((len(starts), KEYS), np.uint64)
-    for k, (salt, factor) in enumerate(salts):
-        smallest = np.minimum.reduceat((shingles ^ salt) * (factor | np.uint64(1)), starts)
-        out[:, k // KEY_HASHES] = mixed(out[:, k // KEY_HASHES] + smallest + np.uint64(k))
-    return out
-
-
-def wide_fingerprints(docs: DataFrame) -> DataFrame:
-    """row, doc_id, node (hash of the set of shingles), bits (``WIDE_BITS``, binary), keys.
-
-    A text without words has no keys. Shingles count once, so all but row and doc_id follow
-    from the set.
-    """
-    ready(docs.sparkSession)
-    letters = word_letters()
-    n_longs = WIDE_BITS // 64
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            wide, n, nodes = shingle_sets(batch.column("text"), letters)
-            stops = np.cumsum(n)
-            bits = np.zeros((len(n), WIDE_BITS // 8), np.uint8)
-            some = np.flatnonzero(n)
-            for i in some:
-                ones = np.zeros(WIDE_BITS, np.int64)
-                for low in range(stops[i] - n[i], stops[i], 1 << 15):
-                    own = wide[low : min(low + (1 << 15), stops[i])]
-                    longs = np.column_stack([mixed(own + np.uint64(k)) for k in range(n_longs)])
-                    cut = np.unpackbits(longs.view(np.uint8).reshape(len(own), -1), axis=1, bitorder="little")
-                    ones += cut.sum(axis=0, dtype=np.uint16)
-                bits[i] = np.packbits(2 * ones > n[i], bitorder="little")
-            keys = [[] for _ in n]
-            if len(some):
-                for i, own in zip(some, set_keys(wide, (stops - n)[some]).view(np.int64).tolist()):
-                    keys[i] = own
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("row"), batch.column("doc_id"), pa.array(nodes.view(np.int64)),
-                    pa.array([b.tobytes() for b in bits], pa.binary()),
-                    pa.array(keys, pa.list_(pa.int64())),
-                ],
-                ["row", "doc_id", "node", "bits", "keys"],
-            )
-
-    return keyed(docs, "doc_id", "text").mapInArrow(
-        hashed, "row long, doc_id long, node long, bits binary, keys array<long>"
-    )
-
-
-def spanning(node: np.ndarray, root: np.ndarray, bits: np.ndarray, most: int) -> Iterator[tuple]:
-    """Pairs that connect whatever lies within ``most`` bits in a run, a tree of each cluster."""
-    run = np.arange(len(node))
-    while len(run) > 1:
-        todo, run = [run[0]], run[1:]
-        while todo and len(run):
-            one = todo.pop()
-            close = np.bitwise_count(bits[run] ^ bits[one]).sum(axis=1) <= most
-            if close.any():
-                yield np.full(int(close.sum()), node[one]), node[run[close]]
-                todo += run[close].tolist()
-                run = run[~close]
-
-
-def unconnected(node: np.ndarray, root: np.ndarray, bits: np.ndarray, most: int) -> Iterator[tuple]:
-    """All pairs of a run within ``most`` bits that have different roots."""
-    roots, which, sizes = np.unique(root, return_inverse=True, return_counts=True)
-    if len(roots) == 1:
-        return
-    # Those of the largest component come last: among themselves they make no pairs.
-    order = np.argsort(which == sizes.argmax(), kind="stable")
-    node, which, bits = node[order], which[order], bits[order]
-    for i in range(len(node) - int(sizes.max())):
-        other = np.flatnonzero(which[i + 1 :] != which[i]) + i + 1
-        close = other[np.bitwise_count(bits[other] ^ bits[i]).sum(axis=1) <= most]
-        if len(close):
-            yield np.full(len(close), node[i]), node[close]
-
-
-def candidates(nodes: DataFrame, pairs_of, most: int) -> DataFrame:
-    """Distinct pairs (node, root), smaller first, that ``pairs_of`` finds in the runs of a key.
-
-    ``nodes`` has node, root, bits and keys.
-    """
-    ready(nodes.sparkSession)
-    n_longs = WIDE_BITS // 64
-
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def result(parts):
-            a, b = (np.concatenate(x) for x in zip(*parts))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["node", "root"]
-            )
-
-        def pairs(key, *columns):
-            starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            sizes = np.diff(np.append(starts, len(key)))
-            for start, size in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist()):
-                yield from pairs_of(*(c[start : start + size] for c in columns), most)
-
-        def complete():
-            empty = np.empty(0, np.int64)
-            held = [empty, empty, empty, np.empty((0, n_longs), np.uint64)]
-            for batch in batches:
-                bits = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint64).reshape(-1, n_longs)
-                new = [*(batch.column(c).to_numpy() for c in ("key", "node", "root")), bits]
-                held = [np.concatenate(x) for x in zip(held, new)]
-                # The last key may go on in the next batch.
-                last = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
-                if last:
-                    yield from pairs(*(x[:last] for x in held))
-                    held = [x[last:] for x in held]
-            if len(held[0]):
-                yield from pairs(*held)
-
-        parts, total = [], 0
-        for part in complete():
-            parts.append(part)
-            total += len(part[0])
-            if total >= PAIRS_AT_ONCE:
-                yield result(parts)
-                parts, total = [], 0
-        if parts:
-            yield result(parts)
-
-    return (
-        nodes.select(F.explode("keys").alias("key"), "node", "root", "bits")
-        .repartition("key")
-        .sortWithinPartitions("key")
-        .mapInArrow(found, "node long, root long")
-        .distinct()
-    )
-
-
-def similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """Those of the pairs (node, root) whose sets of shingles have at least this similarity.
-
-    ``nodes`` has node and first, whose row is a text with that set.
-    """
-    letters = word_letters()
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            wide, n, found = shingle_sets(batch.column("text"), letters)
-            ends = np.append(0, np.cumsum(n)) * 8
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(found.view(np.int64)), binary(wide.view(np.uint8), ends)], ["node", "shingles"]
-            )
-
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = np.zeros(batch.num_rows, bool)
-            for i, (a, b) in enumerate(zip(batch.column("shingles"), batch.column("others"))):
-                a, b = np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)
-                common = len(np.intersect1d(a, b, assume_unique=True))
-                good[i] = common >= similarity * (len(a) + len(b) - common) - 1e-9
-            yield batch.select(["node", "root"]).filter(pa.array(good))
-
-    pairs = written(pairs, "candidates")
-    ends = pairs.select("node").union(pairs.select("root")).distinct()
-    rows = nodes.join(ends, "node", "left_semi").select(F.col("first.row").alias("row"))
-    texts = keyed(docs, "text").join(rows, "row", "left_semi").select("text")
-    known = written(texts.mapInArrow(sets, "node long, shingles binary"), "shingle-sets")
-    others = known.select(F.col("node").alias("root"), F.col("shingles").alias("others"))
-    return (
-        pairs.join(known, "node")
-        .join(others, "root")
-        .select("node", "root", "shingles", "others")
-        .mapInArrow(compared, "node long, root long")
-    )
-
-
-def similar_groups(docs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """(node, root) of the components of sets that are similar enough, as ``components`` has them.
-
-    What is surely similar is connected first, by a tree of each cluster; after that only
-    pairs of different components are compared. Every link is verified on the sets.
-    """
-    alone = nodes.withColumn("root", F.col("node"))
-    first = candidates(alone, spanning, most_errors(SURE, WIDE_BITS))
-    roots = components(similar(docs, nodes, first, similarity))
-    known = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rest = candidates(known, unconnected, most_errors(LOOSE, WIDE_BITS))
-    return components(roots.union(similar(docs, nodes, rest, similarity)))
-
-
-def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """One document of every group of near-duplicates, with all its columns.
+def one_of_each(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
+    """One document of every component of linked fingerprints, with all its columns.
 
     The one of the smallest doc_id stays (nulls last, of equal ones the first row).
     """
-    found = written(wide_fingerprints(docs), "fingerprints")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
-    # Equal sets are one node, whatever group of copies they stand for.
-    nodes = written(
-        found.groupBy("node").agg(F.min_by(F.struct("bits", "keys"), "row").alias("one"), F.min(order).alias("first"))
-        .select("node", "one.bits", "one.keys", "first"),
-        "nodes",
-    )
-    roots = similar_groups(docs, nodes, similarity)
     name = "kept_row"
     while name in docs.columns:
         name += "_"
     stay = (
-        nodes.select("node", "first")
-        .join(roots, "node", "left")
-        .groupBy(F.coalesce("root", "node"))
-        .agg(F.min("first").alias("first"))
+        grouped(docs, words, distance)
+        .groupBy("root")
+        .agg(F.min(order).alias("first"))
         .select(F.col("first.row").alias(name))
     )
     numbered = docs.withColumn(name, F.monotonically_increasing_id())

@@ -1,4 +1,13 @@
-"""A training corpus from raw documents: stages, each over all that the one before it kept."""
+"""A training corpus from raw documents: stages, each over all that the one before it kept.
+
+Every stage defines what it does with null, empty and very long texts, ties, repeated rows and
+further columns; all but the last keep the rows and columns they do not decide on as they are. A
+null text is clean, is a near-duplicate of other texts without words, has nothing to cut,
+overlaps with no benchmark item, and has no pieces. Rows are told apart by place, so rows with
+one doc_id are documents of their own; of a group of near-duplicates the smallest doc_id stays,
+nulls last, of equal ones the first row. Long texts are read in blocks, never cut short. An
+empty table of documents gives an empty corpus; without usable labels nothing is toxic.
+"""
 
 from __future__ import annotations
 
@@ -18,7 +27,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: five-word shingles, similarity 0.8."""
+    """One document of each group stays: three-word shingles, three differing bits or fewer."""
     return simhash.one_of_each(docs)
 
 

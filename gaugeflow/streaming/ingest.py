@@ -209,7 +209,7 @@ class Ingest:
     def _set_aside(self, tables: Tables, name: str, letters: DataFrame) -> None:
         tables.put_batch("dead_letters", name, letters)
         if self.reject:
-            self.reject(tables.dead_letters().filter(F.col("batch") == name).drop("batch"))
+            self.reject(tables.batch_rows("dead_letters", name).drop("batch"))
 
     def _store_with_retries(
         self,
@@ -306,7 +306,7 @@ class Ingest:
         try:
             tables.put_batch("change_events", batch, events)
             if self.publish:
-                self.publish(tables.changes().filter(F.col("batch") == batch).select("value"))
+                self.publish(tables.batch_rows("change_events", batch).select("value"))
             report.announced = counts.filter(F.col("reading_count") > 0).count()
         except Exception as error:  # noqa: BLE001 - the rows are stored; only the signal is lost
             if is_stopped(error):

@@ -18,9 +18,13 @@ longest common prefixes; suffixes that no pass of the first ``length`` bytes has
 an interval of equal strings. An interval that stands for two starts or more is repeated.
 Suffixes are never sorted across shards.
 
-No task holds more than ``MANY`` contexts of one anchor. The strings of more crowded anchors, as
-a line that a large part of all texts have, are told apart by two hashes, of their bytes and of
-their blocks, and counted; counts are summed before they move.
+No task merges more than ``MANY`` contexts of one anchor. Contexts of more crowded anchors, as a
+line that a large part of all texts have, are split first: strings with the anchor at about the
+same place, within ``WIDTHS[0]`` bytes, agree in all the bytes that such strings have in common,
+if they are equal. So a context falls into pieces by the place of the anchor, a piece's anchor
+is that common core, and equal pieces become one with a count. Pieces of one core are merged as
+contexts are; if a core is still crowded, its pieces are split by ever closer places, in the end
+into single strings, of which equal ones are one piece. Every string goes through a merge.
 
 Blocks and contexts are told apart by 64-bit hashes, contexts within their anchor. Null and
 short texts have no strings. Rows are told apart by place, so null and repeated doc_ids and
@@ -42,8 +46,12 @@ from .tables import keyed, ready, written
 
 LENGTH, ANCHOR, BLOCK = 400, 100, 100
 BLOCK_BYTES = 1 << 20
-# Contexts that a task merges at a time, and that one anchor may have to be merged.
+# Contexts that a task merges at a time, and that one anchor may have before it is split.
 AT_ONCE, MANY = 2000, 2000
+# Places of the anchor that the pieces of a crowded context share, from split to split.
+WIDTHS = (32, 8, 1)
+# Up to so many contexts are sent to the texts they are cut from; for more, texts are shuffled.
+SENT_CONTEXTS = 100_000
 
 
 def sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
@@ -239,14 +247,39 @@ _SLICES = pa.schema(
 )
 
 
-def _with_text(texts: DataFrame, kinds: DataFrame) -> DataFrame:
+def _with_text(texts: DataFrame, kinds: DataFrame, sent: bool = False) -> DataFrame:
     """The texts that contexts were first met in, each with the list of its contexts."""
     wanted = kinds.groupBy(F.col("at.row").alias("row")).agg(
         F.collect_list(
-            F.struct("anchor", "context", "copies", "at.first", "at.n", "at.place")
+            F.struct("anchor", "context", "copies", "at.row", "at.first", "at.n", "at.place")
         ).alias("wanted")
     )
-    return texts.join(wanted, "row").select("text", "wanted")
+    return texts.join(F.broadcast(wanted) if sent else wanted, "row").select("text", "wanted")
+
+
+def split(
+    data: np.ndarray, n: np.ndarray, place: np.ndarray, length: int, anchor: int, width: int
+) -> tuple[np.ndarray, ...]:
+    """The pieces of contexts: (context, skip, starts, place, hash of the core, hash of the piece).
+
+    A string with its anchor at o has the bytes from o before the anchor on. Strings of the
+    places a to b share those from a before it to length - b behind its start.
+    """
+    sizes = n + length - 1
+    base = np.cumsum(sizes) - sizes
+    sums = prefix_sums(data)
+    lowest, highest = (place - n + 1) // width, place // width
+    count = highest - lowest + 1
+    own = np.repeat(np.arange(len(n)), count)
+    step = ragged(lowest, count)
+    a, b = step * width, np.minimum(step * width + width - 1, length - anchor)
+    high, low = np.minimum(b, place[own]), np.maximum(a, (place - n + 1)[own])
+    skip, starts = place[own] - high, high - low + 1
+    at = base[own] + place[own]
+    core = mixed(range_hashes(sums, at - a, at - b + length) + step.astype(np.uint64))
+    first = base[own] + skip
+    whole = mixed(range_hashes(sums, first, first + starts + length - 1) + high.astype(np.uint64))
+    return own, skip, starts, high, core, whole
 
 
 def _wishes(batch: pa.RecordBatch, length: int) -> Iterator[tuple[list[dict], list[bytes]]]:
@@ -266,6 +299,23 @@ def _wishes(batch: pa.RecordBatch, length: int) -> Iterator[tuple[list[dict], li
         yield one, raw
 
 
+def kinds_of(contexts: DataFrame) -> DataFrame:
+    """The different contexts with copies, where one lies, and how many their anchor has.
+
+    Anchors that occur once are left out.
+    """
+    kinds = contexts.groupBy("anchor", "context").agg(
+        F.sum("copies").alias("copies"),
+        F.min(F.struct("row", "first", "n", "place")).alias("at"),
+    )
+    often = (
+        kinds.groupBy("anchor")
+        .agg(F.sum("copies").alias("starts"), F.count("*").alias("kinds"))
+        .filter("starts > 1")
+    )
+    return kinds.join(often, "anchor")
+
+
 def repeated(
     texts: DataFrame,
     dealt: DataFrame,
@@ -280,16 +330,7 @@ def repeated(
     ready(texts.sparkSession)
     every = written(occurrences(texts, length, anchor), "occurrences")
     # Equal contexts are one row from here on, so copies of a text make no anchor large.
-    kinds = every.groupBy("anchor", "context").agg(
-        F.count("*").alias("copies"),
-        F.min(F.struct("row", "first", "n", "place")).alias("at"),
-    )
-    often = (
-        kinds.groupBy("anchor")
-        .agg(F.sum("copies").alias("starts"), F.count("*").alias("kinds"))
-        .filter("starts > 1")
-    )
-    kinds = written(kinds.join(often, "anchor"), "contexts")
+    kinds = written(kinds_of(every.withColumn("copies", F.lit(1))), "contexts")
 
     def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -302,24 +343,6 @@ def repeated(
                     _SLICES,
                 )
 
-    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for one, raw in _wishes(batch, length):
-                n = np.array([w["n"] for w in one], np.int64)
-                sizes = n + length - 1
-                sums = prefix_sums(np.frombuffer(b"".join(raw), np.uint8))
-                at = ragged(np.cumsum(sizes) - sizes, n)
-                by_blocks = np.zeros(len(at), np.uint64)
-                for low in range(0, length, block):
-                    by_blocks = mixed(by_blocks) + range_hashes(sums, at + low, at + low + block)
-                names = [np.repeat(np.array([w[k] for w in one], np.int64), n) for k in ("anchor", "context", "copies")]
-                skip = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
-                hashes = range_hashes(sums, at, at + length), mixed(by_blocks)
-                yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(h.view(np.int64)) for h in hashes), *map(pa.array, names), pa.array(skip.astype(np.int32))],
-                    ["bytes", "blocks", "anchor", "context", "copies", "skip"],
-                )
-
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def result(table: pa.Table) -> pa.RecordBatch:
             data, _ = flat(table.column("bytes"))
@@ -351,21 +374,56 @@ def repeated(
         if held is not None and held.num_rows:
             yield result(held)
 
-    calm = (
-        _with_text(dealt, kinds.filter(F.col("kinds") <= MANY))
-        .mapInArrow(sliced, "anchor long, context long, copies long, n int, bytes binary")
-        .repartition("anchor")
-        .sortWithinPartitions("anchor")
-        .mapInArrow(merged, "anchor long, context long, skip int, n_repeated int")
-    )
-    starts = _with_text(dealt, kinds.filter(F.col("kinds") > MANY)).mapInArrow(
-        strings, "bytes long, blocks long, anchor long, context long, copies long, skip int"
-    )
-    again = starts.groupBy("bytes", "blocks").agg(F.sum("copies").alias("times")).filter("times > 1")
-    crowded = starts.join(again, ["bytes", "blocks"], "left_semi").select(
-        "anchor", "context", "skip", F.lit(1).alias("n_repeated")
-    )
-    found = calm.unionByName(crowded)
+    def merge(kinds: DataFrame, sent: bool) -> DataFrame:
+        return (
+            _with_text(texts if sent else dealt, kinds, sent)
+            .mapInArrow(sliced, "anchor long, context long, copies long, n int, bytes binary")
+            .repartition("anchor")
+            .sortWithinPartitions("anchor")
+            .mapInArrow(merged, "anchor long, context long, skip int, n_repeated int")
+        )
+
+    def resolved(kinds: DataFrame, widths: tuple[int, ...], sent: bool = False) -> DataFrame:
+        """anchor, context, skip, n_repeated of all kinds; crowded ones by their pieces."""
+        crowded = kinds.filter(F.col("kinds") > MANY)
+        n = crowded.count() if widths else 0
+        if not n:
+            return merge(kinds, sent)
+        width = widths[0]
+
+        def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for one, raw in _wishes(batch, length):
+                    column = {k: np.array([w[k] for w in one], np.int64) for k in ("anchor", "context", "copies", "row", "first", "n", "place")}
+                    data = np.frombuffer(b"".join(raw), np.uint8)
+                    own, skip, starts, place, core, whole = split(data, column["n"], column["place"], length, anchor, width)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            *(pa.array(column[k][own]) for k in ("anchor", "context", "copies", "row")),
+                            pa.array(column["first"][own] + skip), pa.array(skip.astype(np.int32)),
+                            pa.array(starts.astype(np.int32)), pa.array(place.astype(np.int32)),
+                            pa.array(core.view(np.int64)), pa.array(whole.view(np.int64)),
+                        ],
+                        ["anchor", "context", "copies", "row", "first", "before", "n", "place", "core", "piece"],
+                    )
+
+        few = n <= SENT_CONTEXTS
+        pieces = written(
+            _with_text(texts if few else dealt, crowded, few).mapInArrow(
+                parts,
+                "anchor long, context long, copies long, row long, first long, before int, n int, place int, core long, piece long",
+            ),
+            "pieces",
+        )
+        smaller = kinds_of(pieces.select(F.col("core").alias("anchor"), F.col("piece").alias("context"), "copies", "row", "first", "n", "place"))
+        found = resolved(written(smaller, "pieces"), widths[1:], few)
+        found = found.select(F.col("anchor").alias("core"), F.col("context").alias("piece"), "skip", "n_repeated")
+        back = pieces.join(found, ["core", "piece"]).select(
+            "anchor", "context", (F.col("before") + F.col("skip")).alias("skip"), "n_repeated"
+        )
+        return merge(kinds.filter(F.col("kinds") <= MANY), sent).unionByName(back)
+
+    found = resolved(kinds, WIDTHS)
     spans = every.join(found, ["anchor", "context"]).select(
         "row",
         F.struct(

@@ -6,6 +6,7 @@ from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from gaugeflow.llm import chat, licences, quality
 from gaugeflow.llm.registry import ORACLES, QUERIES
@@ -16,7 +17,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "conversations"):
+    for table in ("documents", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{SF}/{table}.parquet')")
     cursor = con.execute(ORACLES[name])
     columns = sorted(c[0] for c in cursor.description)
@@ -66,7 +67,6 @@ def test_the_order_of_rules_does_not_change_the_verdict(spark):
 
 
 def test_rules_are_ordered_by_rejection_per_cost(spark):
-    from pyspark.sql import functions as F
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     never = quality.Rule("never", lambda: F.lit(False))
@@ -146,5 +146,20 @@ def test_chat_digest_holds_the_planted_conversation(spark):
     assert planted.turns_sha256 == hashlib.sha256(turns.encode()).hexdigest()
 
 
+def test_the_loss_is_what_lies_under_the_mask(spark):
+    out = chat.conversations(spark.createDataFrame(CHATS, CONVERSATIONS))
+    expected = {}
+    for r in out.collect():
+        text = "".join(t.text for t in r.recovered if t.role == "assistant")
+        expected[r.conv_id] = len(text), hashlib.sha256(text.encode()).hexdigest()
+    got = {r.conv_id: (r.loss_chars, r.loss_sha256) for r in chat.read_back(out).collect()}
+    assert got == expected
+    shifted = out.withColumn(
+        "loss_mask", F.transform("loss_mask", lambda m: F.struct((m.start + 1).alias("start"), m.length.alias("length")))
+    )
+    moved = {r.conv_id: r.loss_sha256 for r in chat.read_back(shifted).collect()}
+    assert any(moved[i] != digest for i, (n, digest) in expected.items() if n)
+
+
 def test_no_chats(spark):
     assert chat.conversations(spark.createDataFrame([], CONVERSATIONS)).collect() == []

@@ -669,6 +669,9 @@ ORACLES |= {
         PARTITION BY sensor_id ORDER BY collected_at DESC, id DESC) = 1""",
     ),
     "stored_page": ORACLES["readings_page"],
+    "stored_after_upkeep": ORACLES["flat_readings"],
+    "live_signals": ORACLES["refresh_signals"],
+    "live_view": ORACLES["running_view"],
     "stored_page_deep": _with(
         READINGS,
         f"""SELECT {FLAT} FROM r WHERE sensor_type = 'air_quality'

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Callable
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,8 +33,9 @@ from gaugeflow.schemas import VALUE_COLUMNS
 from gaugeflow.session import scratch_dir, tune
 from gaugeflow.sources import messages, polls
 from gaugeflow.sources.tables import Tables, day_column, rows_from_arrays
-from gaugeflow.streaming import changes
+from gaugeflow.streaming import bursts, changes
 from gaugeflow.streaming.ingest import Ingest
+from gaugeflow.streaming.upkeep import Upkeep
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -407,6 +409,23 @@ def _stored(spark: SparkSession, folder: str) -> ReadingStore:
     return ReadingStore(tables.readings(), tables.sensors())
 
 
+@query
+def stored_after_upkeep(spark, folder):
+    """All readings, appended in six batches, after their files were merged and swept."""
+    tables = Tables(spark, scratch_dir(spark, "upkeep"))
+    tables.append_sensors(bridge.sensors(spark, folder))
+    rows = bridge.readings(spark, folder).withColumns(
+        {"collected_date": day_column(F.col("collected_at")), "ingest_batch": F.lit("stored")}
+    )
+    batch = F.pmod(F.xxhash64("id"), F.lit(6))
+    for n in range(6):
+        tables.append_readings(rows.filter(batch == n))
+    upkeep = Upkeep(tables)
+    upkeep.run(date(9999, 1, 1), ["meter_readings"])
+    upkeep.sweep(["meter_readings"], timedelta(0))
+    return readings.with_sensor(tables.readings(), tables.sensors())
+
+
 @query
 def stored_latest(spark, folder):
     return _stored(spark, folder).latest()
@@ -663,9 +682,43 @@ def refresh_stream(spark, folder):
     return changes.landed_signals(spark, f"{base}/events")
 
 
+@query
+def live_signals(spark, folder):
+    """Every burst written once by a stateful stream; a tick after the last event ends the open one."""
+    base = scratch_dir(spark, "live")
+    kind = "published_at timestamp, reading_count int"
+    messages_in = bridge.with_change(bridge.event_stream(spark, folder))
+    events = messages.decode_changes(messages_in).select("published_at", "reading_count")
+    job = bursts.LiveSignals(spark, f"{base}/parts", f"{base}/checkpoint")
+    last = _changes(spark, folder).agg(F.max("published_at")).first()[0]
+    for ticks in ([], [(last + timedelta(hours=1), None)] if last else []):
+        spark.createDataFrame(ticks, kind).write.mode("append").parquet(f"{base}/ticks")
+        tick_stream = spark.readStream.schema(kind).parquet(f"{base}/ticks")
+        job.start(events.unionByName(tick_stream), drain=True).awaitTermination()
+    return job.signals()
+
+
+@query
+def live_view(spark, folder):
+    """The running view of a stream that is stopped in the middle and started again."""
+    base = scratch_dir(spark, "view")
+    events = _changes(spark, folder).select(
+        "published_at", "reading_count", "newest_collected_at", "sensors", (F.xxhash64("event_id") >= 0).alias("early")
+    )
+    for early in (True, False):
+        half = events.filter(F.col("early") == early).drop("early")
+        half.write.mode("append").parquet(f"{base}/events")
+        stream = spark.readStream.schema(half.schema).parquet(f"{base}/events")
+        bursts.start_view(stream, f"{base}/view", f"{base}/checkpoint", drain=True).awaitTermination()
+    return _view_columns(bursts.current_view(spark, f"{base}/view"))
+
+
 @query
 def running_view(spark, folder):
-    view = changes.running_view(_changes(spark, folder))
+    return _view_columns(changes.running_view(_changes(spark, folder)))
+
+
+def _view_columns(view: DataFrame) -> DataFrame:
     named = F.transform(
         "last_event.sensors", lambda s: F.concat_ws(" ", s["location"], s["sensorType"])
     )

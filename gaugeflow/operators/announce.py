@@ -83,6 +83,22 @@ def change_events(
     )
 
 
+def stored_events(stored: DataFrame, sensors: DataFrame, published_at: datetime) -> DataFrame:
+    """The events of a batch again, from its stored readings: ids follow the order of arrival."""
+    named = sensors.select(F.col("id").alias("sensor_id"), "name")
+    rows = stored.join(named, "sensor_id").select(
+        F.substring_index("ingest_batch", "/", -1).alias("announcement"),
+        "name",
+        "sensor_type",
+        "collected_at",
+        F.lit("").alias("topic"),
+        F.lit(0).alias("partition"),
+        F.col("id").alias("offset"),
+    )
+    inserted = rows.groupBy("announcement").agg(F.count("*").alias("reading_count"))
+    return change_events(rows, inserted, published_at)
+
+
 def event_value(events: DataFrame) -> DataFrame:
     """Change events as unkeyed JSON messages."""
     body = F.struct(

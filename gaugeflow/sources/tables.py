@@ -150,6 +150,14 @@ class Tables:
         """Write the rows of one batch; writing the batch again replaces them."""
         rows.write.mode("overwrite").parquet(f"{self.path(name)}/batch={batch}")
 
+    def claim_path(self, name: str) -> str:
+        """The file that whoever gives out keys of a table holds."""
+        return f"{self.root.rstrip('/')}/claims/{name}"
+
+    def outbox_path(self, batch: str = "") -> str:
+        """The mark of a batch whose events are not published yet, or the folder of all."""
+        return f"{self.root.rstrip('/')}/outbox/{batch}".rstrip("/")
+
     # --- what upkeep has merged ---------------------------------------------------------
 
     def _upkeep(self, name: str) -> str:

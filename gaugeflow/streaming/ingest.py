@@ -6,7 +6,8 @@ finds its sensors and readings stored, and announces the same event again. Nothi
 only in memory between steps: what a step needs from an earlier one is read back from the
 written table, so a lost executor costs a recomputation and never a result.
 
-One query writes a table at a time; the checkpoint keeps the feed's progress.
+The checkpoint keeps the feed's progress. Several queries may write the same tables if their
+feeds share no reading; sensors and ids are given out under a claim.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ from gaugeflow.operators.announce import number_spans
 from gaugeflow.operators.decode import decode_messages
 from gaugeflow.operators.metrics import metric_rows
 from gaugeflow.session import tune
+from gaugeflow.sources import folders
 from gaugeflow.sources.tables import Tables, day_column
 from gaugeflow.streaming.jobs import batch_name, start_batches, utc_now
 
@@ -80,6 +82,8 @@ class BatchReport:
     retries: int = 0
     stored: bool = True
     announced: int = 0
+    # Earlier batches whose events this one has published.
+    sent_later: int = 0
 
     @property
     def duplicates_skipped(self) -> int:
@@ -140,6 +144,7 @@ class Ingest:
             report.decoded = report.consumed - report.dead_letters
             if report.consumed == 0:
                 return report
+            report.sent_later = self._empty_outbox(tables, batch)
             if report.dead_letters:
                 self._quarantine(tables, decoded.filter(bad), batch, started)
             metrics = [
@@ -251,13 +256,7 @@ class Ingest:
         rows: int,
     ) -> None:
         """Append the sensors and readings the tables do not hold yet."""
-        known = tables.sensors()
-        unknown = catalogue.unknown_sensors(good, known)
-        expected = unknown.count()
-        if expected:
-            last = known.agg(F.max("id")).first()[0] or 0
-            tables.append_sensors(catalogue.number_sensors(unknown, last, expected))
-
+        self._create_sensors(tables, good)
         keyed = catalogue.with_sensor_id(good, tables.sensors()).withColumn(
             "collected_date", day_column(F.col("collected_at"))
         )
@@ -271,15 +270,32 @@ class Ingest:
         )
         tables.append_readings(numbered)
 
+    def _create_sensors(self, tables: Tables, good: DataFrame) -> None:
+        """Add the sensors that the catalogue lacks, one id per pair however many writers there are.
+
+        Only a batch with new sensors claims the catalogue. What it lacks is asked again under
+        the claim: another writer may have added the same ones meanwhile.
+        """
+        if catalogue.unknown_sensors(good, tables.sensors()).isEmpty():
+            return
+        with folders.exclusive(tables.spark, tables.claim_path("sensors")):
+            known = tables.sensors()
+            unknown = catalogue.unknown_sensors(good, known)
+            expected = unknown.count()
+            if expected:
+                last = known.agg(F.max("id")).first()[0] or 0
+                tables.append_sensors(catalogue.number_sensors(unknown, last, expected))
+
     def _reserve(self, tables: Tables, spans: DataFrame, batch: str) -> int:
         """Reserve ids for the batch before using them; an abandoned range stays unused."""
         width = spans.agg(F.sum("width")).first()[0]
-        first = tables.id_ranges().agg(F.max("next_id")).first()[0] or 1
-        row = tables.spark.range(1).select(
-            F.lit(first).cast("bigint").alias("first_id"),
-            F.lit(first + width).cast("bigint").alias("next_id"),
-        )
-        row.write.mode("append").parquet(f"{tables.path('id_ranges')}/batch={batch}")
+        with folders.exclusive(tables.spark, tables.claim_path("id_ranges")):
+            first = tables.id_ranges().agg(F.max("next_id")).first()[0] or 1
+            row = tables.spark.range(1).select(
+                F.lit(first).cast("bigint").alias("first_id"),
+                F.lit(first + width).cast("bigint").alias("next_id"),
+            )
+            row.write.mode("append").parquet(f"{tables.path('id_ranges')}/batch={batch}")
         return first
 
     def _stored_counts(self, tables: Tables, days: list[date], batch: str) -> DataFrame:
@@ -299,14 +315,18 @@ class Ingest:
         batch: str,
         report: BatchReport,
     ) -> None:
-        """Publish the change events; a failure here never fails the batch."""
+        """Publish the change events; a failure here never fails the batch.
+
+        A batch is in the outbox from before its events are written until they are published;
+        what a failure leaves there is sent by the next batch.
+        """
+        folders.mark(tables.spark, tables.outbox_path(batch))
         events = announce.event_value(
             announce.change_events(good, counts, self.clock())
         ).select("value")
         try:
             tables.put_batch("change_events", batch, events)
-            if self.publish:
-                self.publish(tables.batch_rows("change_events", batch).select("value"))
+            self._publish(tables, batch)
             report.announced = counts.filter(F.col("reading_count") > 0).count()
         except Exception as error:  # noqa: BLE001 - the rows are stored; only the signal is lost
             if is_stopped(error):
@@ -314,6 +334,35 @@ class Ingest:
             log.exception("Batch %s is stored, but its change events are not published.", batch)
             report.announced = 0
 
+    def _publish(self, tables: Tables, batch: str) -> None:
+        if self.publish:
+            self.publish(tables.batch_rows("change_events", batch).select("value"))
+        folders.delete(tables.spark, tables.outbox_path(batch))
+
+    def _empty_outbox(self, tables: Tables, batch: str) -> int:
+        """Send what earlier batches could not, oldest first; how many batches that were.
+
+        Events that could not even be written are made again from the stored readings. It stops
+        at the first that fails again, so that the order is kept.
+        """
+        sent = 0
+        for pending in folders.children(tables.spark, tables.outbox_path()):
+            if pending == batch:
+                continue
+            try:
+                if not folders.exists(tables.spark, f"{tables.path('change_events')}/batch={pending}"):
+                    stored = tables.readings().filter(F.col("ingest_batch").startswith(f"{pending}/"))
+                    events = announce.stored_events(stored, tables.sensors(), self.clock())
+                    tables.put_batch("change_events", pending, announce.event_value(events).select("value"))
+                self._publish(tables, pending)
+            except Exception as error:  # noqa: BLE001 - as in _announce
+                if is_stopped(error):
+                    raise
+                log.exception("Batch %s stays in the outbox.", pending)
+                break
+            sent += 1
+        return sent
+
     def _now_micros(self) -> int:
         return int(self.clock().timestamp() * 1_000_000)
 

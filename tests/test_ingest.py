@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from gaugeflow import vocab
 from gaugeflow.operators import announce, catalogue, dedup
 from gaugeflow.schemas import MESSAGES
+from gaugeflow.sources import folders
 from gaugeflow.sources import messages as feeds
 from gaugeflow.sources.messages import decode_changes
 from gaugeflow.sources.tables import Tables, rows_from_arrays
@@ -239,6 +240,75 @@ def test_a_new_checkpoint_replays_into_the_same_table(job, spark, feed, folder):
     assert decode_changes(job.tables.changes()).count() == 1
 
 
+# --- outbox and several writers -----------------------------------------------------------
+
+
+def test_a_failed_publish_is_sent_later_and_once(job, feed):
+    sent, broken = [], [True]
+
+    def publish(df):
+        if broken[0]:
+            raise ConnectionError("no broker")
+        sent.extend(decode_changes(df).select("reading_count", "newest_collected_at").collect())
+
+    job.publish = publish
+    first = job.run_batch(feed(energy(), motion()), "b0")
+    assert (first.inserted, first.announced, first.sent_later, sent) == (2, 0, 0, [])
+    still = job.run_batch(feed(energy(name="Hall")), "b1")
+    assert (still.announced, still.sent_later) == (0, 0)
+    broken[0] = False
+    third = job.run_batch(feed(energy(name="Attic")), "b2")
+    assert (third.announced, third.sent_later) == (1, 2)
+    assert [r.reading_count for r in sent] == [2, 1, 1]
+    fourth = job.run_batch(feed(energy(name="Cellar")), "b3")
+    assert fourth.sent_later == 0 and len(sent) == 4
+    assert decode_changes(job.tables.changes()).count() == 4
+
+
+def test_events_that_could_not_be_written_are_made_again(job, feed, monkeypatch):
+    put = Tables.put_batch
+
+    def broken(self, name, batch, rows):
+        if name == "change_events":
+            raise ConnectionError("store is away")
+        put(self, name, batch, rows)
+
+    monkeypatch.setattr(Tables, "put_batch", broken)
+    assert job.run_batch(feed(motion(), energy(), energy(name="Hall")), "b0").announced == 0
+    monkeypatch.undo()
+    assert job.run_batch(feed(energy(name="Attic")), "b1").sent_later == 1
+    rows = decode_changes(job.tables.changes().filter("batch = 'b0'")).collect()
+    assert [r.reading_count for r in rows] == [3]
+    assert [(s.location, s.sensorType) for s in rows[0].sensors] == [("Kitchen", "motion"), ("Kitchen", "energy"), ("Hall", "energy")]
+
+
+def test_two_writers_agree_on_new_sensors(job, feed):
+    from concurrent.futures import ThreadPoolExecutor
+
+    names = [f"room {n}" for n in range(6)]
+    feeds_of = [feed(*(energy(name=n, when=f"2026-09-0{day}T10:00:00+00:00") for n in names)) for day in (3, 4, 5)]
+    with ThreadPoolExecutor(3) as pool:
+        done = list(pool.map(lambda k: job.run_batch(feeds_of[k], f"w{k}"), range(3)))
+    assert [r.inserted for r in done] == [6, 6, 6]
+    sensors = job.tables.sensors().collect()
+    assert len({(s.name, s.sensor_type) for s in sensors}) == len({s.id for s in sensors}) == len(sensors) == 6
+    ids = [r.id for r in job.tables.readings().collect()]
+    assert len(set(ids)) == 18
+
+
+def test_a_claim_of_a_dead_holder_ends(spark, folder):
+    path = f"{folder}/claims/x"
+    with folders.exclusive(spark, path):
+        with pytest.raises(TimeoutError):
+            with folders.exclusive(spark, path, wait_s=0.3, pause_s=0.1):
+                pass
+        with folders.exclusive(spark, path, lease_s=0.0, pause_s=0.05):
+            pass
+    with folders.exclusive(spark, path):
+        pass
+    assert folders.children(spark, f"{folder}/claims") == []
+
+
 # --- failures ---------------------------------------------------------------------------
 
 
@@ -463,6 +533,34 @@ def test_stored_keys_are_skipped_with_and_without_broadcast(spark):
         assert dedup.without_stored(rows, held, keys).count() == 2
 
 
+def test_only_candidates_of_a_large_batch_are_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "BROADCAST_KEYS", 10)
+    key = "cast(id % 500 as int) AS sensor_id", "timestamp_micros(1777000000000000 + id * 1000000) AS collected_at"
+    held = spark.range(20_000).selectExpr(*key)
+    rows = spark.range(19_000, 23_000).selectExpr(*key)
+    fresh = dedup.without_stored(rows, held, 4000)
+    assert fresh.count() == 3000
+    assert sorted(fresh.collect()) == sorted(spark.range(20_000, 23_000).selectExpr(*key).collect())
+    passed = dedup.candidates(held, rows, 4000)
+    # All that are in the batch, and few others.
+    assert passed.join(rows, dedup.READING_KEY, "left_semi").count() == 1000
+    assert passed.count() < 1100
+    spread = held.withColumn("collected_at", F.timestamp_micros(1777019000000000 + F.xxhash64("sensor_id", "collected_at") % 1000))
+    assert dedup.candidates(spread, rows, 4000).count() < 1000
+    plan = fresh._jdf.queryExecution().executedPlan().toString()
+    # The filter's words are sent to where the stored keys lie, before anything of them moves.
+    assert "BroadcastHashJoin [_word" in plan
+
+
+def test_a_filter_that_is_full_loses_nothing(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "BROADCAST_KEYS", 0)
+    monkeypatch.setattr(dedup, "BLOOM_WORDS", 1)
+    key = "cast(id as int) AS sensor_id", "timestamp_micros(id) AS collected_at"
+    rows, held = spark.range(300).selectExpr(*key), spark.range(100, 400).selectExpr(*key)
+    assert dedup.without_stored(rows, held, 300).count() == 100
+    assert dedup.without_stored(rows.limit(0), held, 1).count() == 0
+
+
 def test_first_arrivals_are_cut_before_the_shuffle(spark, feed):
     plan = dedup.first_arrivals(feed("a"), ["key"])._jdf.queryExecution().toString()
     assert "WindowGroupLimit" in plan

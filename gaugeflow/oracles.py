@@ -512,6 +512,7 @@ ORACLES: dict[str, str] = {
         f"""SELECT name AS sensor_name, sensor_type, collected_at, {VALUES},
         row_number() OVER (ORDER BY "partition", "offset") AS arrival FROM f""",
     ),
+    "fed_stored": _with(MESSAGES, f"SELECT name AS sensor_name, sensor_type, collected_at, {VALUES} FROM f"),
     "ingest_dead_letters": _with(
         MESSAGES,
         """SELECT sensor_type || ':' || name AS key, CAST("offset" AS VARCHAR) AS source_offset,
@@ -662,6 +663,7 @@ ORACLES: dict[str, str] = {
 # The stored table answers as the readings it was written from.
 ORACLES |= {
     "stored_latest": ORACLES["latest_per_sensor"],
+    "kept_latest": ORACLES["latest_per_sensor"],
     "stored_latest_until": _with(
         READINGS,
         f"""SELECT {FLAT} FROM r WHERE sensor_type = 'air_quality'
@@ -671,6 +673,7 @@ ORACLES |= {
     "stored_page": ORACLES["readings_page"],
     "stored_after_upkeep": ORACLES["flat_readings"],
     "live_signals": ORACLES["refresh_signals"],
+    "relayed_changes": ORACLES["changes_since"],
     "live_view": ORACLES["running_view"],
     "stored_page_deep": _with(
         READINGS,

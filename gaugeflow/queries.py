@@ -28,13 +28,16 @@ from gaugeflow.operators import (
 from gaugeflow.operators.decode import decode_messages, split_decoded
 from gaugeflow.operators.readings import ReadingFilter
 from gaugeflow.plans.console import Console, ConsoleFilter
+from gaugeflow.plans.newest import KeptLatest
 from gaugeflow.plans.store import ReadingStore
 from gaugeflow.schemas import VALUE_COLUMNS
 from gaugeflow.session import scratch_dir, tune
 from gaugeflow.sources import messages, polls
+from gaugeflow.sources.feed import Closing, Feed
 from gaugeflow.sources.tables import Tables, day_column, rows_from_arrays
 from gaugeflow.streaming import bursts, changes
 from gaugeflow.streaming.ingest import Ingest
+from gaugeflow.streaming.relay import Relay
 from gaugeflow.streaming.upkeep import Upkeep
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -436,6 +439,26 @@ def stored_latest_until(spark, folder):
     return _nested(_stored(spark, folder).latest_where(sensor_type=vocab.AIR_QUALITY, end=END))
 
 
+@query
+def kept_latest(spark, folder):
+    """From the kept table, merged twice, with days not merged and readings that came late."""
+    tables = Tables(spark, scratch_dir(spark, "kept"))
+    kept = KeptLatest(tables)
+    tables.append_sensors(bridge.sensors(spark, folder))
+    rows = bridge.readings(spark, folder).withColumns(
+        {"collected_date": day_column(F.col("collected_at")), "ingest_batch": F.lit("stored")}
+    )
+    part = F.pmod(F.xxhash64("id"), F.lit(3))
+    for n, bound in enumerate((date(2024, 1, 10), date(2024, 1, 25), None)):
+        late = rows.filter(part == n).persist()
+        with kept.writing(dedup.touched_days(late.select("collected_date")), f"part-{n}"):
+            tables.append_readings(late)
+        late.unpersist()
+        if bound:
+            kept.merge(bound)
+    return kept.latest()
+
+
 @query
 def stored_page(spark, folder):
     return _stored(spark, folder).list_page(page=3, size=50).items
@@ -615,6 +638,21 @@ def ingest_stored(spark, folder):
     return rows.withColumn("arrival", F.row_number().over(Window.orderBy("id")).cast("bigint")).drop("id")
 
 
+@query
+def fed_stored(spark, folder):
+    """Readings of a feed with three partitions; its first half is sent twice, the job stopped between."""
+    base = scratch_dir(spark, "fed")
+    tables, feed = Tables(spark, f"{base}/tables"), Feed(spark, f"{base}/feed")
+    closing = Closing(messages.MAX_MESSAGES, linger_s=0.0, quiet_s=0.0)
+    sent = bridge.messages(spark, folder)
+    # One key is in one half, so its order is kept.
+    early = F.xxhash64("key") >= 0
+    for part in (sent.filter(early), sent):
+        feed.append(part.select("key", "value", "headers"))
+        Ingest(tables).start_feed(feed, f"{base}/checkpoint", closing, drain=True)
+    return readings.with_sensor(tables.readings(), tables.sensors()).drop("id")
+
+
 @query
 def ingest_dead_letters(spark, folder):
     letters = _ingested(spark, folder).dead_letters()
@@ -669,6 +707,32 @@ def changes_since(spark, folder):
     return messages.only_new(_changes(spark, folder), since).select("event_id", "published_at")
 
 
+@query
+def relayed_changes(spark, folder):
+    """What a relay pushes that starts at the end of a feed and reads on from there by offsets."""
+    base = scratch_dir(spark, "relayed")
+    feed = Feed(spark, f"{base}/feed", vocab.PERSISTED_TOPIC)
+    since = instants.normalize("2024-01-30T23:40:00+00:00")
+    late = messages.only_new(_changes(spark, folder), since).select("event_id")
+    sent = bridge.changes(spark, folder).withColumn("key", F.col("event_id").cast("string"))
+    feed.append(sent.join(late, "event_id", "left_anti"))
+    kept = "key binary, published_at timestamp"
+
+    def push(events: DataFrame) -> None:
+        events.select("key", "published_at").write.mode("append").parquet(f"{base}/pushed")
+
+    spark.createDataFrame([], kept).write.parquet(f"{base}/pushed")
+    closing = Closing(messages.MAX_MESSAGES, linger_s=0.0, quiet_s=0.0)
+    job = Relay(Tables(spark, f"{base}/tables"), push).start_feed(feed, closing)
+    try:
+        feed.append(sent.join(late, "event_id", "left_semi"))
+        job.processAllAvailable()
+    finally:
+        job.stop()
+    pushed = spark.read.schema(kept).parquet(f"{base}/pushed")
+    return pushed.select(F.col("key").cast("string").cast("bigint").alias("event_id"), "published_at")
+
+
 @query
 def refresh_signals(spark, folder):
     return changes.refresh_signals(_changes(spark, folder))

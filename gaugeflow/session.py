@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -41,6 +43,15 @@ def build_session(
     return tune(builder.getOrCreate())
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the Python workers this package, once a session."""
+    context, package = spark.sparkContext, Path(__file__).parent
+    if not any(name.startswith(f"{package.name}-") for name in context._python_includes or []):
+        # The driver hands the archive out to executors; nothing reads it from this folder.
+        archive = f"{tempfile.mkdtemp()}/{package.name}-{context.applicationId}"
+        context.addPyFile(shutil.make_archive(archive, "zip", package.parent, package.name))
+
+
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder for written tables that cut lineage.
 

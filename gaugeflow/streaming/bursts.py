@@ -19,6 +19,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from gaugeflow import vocab
 from gaugeflow.functions import instants
+from gaugeflow.session import ship
 from gaugeflow.streaming.changes import QUIET_MS
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -108,6 +109,7 @@ class LiveSignals:
 
     def start(self, events: DataFrame, drain: bool = False) -> StreamingQuery:
         """Run on events with published_at and reading_count."""
+        ship(self.spark)
         at = F.unix_micros("published_at")
         timed = events.withWatermark("published_at", self.late).select(
             "published_at",

@@ -35,10 +35,12 @@ from gaugeflow.operators import announce, catalogue, dedup
 from gaugeflow.operators.announce import number_spans
 from gaugeflow.operators.decode import decode_messages
 from gaugeflow.operators.metrics import metric_rows
+from gaugeflow.plans.newest import KeptLatest
 from gaugeflow.session import tune
 from gaugeflow.sources import folders
+from gaugeflow.sources.feed import Closing, Feed
 from gaugeflow.sources.tables import Tables, day_column
-from gaugeflow.streaming.jobs import batch_name, start_batches, utc_now
+from gaugeflow.streaming.jobs import batch_name, start_batches, start_spans, utc_now
 
 log = logging.getLogger(__name__)
 
@@ -118,6 +120,15 @@ class Ingest:
         """Run on a message stream; ``drain`` stops after what is there now."""
         return start_batches(messages, self.process, checkpoint, drain, linger)
 
+    def start_feed(
+        self, feed: Feed, checkpoint: str, closing: Closing | None = None, drain: bool = False
+    ) -> StreamingQuery:
+        """Run on a feed, in batches that close by count, linger or quiet.
+
+        ``drain`` returns when what is there now is stored.
+        """
+        return start_spans(feed.spans(closing), feed.handle(self.process), checkpoint, drain)
+
     def process(self, messages: DataFrame, batch_id: int) -> None:
         """Handle one micro-batch."""
         done = self.run_batch(messages, batch_name(messages, batch_id))
@@ -268,7 +279,8 @@ class Ingest:
             .withColumn("id", F.lit(first) + F.col("before") + F.col("offset") - F.col("low"))
             .withColumn("ingest_batch", F.concat_ws("/", F.lit(batch), "announcement"))
         )
-        tables.append_readings(numbered)
+        with KeptLatest(tables).writing(days, batch):
+            tables.append_readings(numbered)
 
     def _create_sensors(self, tables: Tables, good: DataFrame) -> None:
         """Add the sensors that the catalogue lacks, one id per pair however many writers there are.

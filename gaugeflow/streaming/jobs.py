@@ -24,6 +24,25 @@ def start_batches(
     return writer.trigger(**trigger).start()
 
 
+def start_spans(
+    spans: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str | None, drain: bool = False
+) -> StreamingQuery:
+    """Run a handler per closed batch of a feed, as soon as it closes.
+
+    The feed's planner decides when; ``drain`` stops when no message waits any more.
+    """
+    writer = spans.writeStream.foreachBatch(handle)
+    if checkpoint is not None:
+        writer = writer.option("checkpointLocation", checkpoint)
+    query = writer.trigger(processingTime="0 seconds").start()
+    if drain:
+        try:
+            query.processAllAvailable()
+        finally:
+            query.stop()
+    return query
+
+
 def batch_name(batch: DataFrame, batch_id: int) -> str:
     """A name that stays the same when the query replays the batch, and is no other's."""
     query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")

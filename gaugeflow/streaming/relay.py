@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
@@ -13,18 +14,21 @@ from pyspark.sql.streaming import StreamingQuery
 from gaugeflow import vocab
 from gaugeflow.functions import instants
 from gaugeflow.operators.metrics import metric_rows
-from gaugeflow.session import tune
+from gaugeflow.session import scratch_dir, tune
+from gaugeflow.sources import folders
+from gaugeflow.sources.feed import Closing, Feed
 from gaugeflow.sources.messages import decode_changes, only_new
 from gaugeflow.sources.tables import Tables
-from gaugeflow.streaming.jobs import batch_name, start_batches, utc_now
+from gaugeflow.streaming.jobs import batch_name, start_batches, start_spans, utc_now
 
 
 @dataclass
 class Relay:
     """The relaying job: decode, drop what is no event, hand the rest to ``push``.
 
-    Events are signals. A backlog is skipped - Kafka feeds start at the latest offset, and
-    ``since`` cuts landed files - and nothing is quarantined or retried.
+    Events are signals. A backlog is skipped - Kafka feeds start at the latest offset, feeds of
+    files at their end (``start_feed``), and ``since`` cuts landed files - and nothing is
+    quarantined or retried.
     """
 
     tables: Tables
@@ -35,6 +39,49 @@ class Relay:
     def start(self, messages: DataFrame, checkpoint: str, drain: bool = False) -> StreamingQuery:
         return start_batches(messages, self.process, checkpoint, drain)
 
+    def start_feed(self, feed: Feed, closing: Closing | None = None) -> StreamingQuery:
+        """Run on a feed from its end on, by offsets: what came before is neither read nor pushed.
+
+        How far the relay has got is kept as one mark per partition. What lies between a mark
+        and the end the relay starts from came while it was away; it is counted as skipped.
+        Progress of an earlier run is not taken up, so each start has a checkpoint of its own.
+        """
+        last = feed.last_entry()
+        heads = feed.heads(last)
+        self._count_skipped(feed, heads)
+        self._mark(feed, heads)
+        handle = feed.handle(
+            self.process, lambda spans: self._mark(feed, {r["partition"]: r["until"] for r in spans})
+        )
+        return start_spans(feed.spans(closing, after=last), handle, scratch_dir(feed.spark, "relay"))
+
+    def marks(self, feed: Feed) -> dict[int, int]:
+        """The offset after the last event that was pushed or skipped, per partition."""
+        spark, root = self.tables.spark, self._marks_path(feed)
+        found = {int(p): folders.children(spark, f"{root}/{p}") for p in folders.children(spark, root)}
+        return {p: max(map(int, names)) for p, names in found.items() if names}
+
+    def _marks_path(self, feed: Feed) -> str:
+        return f"{self.tables.root.rstrip('/')}/relayed/{feed.topic}"
+
+    def _mark(self, feed: Feed, heads: dict[int, int]) -> None:
+        # A mark is a file named by its offset: the new one is there before the old ones go.
+        spark, root = self.tables.spark, self._marks_path(feed)
+        for partition, head in heads.items():
+            folders.mark(spark, f"{root}/{partition}/{head:020d}")
+            for name in folders.children(spark, f"{root}/{partition}"):
+                if int(name) < head:
+                    folders.delete(spark, f"{root}/{partition}/{name}")
+
+    def _count_skipped(self, feed: Feed, heads: dict[int, int]) -> None:
+        gaps = {p: heads.get(p, mark) - mark for p, mark in self.marks(feed).items()}
+        counts = [
+            (vocab.EVENTS_SKIPPED, {"partition": str(p)}, n) for p, n in sorted(gaps.items()) if n > 0
+        ]
+        if counts:
+            name = f"relay-gap-{uuid.uuid4().hex}"
+            self.tables.put_batch("metrics", name, metric_rows(self.tables.spark, counts, self.clock()))
+
     def process(self, messages: DataFrame, batch_id: int) -> None:
         self.run_batch(messages, batch_name(messages, batch_id))
 

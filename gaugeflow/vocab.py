@@ -125,6 +125,7 @@ POLL_DURATION = "produce.poll_duration"
 EVENTS_CONSUMED = "relay.events_consumed"
 EVENT_LAG = "relay.event_lag"
 EVENTS_PUSHED = "relay.events_pushed"
+EVENTS_SKIPPED = "relay.events_skipped"
 
 
 def metric(name: str) -> Metric:

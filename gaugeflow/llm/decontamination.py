@@ -13,9 +13,14 @@ goes to all executors and the documents are read once for it, so neither memory
 broadcast grows with the benchmark. An item shorter than a window has seeds of as many
 consecutive tokens as its allowed substitutions must leave somewhere.
 
-Null texts are empty and match nothing. Documents are told apart by their place, so null or
-repeated doc_ids each give their own rows; repeated item_ids give one row, the best. Further
-columns are not read.
+Items of fewer than ``least`` tokens are left out; a common word would mark every document.
+
+Null texts are empty and match nothing; an empty benchmark matches nothing and keeps every
+document. Documents are told apart by their place, so null or repeated doc_ids each give their own
+rows; repeated item_ids give one row, the best, and of ties in tokens covered the one with more equal
+ones. Ids are of any type. Long texts are searched whole, in chunks; where a text and an item
+repeat one token, time grows with the length of the text times that of the item and memory stays
+bounded. Further columns are not read.
 """
 
 from __future__ import annotations
@@ -27,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .arrowtext import BASE, binary, mixed, powers, ragged
 from .tables import keyed, ready
@@ -35,6 +41,10 @@ from .tokens import alphabet, batches_of_hashes, folded
 WINDOW, SHARE, BLOCK_TOKENS = 13, 0.8, 400_000
 MASKS = ("1101111", "111100001001")
 CHUNK = 1 << 19
+# Token pairs that are held at a time.
+PAIRS = 1 << 21
+# Shorter items are not searched for by the query and the pipeline: any text may hold them.
+LEAST = 5
 
 
 def seed_hashes(tokens: np.ndarray, mask: str) -> np.ndarray:
@@ -49,6 +59,16 @@ def seed_hashes(tokens: np.ndarray, mask: str) -> np.ndarray:
     return mixed(out + np.uint64(int(mask, 2)))
 
 
+def bounded(sizes: np.ndarray, most: int) -> Iterator[slice]:
+    """Consecutive parts whose sizes add up to ``most`` at most, or of one."""
+    total = np.append(0, np.cumsum(sizes))
+    low = 0
+    while low < len(sizes):
+        high = max(int(np.searchsorted(total, total[low] + most, "right")) - 1, low + 1)
+        yield slice(low, high)
+        low = high
+
+
 class Items:
     """A block of benchmark items and its seeds, sorted, with an exact-size filter before."""
 
@@ -72,32 +92,41 @@ class Items:
             self.seeds.append((mask, seeds[order], item, (at - np.repeat(self.starts, size))[order], maybe))
 
     def hits(self, tokens: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct (text, item, place of the item's first token) that seeds suggest."""
+        """Distinct (text, item, place of the item's first token) that seeds suggest.
+
+        Of a text and an item that repeat a token, all pairs of places suggest few alignments:
+        they are made a bounded number at a time and kept as one number per alignment.
+        """
+        before = int(self.counts.max(initial=0))
+        width = len(tokens) + before + 1
         found = []
         for low in range(0, len(tokens), CHUNK):
             for mask, seeds, item, offset, maybe in self.seeds:
                 here = seed_hashes(tokens[low : low + CHUNK + len(mask) - 1], mask)
                 at = np.flatnonzero(maybe[here >> np.uint64(42)])
-                here = here[at]
-                first, last = np.searchsorted(seeds, here), np.searchsorted(seeds, here, "right")
-                n = last - first
-                at = np.repeat(at + low, n)
-                k = ragged(first, n)
-                text = np.searchsorted(ends, at, "right")
-                inside = at + len(mask) <= ends[np.minimum(text, len(ends) - 1)]
-                at, k, text = at[inside], k[inside], text[inside]
-                found.append(np.unique(np.column_stack([text, item[k], at - offset[k]]), axis=0))
-        every = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 3), np.int64)
-        return every[:, 0], every[:, 1], every[:, 2]
+                here, at = here[at], at + low
+                text = np.minimum(np.searchsorted(ends, at, "right"), len(ends) - 1)
+                inside = at + len(mask) <= ends[text]
+                here, at, text = here[inside], at[inside], text[inside]
+                first = np.searchsorted(seeds, here)
+                n = np.searchsorted(seeds, here, "right") - first
+                for part in bounded(n, PAIRS):
+                    k = ragged(first[part], n[part])
+                    line = np.repeat(text[part], n[part]) * len(self.counts) + item[k]
+                    place = np.repeat(at[part], n[part]) - offset[k] + before
+                    found.append(np.unique(line * width + place))
+        every = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
+        line, place = np.divmod(every, width)
+        text, item = np.divmod(line, max(len(self.counts), 1))
+        return text, item, place - before
 
     def overlaps(self, tokens: np.ndarray, counts: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         """(text, item, tokens covered by overlaps, equal ones among them), best per pair."""
         ends = np.cumsum(counts)
         starts = ends - counts
         text, item, place = self.hits(tokens, ends)
-        # A bounded number of alignments at a time.
-        for low in range(0, len(text), 20_000):
-            part = slice(low, low + 20_000)
+        # A bounded number of token pairs at a time, one alignment at least.
+        for part in bounded(self.counts[item], PAIRS):
             yield self._verified(tokens, starts, ends, text[part], item[part], place[part])
 
     def _verified(self, tokens, starts, ends, text, item, place):
@@ -125,7 +154,7 @@ class Items:
         return text[keep], item[keep], n[keep], same[keep]
 
 
-def item_blocks(benchmark: DataFrame, limit: int = BLOCK_TOKENS) -> Iterator[Items]:
+def item_blocks(benchmark: DataFrame, limit: int = BLOCK_TOKENS, least: int = 1) -> Iterator[Items]:
     """The benchmark's items, so many tokens at a time; the driver holds one block."""
     ready(benchmark.sparkSession)
     letters = alphabet(digits=True)
@@ -146,7 +175,7 @@ def item_blocks(benchmark: DataFrame, limit: int = BLOCK_TOKENS) -> Iterator[Ite
 
     for r in rows.toLocalIterator():
         found = np.frombuffer(r.tokens, np.uint64)
-        if not len(found):
+        if len(found) < max(least, 1):
             continue
         if ids and total + len(found) > limit:
             yield block()
@@ -158,7 +187,9 @@ def item_blocks(benchmark: DataFrame, limit: int = BLOCK_TOKENS) -> Iterator[Ite
         yield block()
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, limit: int = BLOCK_TOKENS) -> DataFrame:
+def overlaps(
+    docs: DataFrame, benchmark: DataFrame, limit: int = BLOCK_TOKENS, least: int = 1
+) -> DataFrame:
     """row, doc_id, item_id, n_overlap (tokens covered), n_equal, item_tokens."""
     spark = docs.sparkSession
     ready(spark)
@@ -166,12 +197,13 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, limit: int = BLOCK_TOKENS) -
     rows = keyed(docs, "doc_id", folded("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     item_kind = benchmark.schema["item_id"].dataType
+    item_arrow = to_arrow_type(item_kind)
     schema = (
         f"row long, doc_id {kind}, item_id {item_kind.simpleString()}, "
         "n_overlap long, n_equal long, item_tokens long"
     )
     out = spark.createDataFrame([], schema)
-    for block in item_blocks(benchmark, limit):
+    for block in item_blocks(benchmark, limit, least):
         shared = spark.sparkContext.broadcast(block)
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -183,7 +215,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, limit: int = BLOCK_TOKENS) -
                     yield pa.RecordBatch.from_arrays(
                         [
                             batch.column("row").take(at), batch.column("doc_id").take(at),
-                            pa.array(ids, pa.int64()), pa.array(n), pa.array(same),
+                            pa.array(ids, item_arrow), pa.array(n), pa.array(same),
                             pa.array(items.counts[item]),
                         ],
                         ["row", "doc_id", "item_id", "n_overlap", "n_equal", "item_tokens"],
@@ -194,7 +226,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, limit: int = BLOCK_TOKENS) -
     return out.groupBy("row", "doc_id", "item_id").agg(best).select("row", "doc_id", "item_id", "best.*")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, limit: int = BLOCK_TOKENS) -> DataFrame:
+def clean(
+    docs: DataFrame, benchmark: DataFrame, limit: int = BLOCK_TOKENS, least: int = 1
+) -> DataFrame:
     """The documents, with all their columns, that overlap with no item."""
     spark = docs.sparkSession
     ready(spark)
@@ -204,7 +238,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, limit: int = BLOCK_TOKENS) -> D
         name += "_"
     out = docs.withColumn(name, folded("text"))
     schema = out.schema
-    for block in item_blocks(benchmark, limit):
+    for block in item_blocks(benchmark, limit, least):
         shared = spark.sparkContext.broadcast(block)
 
         def kept(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

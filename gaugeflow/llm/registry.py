@@ -66,7 +66,7 @@ def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
 def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontamination.overlaps(
-        table(spark, folder, "documents"), table(spark, folder, "benchmark")
+        table(spark, folder, "documents"), table(spark, folder, "benchmark"), least=decontamination.LEAST
     )
     return found.drop("row")
 

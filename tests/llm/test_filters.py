@@ -1,6 +1,7 @@
 """Toxicity, decontamination, the pipeline and the registry."""
 
 import random
+import time
 from itertools import combinations
 
 import corpus_pipeline
@@ -198,3 +199,25 @@ def test_pipeline_of_awkward_rows(spark, awkward, nothing, stored):
             columns = docs.columns
             docs = corpus_pipeline.written(stage(spark, docs, folder), f"test-{name}")
             assert docs.columns == columns or name == "pieces"
+
+
+def test_decontamination_with_text_ids_repeated_words_and_short_items(spark, stored):
+    word = "ha " * 100_000
+    texts = [("a", word), ("b", "nothing of that kind in here"), ("c", "ha ho " * 3_000), (None, "the ha")]
+    stored("documents", texts, "doc_id string, text string")
+    folder = stored("benchmark", [("x", "ha " * 400), ("y", "the"), ("z", "ha ho " * 20)], "item_id string, text string")
+    docs, bench = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "benchmark"))
+    started = time.monotonic()
+    got = {(r.doc_id, r.item_id): (r.n_overlap, r.n_equal) for r in decontamination.overlaps(docs, bench, least=5).collect()}
+    assert got == {("a", "x"): (400, 400), ("c", "z"): (40, 40)}
+    assert time.monotonic() - started < 60
+    assert {r.doc_id for r in decontamination.clean(docs, bench, least=5).collect()} == {"b", None}
+    assert {r.doc_id for r in decontamination.clean(docs, bench.filter("item_id = 'y'")).collect()} == {"a", "b", "c"}
+
+
+def test_parts_are_bounded_and_whole():
+    sizes = np.array([3, 0, 5, 9, 1, 1, 2])
+    parts = list(decontamination.bounded(sizes, 6))
+    assert [i for p in parts for i in range(len(sizes))[p]] == list(range(len(sizes)))
+    assert all(sizes[p].sum() <= 6 or p.stop - p.start == 1 for p in parts)
+    assert list(decontamination.bounded(sizes[:0], 6)) == []

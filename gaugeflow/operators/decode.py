@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +27,15 @@ _PAYLOAD_FIELDS = {
     "motion_detected": "motionDetected",
 }
 
+# How each value column is read from a variant.
+_TYPED = {
+    "co2": jsontext.int_of,
+    "pm25": jsontext.int_of,
+    "humidity": jsontext.int_of,
+    "energy_kwh": jsontext.double_of,
+    "motion_detected": jsontext.bool_of,
+}
+
 DECODED_COLUMNS = [
     "name",
     "sensor_type",
@@ -47,21 +58,16 @@ def decode_messages(messages: DataFrame, value: str = "value") -> DataFrame:
 
     Decoding is narrow, a few expressions per row. A message spelt as producers spell it is
     read in one typed parse; only one that does not pass there is looked at member by
-    member, for its reason or its unusual but valid spelling. ``inline`` keeps Spark from
-    repeating the work in later filters.
+    member, for its reason or its unusual but valid spelling. That close reading is the last
+    branch of one expression, so ordinary messages pay nothing for it. ``inline`` keeps Spark
+    from repeating the work in later filters.
     """
     staged = _read_plain(messages.withColumn("_text", F.col(value).cast("string")))
-    staged = _read_closely(staged)
-    plain = F.col("_plain")
-    result = F.struct(
-        *[
-            F.when(plain, F.col(f"_p.{field}"))
-            .when(F.col("_error").isNull(), F.col(f"_c.{field}"))
-            .alias(field)
-            for field in DECODED_COLUMNS[:-1]
-        ],
-        F.col("_error").alias("error_detail"),
+    plain = F.struct(
+        *[F.col(f"_p.{field}").alias(field) for field in DECODED_COLUMNS[:-1]],
+        F.lit(None).cast("string").alias("error_detail"),
     )
+    result = F.when(F.col("_plain"), plain).otherwise(_read_closely(F.col("_text")))
     return staged.select(*messages.columns, F.inline(F.array(result)))
 
 
@@ -111,35 +117,48 @@ def _read_plain(df: DataFrame) -> DataFrame:
     ).drop("_parsed", "_whole", "_name", "_type", "_at", "_values")
 
 
-def _read_closely(df: DataFrame) -> DataFrame:
-    """Member-by-member reading of the rows still open: ``_c`` and ``_error``."""
-    text, open_row = F.col("_text"), ~F.col("_plain")
-    whole = jsontext.parse_document(text, "map<string,variant>")
-    df = df.withColumn("_doc", F.when(open_row & F.is_valid_utf8(text), whole))
-    doc = F.col("_doc")
-    df = df.withColumns(
-        {
-            f"_{name}": F.when(doc.isNotNull(), jsontext.member(doc, name))
-            for name in ("name", "type", "payload", "collectedAt")
+def _read_closely(text: Column) -> Column:
+    """A message read member by member: a reading or an ``error_detail``."""
+
+    def whole(parsed: Column) -> Column:
+        return F.when(jsontext.is_whole(parsed, text), parsed["body"])
+
+    def members(doc: Column) -> Column:
+        names = ("name", "type", "payload", "collectedAt")
+        return F.struct(
+            doc.isNotNull().alias("found"), *[jsontext.member(doc, name).alias(name) for name in names]
+        )
+
+    def reading(m: Column) -> Column:
+        kind = jsontext.string_of(m["type"])
+        fields = {
+            c: read(jsontext.exact_member(m["payload"], _PAYLOAD_FIELDS[c]))
+            for c, read in _TYPED.items()
         }
+        at = F.when(m["collectedAt"].isNull(), instants.instant(_NO_INSTANT)).otherwise(
+            instants.parse_wire_instant(jsontext.string_of(m["collectedAt"]))
+        )
+        return _reading(jsontext.string_of(m["name"]), kind, at, fields)
+
+    def settled(m: Column, c: Column) -> Column:
+        return _bound(
+            _first_failure(text, m, c),
+            lambda error: F.struct(
+                *[F.when(error.isNull(), c[field]).alias(field) for field in DECODED_COLUMNS[:-1]],
+                error.alias("error_detail"),
+            ),
+        )
+
+    parsed = jsontext.parse_marked(text, "map<string,variant>")
+    return _bound(
+        _bound(F.when(F.is_valid_utf8(text), parsed), whole),
+        lambda doc: _bound(members(doc), lambda m: _bound(reading(m), lambda c: settled(m, c))),
     )
-    payload, kind = F.col("_payload"), jsontext.string_of(F.col("_type"))
-    typed = {
-        "co2": jsontext.int_of,
-        "pm25": jsontext.int_of,
-        "humidity": jsontext.int_of,
-        "energy_kwh": jsontext.double_of,
-        "motion_detected": jsontext.bool_of,
-    }
-    fields = {
-        c: read(jsontext.exact_member(payload, _PAYLOAD_FIELDS[c])) for c, read in typed.items()
-    }
-    at = F.when(F.col("_collectedAt").isNull(), instants.instant(_NO_INSTANT)).otherwise(
-        instants.parse_wire_instant(jsontext.string_of(F.col("_collectedAt")))
-    )
-    close = _reading(jsontext.string_of(F.col("_name")), kind, at, fields)
-    df = df.withColumns({"_c": F.when(doc.isNotNull(), close), "_kind": kind})
-    return df.withColumn("_error", F.when(open_row, _first_failure()))
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, and only where the result is asked for."""
+    return F.transform(F.array(value), use)[0]
 
 
 def _reading(name: Column, kind: Column, at: Column, fields: dict[str, Column]) -> Column:
@@ -153,26 +172,26 @@ def _reading(name: Column, kind: Column, at: Column, fields: dict[str, Column])
     )
 
 
-def _first_failure() -> Column:
-    text, kind = F.col("_text"), F.col("_kind")
-    payload_kind = jsontext.json_kind(F.col("_payload"))
+def _first_failure(text: Column, m: Column, c: Column) -> Column:
+    """The reason why members ``m``, read as ``c``, are no reading; NULL if they are one."""
+    kind, payload_kind = c["sensor_type"], jsontext.json_kind(m["payload"])
     # A member of the wrong JSON type is a parse failure, whatever the other members say.
     mistyped = (
-        ~jsontext.is_string_or_null(F.col("_name"))
-        | ~jsontext.is_string_or_null(F.col("_type"))
-        | F.col("_c.collected_at").isNull()
+        ~jsontext.is_string_or_null(m["name"])
+        | ~jsontext.is_string_or_null(m["type"])
+        | c["collected_at"].isNull()
     )
     return (
         F.when(text.isNull() | (text == ""), vocab.BODY_EMPTY)
         .when(F.btrim(text, F.lit(jsontext.BLANKS)) == "null", vocab.BODY_NULL)
-        .when(F.col("_doc").isNull() | mistyped, vocab.BODY_NOT_JSON)
-        .when(_is_blank(F.col("_c.name")), vocab.NO_NAME)
+        .when(~m["found"] | mistyped, vocab.BODY_NOT_JSON)
+        .when(_is_blank(c["name"]), vocab.NO_NAME)
         .when(
             ~labels.is_sensor_type(kind),
             F.format_string(vocab.UNKNOWN_TYPE, F.coalesce(kind, F.lit(""))),
         )
         .when(payload_kind != "Object", F.format_string(vocab.PAYLOAD_KIND, payload_kind))
-        .otherwise(_missing_fields(kind, {c: F.col(f"_c.{c}") for c in _PAYLOAD_FIELDS}))
+        .otherwise(_missing_fields(kind, {column: c[column] for column in _PAYLOAD_FIELDS}))
     )
 
 

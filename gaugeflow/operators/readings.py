@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 from dataclasses import dataclass
 from datetime import date, datetime
 
@@ -17,6 +18,8 @@ _LOOK_BACK_DAYS = (2, 16, 128)
 # Up to this many silent sensors are sent to every task that scans older days.
 _BROADCAST_SENSORS = 200_000
 
+_FOLDER_NAMES = threading.Lock()
+
 
 @dataclass(frozen=True)
 class ReadingFilter:
@@ -72,13 +75,15 @@ def stored_days(readings: DataFrame, where: ReadingFilter | None = None) -> list
     if where is not None:
         days = _on_days(days, where.start, where.end)
     conf, name = readings.sparkSession.conf, "spark.sql.optimizer.metadataOnly"
-    before = conf.get(name, "false")
-    conf.set(name, "true")
-    try:
-        # One row per day.
-        return sorted(r[0] for r in days.distinct().collect() if r[0] is not None)
-    finally:
-        conf.set(name, before)
+    # The setting is the session's: one thread at a time changes it and puts it back.
+    with _FOLDER_NAMES:
+        before = conf.get(name, "false")
+        conf.set(name, "true")
+        try:
+            # One row per day.
+            return sorted(r[0] for r in days.distinct().collect() if r[0] is not None)
+        finally:
+            conf.set(name, before)
 
 
 def _on_days(readings: DataFrame, start: datetime | None, end: datetime | None) -> DataFrame:

@@ -635,7 +635,23 @@ def ingest_stored(spark, folder):
     tables = _ingested(spark, folder)
     rows = readings.with_sensor(tables.readings(), tables.sensors())
     # Ids leave gaps; their order is the order of arrival.
-    return rows.withColumn("arrival", F.row_number().over(Window.orderBy("id")).cast("bigint")).drop("id")
+    return rows.join(_arrivals(rows), "id").drop("id")
+
+
+def _arrivals(rows: DataFrame) -> DataFrame:
+    """Place of every id in the order of ids: inside its million ids, after a running total."""
+    grouped = rows.select("id", F.shiftright("id", 20).alias("million"))
+    # One row per million ids.
+    sizes = grouped.groupBy("million").agg(F.count("*").alias("size"))
+    before = sizes.select(
+        "million", (F.sum("size").over(Window.orderBy("million")) - F.col("size")).alias("before")
+    )
+    place = F.row_number().over(Window.partitionBy("million").orderBy("id"))
+    return (
+        grouped.withColumn("place", place)
+        .join(before, "million")
+        .select("id", (F.col("before") + F.col("place")).cast("bigint").alias("arrival"))
+    )
 
 
 @query

@@ -26,12 +26,16 @@ def kafka_stream(
     topic: str = vocab.READINGS_TOPIC,
     from_latest: bool = False,
     max_messages: int | None = MAX_MESSAGES,
+    least: int | None = vocab.BATCH_MESSAGES,
+    linger: str = vocab.BATCH_LINGER,
     **options: str,
 ) -> DataFrame:
     """Messages of a topic, from its earliest offset or from now on.
 
-    ``max_messages`` caps one micro-batch, so that a backlog is read in pieces. Give
-    ``minPartitions`` to spread a topic with few partitions over more tasks.
+    A micro-batch starts when ``least`` messages wait or ``linger`` has passed since the last
+    one. ``max_messages`` caps it, so that a backlog is read in pieces. Give ``minPartitions``
+    to spread a topic with few partitions over more tasks. A job that drains the topic and
+    stops gives ``least=None``; otherwise fewer than ``least`` may wait for its next run.
     """
     reader = (
         spark.readStream.format("kafka")
@@ -43,6 +47,8 @@ def kafka_stream(
     )
     if max_messages:
         reader = reader.option("maxOffsetsPerTrigger", str(max_messages))
+    if least:
+        reader = reader.option("minOffsetsPerTrigger", str(least)).option("maxTriggerDelay", linger)
     return reader.load().select(*[f.name for f in MESSAGES])
 
 

@@ -159,3 +159,10 @@ def test_only_stored_spellings_are_types(spark):
     df = spark.createDataFrame([(n,) for n in names], "n string")
     known = [r[0] for r in df.select(labels.is_sensor_type(F.col("n"))).collect()]
     assert known == [True] * 3 + [False] * 6
+
+
+def test_ordinary_messages_are_not_read_closely(spark, feed):
+    """The close reading is a branch of one expression, not a column of every row."""
+    plan = decode_messages(feed(wire("energy", "A", '{"energy":1}')))._jdf.queryExecution().optimizedPlan()
+    close = [n for n in plan.toString().split("\n") if "variant>" in n or "map_entries" in n]
+    assert len(close) == 1 and close[0].lstrip(" +-:").startswith("Generate")

@@ -150,7 +150,9 @@ def test_kafka_options_reach_the_reader():
     first = seen(minPartitions="64")
     assert first["startingOffsets"] == "earliest" and first["maxOffsetsPerTrigger"] == "5000000"
     assert first["includeHeaders"] == "true" and first["minPartitions"] == "64"
-    assert seen(from_latest=True, max_messages=None)["startingOffsets"] == "latest"
+    assert first["minOffsetsPerTrigger"] == "500" and first["maxTriggerDelay"] == "2 seconds"
+    bare = seen(from_latest=True, max_messages=None, least=None)
+    assert bare["startingOffsets"] == "latest" and bare.keys().isdisjoint({"maxTriggerDelay", "minOffsetsPerTrigger"})
 
 
 def test_stored_instants_have_statistics(spark, folder, feed):

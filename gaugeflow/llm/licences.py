@@ -1,14 +1,20 @@
 """Licence notices found by the Dice coefficient over word bigrams.
 
-Texts are lower-cased and everything but letters, digits and line ends becomes a space. Each
-line, each paragraph of several lines and each whole document of several paragraphs is a unit.
-A unit matches a template if twice the number of distinct word bigrams they share is at least
-``THRESHOLD`` times the sum of their distinct bigrams. That needs sizes that differ by a
-bounded factor: units too short or too long for every template go before their bigrams are
-made, and a bigram meets only the templates whose size bounds admit its unit.
-
-Null and empty texts have no units. Rows are told apart by their place, so null or repeated
-doc_ids and repeated rows each give their own result; further columns are not read.
+Texts are lower-cased and everything but letters and digits becomes a space. A span of
+consecutive words matches a template if twice the number of distinct word bigrams they share is
+at least ``THRESHOLD`` times the sum of their distinct bigrams; a notice is found wherever it
+stands, whatever surrounds it on its line. That needs sizes that differ by a bounded factor: a
+span has at most ``most`` bigrams of a template's size times that factor, and a stretch of twice
+as many is looked at only if enough different bigrams of the template occur in it.
+
+Of the spans of a template whose starts are no further apart than its size the best stays (of
+equal ones the first).
+Spans that overlap make a place, and a place has the licences of its highest coefficient, ties
+all.
+
+Null and empty texts have no spans; an empty table gives no rows. Long texts are compared whole.
+Rows are told apart by their place, so null or repeated doc_ids and repeated rows each give their
+own result; further columns are not read.
 """
 
 from __future__ import annotations
@@ -16,11 +22,11 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .quality import bound
-from .tables import keyed
+from .tables import keyed, written
 
 THRESHOLD = 0.8
 
@@ -96,112 +102,170 @@ def size_bounds(size: int, threshold: float) -> tuple[float, float]:
 
 
 def template_rows(templates: Mapping[str, list[str]], threshold: float) -> list[tuple]:
+    """kind, licence, size, fewest shared bigrams, most bigrams of a span, bigram."""
     rows = []
-    for licence, texts in templates.items():
-        for number, text in enumerate(texts):
-            grams = bigrams(text)
-            low, high = size_bounds(len(grams), threshold)
-            rows += [(licence, number, len(grams), low, high, gram) for gram in sorted(grams)]
+    texts = [(licence, text) for licence, some in templates.items() for text in some]
+    for kind, (licence, text) in enumerate(texts):
+        grams = bigrams(text)
+        low, high = size_bounds(len(grams), threshold)
+        rows += [(kind, licence, len(grams), low, int(high), gram) for gram in sorted(grams)]
     return rows
 
 
-def matches(
+def pairs_of(words: Column) -> Column:
+    """The bigrams of an array of words, in order."""
+    return F.transform(
+        F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))),
+        lambda w, i: F.concat(w, F.lit(" "), F.get(words, i + 1)),
+    )
+
+
+def best_span(pairs: Column, known: Column, size: Column) -> Column:
+    """dice and length of the best span that starts with the first of the pairs, shortest of ties."""
+    seen = F.transform(
+        pairs,
+        lambda x, i: F.struct(
+            (F.array_position(pairs, x) == i + 1).alias("fresh"), F.array_contains(known, x).alias("shared")
+        ),
+    )
+
+    def longer(acc: Column, x: Column) -> Column:
+        own = acc.own + F.when(x.fresh, 1).otherwise(0)
+        common = acc.common + F.when(x.fresh & x.shared, 1).otherwise(0)
+        dice = F.lit(2.0) * common / (own + size)
+        better = dice > acc.dice
+        return F.struct(
+            own.alias("own"),
+            common.alias("common"),
+            (acc.n + 1).alias("n"),
+            F.when(better, dice).otherwise(acc.dice).alias("dice"),
+            F.when(better, acc.n + 1).otherwise(acc.length).alias("length"),
+        )
+
+    zero = [F.lit(0).alias(n) for n in ("own", "common", "n")]
+    start = F.struct(*zero, F.lit(0.0).alias("dice"), F.lit(0).alias("length"))
+    return F.aggregate(seen, start, longer, lambda acc: F.struct(acc.dice.alias("dice"), acc.length.alias("length")))
+
+
+def spans(
     docs: DataFrame,
     templates: Mapping[str, list[str]] = TEMPLATES,
     threshold: float = THRESHOLD,
 ) -> DataFrame:
-    """(row, doc_id, unit, licence, dice) of every unit and licence that match."""
+    """(row, doc_id, kind, licence, size, start, length, dice): the best span of every start that matches.
+
+    ``start`` is the place of a word, ``length`` the number of its bigrams.
+    """
     spark: SparkSession = docs.sparkSession
-    rows = template_rows(templates, threshold)
     # As many rows as the given templates have bigrams: a size the caller fixes.
     known = spark.createDataFrame(
-        rows, "licence string, template int, size int, low double, high double, bigram string"
+        template_rows(templates, threshold),
+        "kind int, licence string, size int, low double, most int, bigram string",
     )
-    shortest, longest = min((r[3] for r in rows), default=1), max((r[4] for r in rows), default=0)
-
-    text = F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}\n]+", " ")
-    paragraphs = F.filter(F.split("text", r"\n ?\n[ \n]*"), lambda p: F.contains(p, F.lit("\n")))
-    units = F.concat(
-        F.split("text", "\n"),
-        paragraphs,
-        F.filter(F.array("text"), lambda t: t.rlike(r"\n ?\n[ \n]*[^ \n]")),
+    plain = F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", " "))
+    texts = keyed(docs, "doc_id", "text").select("row", "doc_id", F.split(plain, " ").alias("words"))
+    block = F.floor(F.col("at") / F.col("most")).cast("int")
+    stretches = written(
+        texts.select("row", F.posexplode(bound(F.col("words"), pairs_of)).alias("at", "bigram"))
+        .join(F.broadcast(known), "bigram")
+        # A span starts in one block and ends in it or the next.
+        .select("row", "kind", "low", "bigram", F.explode(F.array(block, block - 1)).alias("block"))
+        .groupBy("row", "kind", "low", "block")
+        .agg(F.size(F.collect_set("bigram")).alias("common"))
+        .filter((F.col("common") >= F.col("low")) & (F.col("block") >= 0))
+        .select("row", "kind", "block"),
+        "licence-stretches",
     )
-
-    def distinct_bigrams(words: Column) -> Column:
-        # A unit has at least as many distinct bigrams as distinct words, but for one, and
-        # fewer than words.
-        fits = (F.size(words) - 1 >= shortest) & (F.size(F.array_distinct(words)) - 1 <= longest)
-        pairs = F.transform(
-            F.slice(words, 1, F.size(words) - 1),
-            lambda w, i: F.concat(w, F.lit(" "), F.get(words, i + 1)),
-        )
-        return F.when(fits, F.array_distinct(pairs))
-
-    split = F.split(F.trim(F.translate("text", "\n", " ")), " +")
-    lines = (
-        keyed(docs, "doc_id", "text")
-        .select("row", "doc_id", text.alias("text"))
-        .select("row", "doc_id", F.posexplode(units).alias("unit", "text"))
-        # A word and the space before it take two characters at least.
-        .filter(F.length("text") >= 2 * shortest)
-        .select("row", "doc_id", "unit", bound(split, distinct_bigrams).alias("bigrams"))
-        .select("row", "doc_id", "unit", "bigrams", F.size("bigrams").alias("unit_size"))
+    whole = known.groupBy("kind", "licence", "size", "most").agg(F.collect_list("bigram").alias("known"))
+    stretch = F.slice("words", F.col("block") * F.col("most") + 1, F.col("most") * 2 + 1)
+    # Spark sends the stretches to all tasks only if their files are small.
+    starts = (
+        texts.join(stretches, "row")
+        .join(F.broadcast(whole), "kind")
+        .select("row", "doc_id", "kind", "licence", "size", "most", "known", "block", pairs_of(stretch).alias("pairs"))
+        .select("*", F.posexplode(F.slice("pairs", 1, F.col("most"))).alias("at", "first"))
+        .filter(F.array_contains("known", F.col("first")))
+        .withColumn("pairs", F.slice("pairs", F.col("at") + 1, F.col("most")))
+        .withColumn("best", bound(F.col("pairs"), lambda x: best_span(x, F.col("known"), F.col("size"))))
     )
-    shared = (
-        lines.select("row", "doc_id", "unit", "unit_size", F.explode("bigrams").alias("bigram"))
-        .join(F.broadcast(known), "bigram")
-        .filter(F.col("unit_size").between(F.col("low"), F.col("high")))
-        .groupBy("row", "doc_id", "unit", "unit_size", "licence", "template", "size")
-        .agg(F.count("*").alias("common"))
+    start = F.col("block") * F.col("most") + F.col("at")
+    return starts.filter(F.col("best.dice") >= threshold).select(
+        "row", "doc_id", "kind", "licence", "size", start.alias("start"), "best.length", "best.dice"
     )
-    dice = 2.0 * F.col("common") / (F.col("unit_size") + F.col("size"))
+
+
+def matches(docs: DataFrame, **options) -> DataFrame:
+    """(row, doc_id, place, licence, start, length, dice) of every place and its best licences."""
+    near = Window.partitionBy("row", "kind").orderBy(F.col("start") / F.col("size")).rangeBetween(-1, 1)
+    rank = F.struct("dice", -F.col("start"))
+    alone = spans(docs, **options).withColumn("top", F.max(rank).over(near) == rank).filter("top")
+    in_text = Window.partitionBy("row").orderBy("start", "kind")
+    # The word after the last one of a span.
+    reached = F.max(F.col("start") + F.col("length") + 1).over(in_text.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.when(F.col("start") < F.col("reached"), 0).otherwise(1)
+    placed = alone.withColumn("reached", reached).withColumn("place", F.sum(opens).over(in_text))
+    best = F.max("dice").over(Window.partitionBy("row", "place"))
     return (
-        shared.withColumn("dice", dice)
-        .filter(F.col("dice") >= threshold)
-        .groupBy("row", "doc_id", "unit", "licence")
-        .agg(F.max("dice").alias("dice"))
+        placed.withColumn("best", best)
+        .filter(F.col("dice") == F.col("best"))
+        .select("row", "doc_id", "place", "licence", "start", "length", "dice")
     )
 
 
 def scan(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, licence, number of matching units, best coefficient; one row per pair found."""
+    """doc_id, licence, number of its places, best coefficient; one row per pair found."""
     return (
         matches(docs, **options)
         .groupBy("row", "doc_id", "licence")
-        .agg(F.count("*").alias("n_units"), F.round(F.max("dice"), 6).alias("dice"))
+        .agg(F.countDistinct("place").alias("n_units"), F.round(F.max("dice"), 6).alias("dice"))
         .drop("row")
     )
 
 
 def oracle() -> str:
     rows = ",".join(
-        f"('{licence}',{number},{size},{low!r},{high!r},'{gram}')"
-        for licence, number, size, low, high, gram in template_rows(TEMPLATES, THRESHOLD)
+        f"({kind},'{licence}',{size},{most},'{gram}')"
+        for kind, licence, size, _, most, gram in template_rows(TEMPLATES, THRESHOLD)
     )
     return rf"""
-WITH known(licence, template, size, low, high, bigram) AS (VALUES {rows}),
+WITH known(kind, licence, size, most, bigram) AS (VALUES {rows}),
 d AS (
   SELECT row_number() OVER () AS rid, doc_id,
-    regexp_replace(lower(text), '[^\p{{L}}\p{{N}}\n]+', ' ', 'g') AS t
+    string_split(trim(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS ws
   FROM documents WHERE text IS NOT NULL
-), u AS (
-  SELECT rid, doc_id, t, list_concat(list_concat(string_split(t, chr(10)),
-    list_filter(regexp_split_to_array(t, '\n ?\n[ \n]*'), lambda x: contains(x, chr(10)))),
-    CASE WHEN regexp_matches(t, '\n ?\n[ \n]*[^ \n]') THEN [t] ELSE [] END) AS units FROM d
-), l AS (
-  SELECT rid, doc_id, i, regexp_split_to_array(trim(replace(units[i], chr(10), ' ')), ' +') AS ws
-  FROM (SELECT rid, doc_id, units, unnest(range(1, len(units) + 1)) AS i FROM u)
 ), b AS (
-  SELECT rid, doc_id, i, list_distinct(list_transform(range(1, len(ws)), lambda k: ws[k] || ' ' || ws[k + 1])) AS bs
-  FROM l WHERE len(ws) > 1
+  SELECT rid, doc_id, i, ws[i] || ' ' || ws[i + 1] AS bigram
+  FROM (SELECT *, unnest(range(1, len(ws))) AS i FROM d)
+), h AS (
+  SELECT rid, doc_id, kind, licence, size, most, i AS p FROM b JOIN known USING (bigram)
+), c AS (
+  SELECT * FROM h
+  QUALIFY 3 * count(*) OVER (
+    PARTITION BY rid, kind ORDER BY p RANGE BETWEEN CURRENT ROW AND most FOLLOWING) >= 2 * size
 ), x AS (
-  SELECT rid, doc_id, i, len(bs) AS n, unnest(bs) AS bigram FROM b WHERE len(bs) <= 1000
-), m AS (
-  SELECT rid, doc_id, i, licence, 2.0::DOUBLE * count(*) / (n + size) AS dice
-  FROM x JOIN known USING (bigram) GROUP BY rid, doc_id, i, n, licence, template, size
+  SELECT h.*, b.i, b.bigram, k.bigram IS NOT NULL AS shared
+  FROM c h JOIN b ON b.rid = h.rid AND b.i BETWEEN h.p AND h.p + h.most - 1
+  LEFT JOIN known k ON k.kind = h.kind AND k.bigram = b.bigram
+), f AS (
+  SELECT *, row_number() OVER (PARTITION BY rid, kind, p, bigram ORDER BY i) = 1 AS fresh FROM x
+), s AS (
+  SELECT *, 2.0::DOUBLE * sum(CAST(fresh AND shared AS INT)) OVER w / (sum(CAST(fresh AS INT)) OVER w + size) AS dice
+  FROM f WINDOW w AS (PARTITION BY rid, kind, p ORDER BY i)
+), t AS (
+  SELECT * FROM s WHERE dice >= {THRESHOLD}
+  QUALIFY row_number() OVER (PARTITION BY rid, kind, p ORDER BY dice DESC, i) = 1
+), a AS (
+  SELECT * FROM t WHERE NOT EXISTS (
+    SELECT 1 FROM t o WHERE o.rid = t.rid AND o.kind = t.kind AND abs(o.p - t.p) <= t.size
+      AND (o.dice > t.dice OR (o.dice = t.dice AND o.p < t.p)))
+), r AS (
+  SELECT *, max(i + 2) OVER (PARTITION BY rid ORDER BY p, kind ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached
+  FROM a
+), q AS (
+  SELECT *, sum(CASE WHEN p < reached THEN 0 ELSE 1 END) OVER (PARTITION BY rid ORDER BY p, kind) AS place FROM r
 ), best AS (
-  SELECT rid, doc_id, i, licence, max(dice) AS dice FROM m WHERE dice >= {THRESHOLD} GROUP BY ALL
+  SELECT * FROM q QUALIFY dice = max(dice) OVER (PARTITION BY rid, place)
 )
-SELECT doc_id, licence, count(*) AS n_units, round(max(dice), 6) AS dice
+SELECT doc_id, licence, count(DISTINCT place) AS n_units, round(max(dice), 6) AS dice
 FROM best GROUP BY rid, doc_id, licence
 """

@@ -1,6 +1,7 @@
 """Licence scan, quality cascade and chat formatting."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -99,10 +100,70 @@ def test_licence_notices(spark):
     ]
     out = licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {(r.doc_id, r.licence, r.n_units) for r in out} == {
-        (1, "MIT", 1), (2, "MIT", 3), (3, "MIT", 1), (None, "CC-BY-NC-4.0", 1), (6, "MIT", 3),
+        (1, "MIT", 1), (2, "MIT", 1), (3, "MIT", 1), (None, "CC-BY-NC-4.0", 1), (6, "MIT", 2),
     }
 
 
+def test_notices_that_share_their_line(spark):
+    gpl = licences.TEMPLATES["GPL-3.0"][1]
+    rows = [
+        (1, f"This file is part of Foo. {gpl} See COPYING. " + "word " * 200),
+        (2, "Licensed under the MIT License. See License.txt in the project root for license information."),
+        (3, "This work is licensed under the GNU General Public License, version 3."),
+        (4, "// Licensed under the\n// MIT License.\nint main() { return 0; }"),
+        (5, "other words " * 3000 + gpl + " more of them" * 3000 + " Licensed under CC BY 4.0. the end"),
+    ]
+    out = licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.licence, r.n_units, r.dice) for r in out} == {
+        (1, "GPL-3.0", 1, 1.0), (2, "MIT", 1, 1.0), (3, "GPL-3.0", 1, 1.0), (4, "MIT", 1, 1.0),
+        (5, "GPL-3.0", 1, 1.0), (5, "CC-BY-4.0", 1, 1.0),
+    }
+
+
+def best_spans(text, size, known, most):
+    """(start, length, dice) of the best span of every start, by trying them all."""
+    words = re.sub(r"[^a-z0-9]+", " ", text.lower()).split()
+    pairs = [f"{a} {b}" for a, b in zip(words, words[1:])]
+    for start in range(len(pairs)):
+        tried = []
+        for length in range(1, min(most, len(pairs) - start) + 1):
+            own = set(pairs[start : start + length])
+            tried.append((2 * len(own & known) / (len(own) + size), -length))
+        dice, length = max(tried)
+        if dice >= licences.THRESHOLD and pairs[start] in known:
+            yield start, -length, dice
+
+
+def test_spans_against_trying_all(spark):
+    some = {"A": ["one two three four five six seven eight nine ten"], "B": ["one two three four five six", "x y x y z"]}
+    words = "one two three four five six seven eight nine ten x y x y z other".split()
+    random.seed(5)
+    texts = []
+    for _ in range(120):
+        text = []
+        while len(text) < 70:
+            at = random.randrange(len(words))
+            text += words[at : at + random.randrange(1, 12)]
+        texts.append(" ".join(text))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.kind, r.start, r.length, r.dice) for r in licences.spans(docs, some).collect()}
+    want, kinds = set(), [t for texts_of in some.values() for t in texts_of]
+    for kind, template in enumerate(kinds):
+        known = licences.bigrams(template)
+        most = int(licences.size_bounds(len(known), licences.THRESHOLD)[1])
+        for doc, text in enumerate(texts):
+            want |= {(doc, kind, *found) for found in best_spans(text, len(known), known, most)}
+    assert got == want and len(want) > 100
+
+
+def test_overlapping_spans_keep_the_best_licence(spark):
+    docs = spark.createDataFrame(
+        [(1, "a b c d e f g h"), (2, "a b c d e f z h"), (3, "a b c d e f g h a b c d e f z h")], "doc_id long, text string"
+    )
+    out = licences.matches(docs, templates={"G": ["a b c d e f g h"], "Z": ["a b c d e f z h"]}, threshold=0.6).collect()
+    assert {(r.doc_id, r.licence, r.dice) for r in out} == {(1, "G", 1.0), (2, "Z", 1.0), (3, "G", 1.0), (3, "Z", 1.0)}
+
+
 @pytest.mark.parametrize("size", [2, 5, 40])
 def test_size_bounds_admit_whatever_can_reach_the_threshold(size):
     low, high = licences.size_bounds(size, 0.8)

@@ -67,6 +67,33 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return d[o[0] : o[-1]], o - o[0]
 
 
+def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first byte, end) of all words ``[^\\x20\\x09-\\x0D]+`` and the offsets of texts in words."""
+    inside = np.zeros(len(data) + 1, bool)
+    inside[:-1] = (data != 0x20) & ((data < 0x09) | (data > 0x0D))
+    # A text ends the word before it.
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    low = np.flatnonzero(inside[:-1] & (edge[:-1] | ~np.append(False, inside[:-2])))
+    high = np.flatnonzero(inside[:-1] & (edge[1:] | ~inside[1:])) + 1
+    return low, high, np.searchsorted(low, offsets)
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, limit: int = BLOCK_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words, and the offsets of texts in words."""
+    low, high, bounds = word_bounds(data, offsets)
+    out = np.empty(len(low), np.uint64)
+    at = 0
+    while at < len(low):
+        # About ``limit`` bytes at a time, whole words only.
+        last = max(at + 1, int(np.searchsorted(high, low[at] + limit, "right")))
+        begin = low[at]
+        sums = prefix_sums(data[begin : high[last - 1]])
+        out[at:last] = range_hashes(sums, low[at:last] - begin, high[at:last] - begin)
+        at = last
+    return out, bounds
+
+
 def binary(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
     """A binary column from flat bytes and offsets."""
     return pa.BinaryArray.from_buffers(

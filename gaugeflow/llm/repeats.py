@@ -1,4 +1,4 @@
-"""Long byte strings that occur more than once, by merging shard Burrows-Wheeler transforms.
+"""Long strings that occur more than once, by merging shard Burrows-Wheeler transforms.
 
 A byte is repeated if a string of ``length`` bytes that covers it starts anywhere else, in the
 same text or another; matches never cross texts.
@@ -26,6 +26,10 @@ is that common core, and equal pieces become one with a count. Pieces of one cor
 contexts are; if a core is still crowded, its pieces are split by ever closer places, in the end
 into single strings, of which equal ones are one piece. Every string goes through a merge.
 
+Instead of bytes, a text can be read as its words (``words``); each is a symbol, its 64-bit hash,
+lengths count words, and white space between words makes no difference. A passage of ``PASSAGE``
+words is mostly shorter than ``LENGTH`` bytes, so ``digest`` looks for both.
+
 Blocks and contexts are told apart by 64-bit hashes, contexts within their anchor. Null and
 short texts have no strings. Rows are told apart by place, so null and repeated doc_ids and
 repeated rows are texts of their own; further columns are not read, or kept by ``cut``.
@@ -41,10 +45,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtext import flat, mixed, prefix_sums, ragged, range_hashes
+from .arrowtext import flat, mixed, prefix_sums, ragged, range_hashes, word_bounds, word_hashes
 from .tables import keyed, ready, written
 
 LENGTH, ANCHOR, BLOCK = 400, 100, 100
+# Passages of over fifty words.
+PASSAGE, PASSAGE_ANCHOR, PASSAGE_BLOCK = 51, 17, 17
 BLOCK_BYTES = 1 << 20
 # Contexts that a task merges at a time, and that one anchor may have before it is split.
 AT_ONCE, MANY = 2000, 2000
@@ -54,6 +60,12 @@ WIDTHS = (32, 8, 1)
 SENT_CONTEXTS = 100_000
 
 
+def symbols(column: pa.Array, words: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes or the words of texts, and their offsets."""
+    data, offsets = flat(column)
+    return word_hashes(data, offsets) if words else (data, offsets)
+
+
 def sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
     """The minimum of every ``width`` values in a row."""
     n = len(values)
@@ -112,12 +124,12 @@ def contexts(
     return piece, first - (ends - sizes)[piece], count, place - first, hashes[place], context
 
 
-def occurrences(texts: DataFrame, length: int, anchor: int) -> DataFrame:
+def occurrences(texts: DataFrame, length: int, anchor: int, words: bool = False) -> DataFrame:
     """row, first (start), n (starts), place (of the anchor behind first), anchor, context."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = flat(batch.column("text"))
+            data, offsets = symbols(batch.column("text"), words)
             rows = batch.column("row").to_numpy()
             for block in pieces(offsets, length, BLOCK_BYTES):
                 piece, first, n, place, hashes, context = contexts(data, block, length, anchor)
@@ -248,13 +260,18 @@ _SLICES = pa.schema(
 
 
 def _with_text(texts: DataFrame, kinds: DataFrame, sent: bool = False) -> DataFrame:
-    """The texts that contexts were first met in, each with the list of its contexts."""
+    """The texts that contexts were first met in, each with the list of its contexts.
+
+    Dealt texts keep their other columns, so that all joins with them share one exchange.
+    """
     wanted = kinds.groupBy(F.col("at.row").alias("row")).agg(
         F.collect_list(
             F.struct("anchor", "context", "copies", "at.row", "at.first", "at.n", "at.place")
         ).alias("wanted")
     )
-    return texts.join(F.broadcast(wanted) if sent else wanted, "row").select("text", "wanted")
+    if sent:
+        return texts.join(F.broadcast(wanted), "row").select("text", "wanted")
+    return texts.join(wanted, "row")
 
 
 def split(
@@ -282,9 +299,9 @@ def split(
     return own, skip, starts, high, core, whole
 
 
-def _wishes(batch: pa.RecordBatch, length: int) -> Iterator[tuple[list[dict], list[bytes]]]:
-    """The contexts asked for and their bytes, some hundred at a time."""
-    data, offsets = flat(batch.column("text"))
+def _wishes(batch: pa.RecordBatch, length: int, words: bool) -> Iterator[tuple[list[dict], list[bytes]]]:
+    """The contexts asked for and their symbols, some hundred at a time."""
+    data, offsets = symbols(batch.column("text"), words)
     one: list[dict] = []
     raw: list[bytes] = []
     for i, wishes in enumerate(batch.column("wanted").to_pylist()):
@@ -322,19 +339,21 @@ def repeated(
     length: int = LENGTH,
     anchor: int = ANCHOR,
     block: int = BLOCK,
+    words: bool = False,
 ) -> DataFrame:
-    """row and spans (first byte, end) that repeated strings cover; rows without any are left out.
+    """row and spans (first symbol, end) that repeated strings cover; rows without any are left out.
 
     ``texts`` has row and text; ``dealt`` is the same, dealt out by row as joins need it.
     """
     ready(texts.sparkSession)
-    every = written(occurrences(texts, length, anchor), "occurrences")
+    symbol = np.uint64 if words else np.uint8
+    every = written(occurrences(texts, length, anchor, words), "occurrences")
     # Equal contexts are one row from here on, so copies of a text make no anchor large.
     kinds = written(kinds_of(every.withColumn("copies", F.lit(1))), "contexts")
 
     def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for one, raw in _wishes(batch, length):
+            for one, raw in _wishes(batch, length, words):
                 yield pa.RecordBatch.from_pylist(
                     [
                         {"anchor": w["anchor"], "context": w["context"], "copies": w["copies"], "n": w["n"], "bytes": r}
@@ -345,7 +364,7 @@ def repeated(
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def result(table: pa.Table) -> pa.RecordBatch:
-            data, _ = flat(table.column("bytes"))
+            data = flat(table.column("bytes"))[0].view(symbol)
             starts, copies = (table.column(c).to_numpy().astype(np.int64) for c in ("n", "copies"))
             context, first, n = repeated_starts(data, starts, copies, length, block)
             at = pa.array(context)
@@ -393,9 +412,9 @@ def repeated(
 
         def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for one, raw in _wishes(batch, length):
+                for one, raw in _wishes(batch, length, words):
                     column = {k: np.array([w[k] for w in one], np.int64) for k in ("anchor", "context", "copies", "row", "first", "n", "place")}
-                    data = np.frombuffer(b"".join(raw), np.uint8)
+                    data = np.frombuffer(b"".join(raw), symbol)
                     own, skip, starts, place, core, whole = split(data, column["n"], column["place"], length, anchor, width)
                     yield pa.RecordBatch.from_arrays(
                         [
@@ -445,47 +464,66 @@ def runs(spans: list[dict]) -> list[list[int]]:
     return out
 
 
-def _with_spans(docs: DataFrame, columns: list[str], length: int, anchor: int, block: int) -> DataFrame:
-    """Rows with their spans; the texts are dealt out once for all that follows."""
+def _dealt(docs: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows, and the same dealt out once for all that follows."""
     texts = keyed(docs, *columns)
-    dealt = texts.repartition("row")
-    return dealt.join(repeated(texts, dealt, length, anchor, block), "row", "left")
+    return texts, texts.repartition("row")
+
+
+def _without(raw: bytes, found: list[list[int]]) -> bytes:
+    """What remains between runs."""
+    bounds = [0, *(place for span in found for place in span), len(raw)]
+    return b"".join(raw[a:b] for a, b in zip(bounds[::2], bounds[1::2]))
 
 
 def digest(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, block: int = BLOCK) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, text (what remains).
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, text (what remains), then
+    n_passages, n_passage_words, unique_text.
 
-    A character that is cut in two shows as a replacement character in ``text``; the hash is of
-    the bytes.
+    The first are of repeated strings of ``length`` bytes. The last are of repeated strings of
+    ``PASSAGE`` words: maximal runs of words that such strings cover, the words in them, and what
+    remains of the text without runs of either kind. A character that is cut in two shows as a
+    replacement character in ``text`` and ``unique_text``; the hash is of the bytes.
     """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = flat(batch.column("text"))
             rows = []
-            for i, spans in enumerate(batch.column("spans").to_pylist()):
-                raw, found = data[offsets[i] : offsets[i + 1]].tobytes(), runs(spans)
-                bounds = [0, *(place for span in found for place in span), len(raw)]
-                kept = b"".join(raw[a:b] for a, b in zip(bounds[::2], bounds[1::2]))
+            for i, (spans, passages) in enumerate(zip(batch.column("spans").to_pylist(), batch.column("passages").to_pylist())):
+                raw, found, said = data[offsets[i] : offsets[i + 1]], runs(spans), runs(passages)
+                whole = raw.tobytes()
+                kept = _without(whole, found)
+                text = unique = kept.decode("utf-8", "replace")
+                if said:
+                    low, high, _ = word_bounds(raw, np.array([0, len(raw)]))
+                    both = [(a, b) for a, b in found] + [(int(low[a]), int(high[b - 1])) for a, b in said]
+                    both = runs([{"low": a, "high": b} for a, b in sorted(both)])
+                    unique = _without(whole, both).decode("utf-8", "replace")
                 rows.append(
-                    (len(raw), sum(b - a for a, b in found), len(found), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace"))
-                )
-            n, removed, spans, digests, texts = zip(*rows) if rows else ((),) * 5
+                    (len(raw), sum(b - a for a, b in found), len(found), hashlib.sha256(kept).hexdigest(), text,
+                     len(said), sum(b - a for a, b in said), unique)
+                )
+            columns = zip(*rows) if rows else ((),) * len(kinds)
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()),
-                    pa.array(spans, pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.string()),
-                ],
-                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"],
-            )
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
+                [batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds.values()))],
+                ["doc_id", *kinds],
+            )
+
+    kinds = {
+        "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(),
+        "text": pa.string(), "n_passages": pa.int64(), "n_passage_words": pa.int64(), "unique_text": pa.string(),
+    }
+    names = {pa.int64(): "long", pa.string(): "string"}
+    texts, dealt = _dealt(docs, ["doc_id", "text"])
+    passages = repeated(texts, dealt, PASSAGE, PASSAGE_ANCHOR, PASSAGE_BLOCK, words=True)
     return (
-        _with_spans(docs, ["doc_id", "text"], length, anchor, block)
-        .select("doc_id", "text", "spans")
+        dealt.join(repeated(texts, dealt, length, anchor, block), "row", "left")
+        .join(passages.withColumnRenamed("spans", "passages"), "row", "left")
+        .select("doc_id", "text", "spans", "passages")
         .mapInArrow(
             counted,
-            f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string",
+            ", ".join([f"doc_id {docs.schema['doc_id'].dataType.simpleString()}", *(f"{c} {names[k]}" for c, k in kinds.items())]),
         )
     )
 
@@ -497,9 +535,9 @@ def cut(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, block: int
     """
     others = [c for c in docs.columns if c != "text"]
     # One column holds all others, so that no name of theirs meets one of these.
-    rows = _with_spans(
-        docs.select("text", F.struct(*others).alias("others")), ["others", "text"], length, anchor, block
-    ).select("others", "text", "spans")
+    texts, dealt = _dealt(docs.select("text", F.struct(*others).alias("others")), ["others", "text"])
+    spans = repeated(texts, dealt, length, anchor, block)
+    rows = dealt.join(spans, "row", "left").select("others", "text", "spans")
 
     def shorter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

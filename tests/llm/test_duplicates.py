@@ -267,3 +267,50 @@ def test_cutting_keeps_columns_and_characters(spark, awkward, stored):
     folder = stored("other", rows, "doc_id long, text string, n_chars long")
     texts = {r.doc_id: r.text for r in repeats.cut(spark.read.parquet(f"{folder}/other.parquet"), 40, 10, 10).collect()}
     assert texts[1] == "êŎ" and texts[2] == "ëŏ"
+
+
+def plain_passages(texts, least):
+    """(runs, words, bytes covered) of word strings that start anywhere else."""
+    found = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", t)] for t in texts]
+    words = [[t[a:b] for a, b in bounds] for t, bounds in zip(texts, found)]
+    seen = Counter(tuple(w[i : i + least]) for w in words for i in range(len(w) - least + 1))
+    out = []
+    for w, bounds, t in zip(words, found, texts):
+        said = [False] * len(w)
+        for i in range(len(w) - least + 1):
+            if seen[tuple(w[i : i + least])] > 1:
+                said[i : i + least] = [True] * least
+        gone = set()
+        for i, yes in enumerate(said):
+            if yes:
+                gone.update(range(bounds[i - 1][1] if i and said[i - 1] else bounds[i][0], bounds[i][1]))
+        n = sum(yes and not (i and said[i - 1]) for i, yes in enumerate(said))
+        out.append((n, sum(said), gone))
+    return out
+
+
+@pytest.mark.parametrize("many, at_once, block_bytes", [(2000, 2000, 1 << 20), (2, 5, 1 << 20), (3, 3, 120)])
+def test_passages_of_over_fifty_words_are_found_below_the_byte_length(spark, stored, monkeypatch, many, at_once, block_bytes):
+    monkeypatch.setattr(repeats, "MANY", many)
+    monkeypatch.setattr(repeats, "AT_ONCE", at_once)
+    monkeypatch.setattr(repeats, "BLOCK_BYTES", block_bytes)
+    rng = random.Random(12)
+
+    def prose(n):
+        return " ".join("".join(rng.choices("abcdeé", k=rng.randint(1, 4))) for _ in range(n))
+
+    shared = [prose(n) for n in (50, 51, 52, 60, 70)]
+    texts = [f"{prose(rng.randint(0, 90))} {rng.choice(shared)}{rng.choice([' ', chr(10)])}{prose(rng.randint(0, 90))}" for _ in range(60)]
+    # Other white space, glued words, a passage twice in one text, one word only, texts of white space.
+    texts += [shared[1].replace(" ", "\t\n"), "x" + shared[1], f"{prose(9)} {shared[4]} {shared[4]}", "ha " * 51, "ha " * 52, " ", "", None]
+    raw = [(t or "").encode() for t in texts]
+    folder = stored("documents", list(enumerate(texts)), "doc_id long, text string", 3)
+    out = sorted(repeats.digest(spark.read.parquet(f"{folder}/documents.parquet")).collect())
+    passages, strings = plain_passages(raw, 51), plain_repeats(raw, 400)
+    assert [(r.n_passages, r.n_passage_words) for r in out] == [p[:2] for p in passages]
+    assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out] == strings
+    assert sum(p[0] > 0 and not s[1] for p, s in zip(passages, strings)) > 20
+    for r, t, (_, _, gone), s in zip(out, raw, passages, strings):
+        if not s[1]:
+            assert r.unique_text == bytes(b for i, b in enumerate(t) if i not in gone).decode()
+            assert r.text == t.decode()

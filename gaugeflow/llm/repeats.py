@@ -52,8 +52,9 @@ LENGTH, ANCHOR, BLOCK = 400, 100, 100
 # Passages of over fifty words.
 PASSAGE, PASSAGE_ANCHOR, PASSAGE_BLOCK = 51, 17, 17
 BLOCK_BYTES = 1 << 20
-# Contexts that a task merges at a time, and that one anchor may have before it is split.
-AT_ONCE, MANY = 2000, 2000
+# Contexts that a task merges at a time (few, so that the work stays in the processor's cache;
+# whole anchors always), and that one anchor may have before it is split.
+AT_ONCE, MANY = 120, 2000
 # Places of the anchor that the pieces of a crowded context share, from split to split.
 WIDTHS = (32, 8, 1)
 # Up to so many contexts are sent to the texts they are cut from; for more, texts are shuffled.
